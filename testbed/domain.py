@@ -154,19 +154,34 @@ def goods(orders: DataFrame, part: DataFrame) -> DataFrame:
     )
 
 
-def domain_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    def star(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-    customer, orders = star("customer"), star("orders")
-    tables = {
-        "cadastros_tb": accounts(customer),
-        "fones_tb": phones(customer),
-        "hist_tb": events(star("events")),
-        "stcob_tb": event_codes(spark),
-        "acordos_tb": agreements(orders),
-        "rec_comp_tb": complements(customer),
-        "receber_tb": receivables(star("lineitem"), orders),
-        "bens_tb": goods(orders, star("part")),
-    }
-    return {name: conform(df, name) for name, df in tables.items()}
+#: Per table: how it is derived and from which star schema tables.
+DERIVED = {
+    "cadastros_tb": (accounts, ["customer"]),
+    "fones_tb": (phones, ["customer"]),
+    "hist_tb": (events, ["events"]),
+    "acordos_tb": (agreements, ["orders"]),
+    "rec_comp_tb": (complements, ["customer"]),
+    "receber_tb": (receivables, ["lineitem", "orders"]),
+    "bens_tb": (goods, ["orders", "part"]),
+}
+
+
+class DomainTables(dict):
+    """The eight tables by name, each derived when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        super().__init__()
+        self._spark = spark
+        self._sf_dir = sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name == "stcob_tb":
+            df = event_codes(self._spark)
+        else:
+            derive, sources = DERIVED[name]
+            df = derive(*[self._star(source) for source in sources])
+        self[name] = conform(df, name)
+        return self[name]
+
+    def _star(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._sf_dir}/{name}.parquet")

@@ -23,7 +23,7 @@ from callsheet.plans import catalogue as cat
 from callsheet.plans.campaigns import campaign_list, weekly_lists
 from callsheet.sinks.csv import to_text
 from callsheet.sinks.names import export_name
-from testbed.domain import domain_tables
+from testbed.domain import DomainTables
 from testbed.settings import FILTERED, LABELS, LITERAL, MIN_SUM, PARAMS
 
 Tables = dict[str, DataFrame]
@@ -209,7 +209,7 @@ def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _over_domain(build: Callable[[Tables], DataFrame]):
-    return lambda spark, sf_dir: build(domain_tables(spark, sf_dir))
+    return lambda spark, sf_dir: build(DomainTables(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
