@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callsheet.functions.text import day_text
 from callsheet.params import CampaignParams
+from callsheet.schemas import CONTRACT
 
 
 def in_portfolio(df: DataFrame, codes: Iterable[int]) -> DataFrame:
@@ -51,3 +52,16 @@ def account_columns() -> list[Column]:
         day_text(F.col("nascto")).alias("DataNascimento"),
         F.col("infoad").alias("Portfolio"),
     ]
+
+
+def join_contracts(accounts: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """Accounts with the contract columns of ``facts``, which has one row per contract.
+
+    A contract may have very many accounts. Joined on its two columns, ``facts``
+    would keep the partitioning it was aggregated by and pin all those accounts to
+    one task. A key of its own makes Spark shuffle both sides for this join, which
+    lets adaptive execution split such a contract.
+    """
+    key = F.concat(F.col("cod_cli").cast("string"), F.lit("/"), F.col("nmcont")).alias("contract")
+    keyed = facts.select(key, *[c for c in facts.columns if c not in CONTRACT])
+    return accounts.select("*", key).join(keyed, "contract", how).drop("contract")

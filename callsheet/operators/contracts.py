@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from callsheet.functions.agreement import BROKEN, SETTLED
 from callsheet.functions.text import joined_list
-from callsheet.operators.accounts import in_portfolio
+from callsheet.operators.accounts import in_portfolio, join_contracts
 from callsheet.operators.agreements import (
     agreement_columns,
     blocked_portfolios,
@@ -149,15 +149,10 @@ def contract_profile(tables: dict[str, DataFrame], params: CampaignParams) -> Da
 def with_core_complement(accounts: DataFrame, complements: DataFrame) -> DataFrame:
     """Accounts whose contract has a complement row without the excluded code."""
     passing = complements.where(F.col("int_1") != CORE_EXCLUDED_CODE).select(*CONTRACT).distinct()
-    return accounts.join(passing, CONTRACT, "left_semi")
+    return join_contracts(accounts, passing, "left_semi")
 
 
 def binding_id(accounts: DataFrame, complements: DataFrame) -> DataFrame:
     """The accounts with their contract's highest binding id, NULL for none."""
     highest = complements.groupBy(*CONTRACT).agg(F.max("int_2").alias("BindingID"))
-    return enrich(accounts, highest)
-
-
-def enrich(accounts: DataFrame, facts: DataFrame) -> DataFrame:
-    """The accounts with contract columns from ``facts``, which has one row per contract."""
-    return accounts.join(facts, CONTRACT, "left")
+    return join_contracts(accounts, highest, "left")

@@ -32,7 +32,7 @@ def clean_phones(phones: DataFrame, rule: str, pattern: str = REPEATED_DIGIT) ->
     A number kept under two statuses stays twice.
     """
     kept = number_phones(phones).where(phone_rule(rule, pattern))
-    return kept.select(*_PHONE, "telefone_completo").distinct()
+    return number_phones(kept.select(*_PHONE).distinct())
 
 
 def clean_phones_by_rule(
@@ -43,12 +43,12 @@ def clean_phones_by_rule(
     marked = (
         number_phones(phones)
         .where(reduce(or_, tests.values()))
-        .groupBy(*_PHONE, "telefone_completo")
+        .groupBy(*_PHONE)
         # Copies of a phone may differ in their note; one good copy is enough.
         .agg(*[F.max(test).alias(f"is_{rule}") for rule, test in tests.items()])
     )
     passed = F.array_compact(F.array(*[F.when(F.col(f"is_{r}"), F.lit(r)) for r in rules]))
-    return marked.select(*_PHONE, "telefone_completo", F.explode(passed).alias("rule"))
+    return number_phones(marked).select(*_PHONE, "telefone_completo", F.explode(passed).alias("rule"))
 
 
 def rank_phones(

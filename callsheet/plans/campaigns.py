@@ -11,6 +11,7 @@ from callsheet.functions.text import day_text
 from callsheet.operators.accounts import (
     account_columns,
     is_recent,
+    join_contracts,
     recent_accounts,
     select_accounts,
 )
@@ -81,8 +82,7 @@ def campaign_list(
 
     Accounts, contacts and phones meet on the account id, the result meets the
     contract profile last. Each side is down to one row per key by then, except for
-    accounts sharing one contract; that last join is free for adaptive execution to
-    split a hot contract.
+    accounts that share a contract.
     """
     base = select_accounts(tables["cadastros_tb"], params)
     history = tables["hist_tb"], tables["stcob_tb"]
@@ -111,7 +111,7 @@ def campaign_list(
     ranked = rank_phones(clean_phones(tables["fones_tb"], campaign.phone_rule, params.repeated_digits))
     phones = widen_phones(top_phones(ranked, params.max_phones))
 
-    listed = accounts.select(*account_columns()).join(phones, "cod_cad").join(profile, CONTRACT)
+    listed = join_contracts(accounts.select(*account_columns()).join(phones, "cod_cad"), profile)
     return listed.select(*LIST_COLUMNS, *(_contact_columns() if with_last_contact else []))
 
 
@@ -166,7 +166,7 @@ def weekly_lists(
     on_lists = F.array_compact(
         F.array(*[F.when(_member(c, params), F.lit(c.id)) for c in campaigns])
     )
-    listed = base.join(profile, CONTRACT).withColumn("campaign", F.explode(on_lists))
+    listed = join_contracts(base, profile).withColumn("campaign", F.explode(on_lists))
 
     phones = [
         _by_campaign({c.id: F.col(f"{c.phone_rule}{num}") for c in campaigns}).alias(name)

@@ -20,4 +20,6 @@ def session_builder(name: str = "callsheet") -> SparkSession.Builder:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # Recording the Python call site of every column takes longer than making it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

@@ -2,168 +2,100 @@
 
 Rules and cases are those of FIXTURES.md, with every input row used: events and
 complements that the rules leave out of the base go to accounts and contracts
-unknown to it.
+unknown to it. Each table is a list of SQL expressions over its source.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
 
 from callsheet.schemas import conform
 
 
-def _portfolio(account: str) -> Column:
-    return F.lit(517) + F.pmod(F.col(account), F.lit(3))
-
-
-def _contract(account: str, prefix: str = "CT") -> Column:
-    return F.concat(F.lit(prefix), F.col(account).cast("string"))
-
-
-def _mod(value: Column | str, n: int) -> Column:
-    return (F.col(value) if isinstance(value, str) else value) % n
-
-
-def accounts(customer: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    loaded = F.date_sub(F.lit("2024-02-15").cast("date"), _mod(key, 121).cast("int"))
-    born = F.date_add(F.lit("1950-01-01").cast("date"), _mod(key * 13, 18000).cast("int"))
-    return customer.select(
-        key.alias("cod_cad"),
-        _contract("c_custkey").alias("nmcont"),
-        _portfolio("c_custkey").alias("cod_cli"),
-        F.col("c_name").alias("nomecli"),
-        F.lpad((key * 7919).cast("string"), 11, "0").alias("cpfcnpj"),
-        F.when(_mod(key, 37) != 0, born).alias("nascto"),
-        F.when(_mod(key, 29) == 0, None)
-        .when(_mod(key, 31) == 0, "")
-        .when(_mod(key, 19) == 0, "D'AVILA (IV)")
-        .otherwise(F.concat_ws(" ", "c_mktsegment", _mod("c_nationkey", 2).cast("string")))
-        .alias("infoad"),
-        F.when(_mod(key, 17) == 0, "INA").when(_mod(key, 23) != 0, "ATI").alias("stcli"),
-        loaded.alias("data_cad"),
-        F.date_add(loaded, F.when(_mod(key, 5) == 0, 3).otherwise(0)).alias("data_arq"),
-    )
-
-
-def phones(customer: DataFrame) -> DataFrame:
-    """Ten phones per customer."""
-    key, n = F.col("c_custkey"), F.col("n")
-    kind = _mod(key * 7 + n % 9, 19)
-    number = (F.lit(91200000) + (key * 9 + n % 9) * 7919 % 7000000).cast("string")
-    note = _mod(key + n * 3, 11)
-    return customer.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("n")).select(
-        key.alias("cod_cad"),
-        F.when(_mod(key + n, 41) != 0, (11 + n % 9).cast("string")).alias("dddfone"),
-        F.when(kind == 0, "99999999")
-        .when(kind == 1, "9x123456")
-        .when(kind == 2, "12345")
-        .when(kind == 3, "91111123")
-        .otherwise(number)
-        .alias("telefone"),
-        F.when(_mod(key + n * 5, 13) != 12, _mod(key * 3 + n * 5, 8)).alias("status"),
-        F.when(note == 0, "Desconhecido")
-        .when(note == 1, "numero incorreto")
-        .when(note == 2, None)
-        .when(note == 3, "Descontinuado")
-        .otherwise("ok")
-        .alias("obs"),
-    )
-
-
-def events(source: DataFrame) -> DataFrame:
-    """Every event; two of three belong to accounts outside the base, with negative ids."""
-    key = F.col("event_id")
-    account = F.col("user_id") * 10 + key % 10
-    return source.select(
-        F.when(key % 3 == 0, account).otherwise(-1 - account).alias("cod_cli"),
-        F.col("ts").alias("data_at"),
-        F.col("event_type").alias("ocorr"),
-        F.when(key % 5 == 0, "999")
-        .when(key % 11 != 0, F.concat(F.lit("U"), (key % 7).cast("string")))
-        .alias("cod_usu"),
-    )
-
-
-def event_codes(spark: SparkSession) -> DataFrame:
-    return spark.sql(
-        "SELECT * FROM VALUES ('click', 'sistema'), ('purchase', 'CPC'),"
-        " ('signup', 'CPC - promessa'), ('view', CAST(NULL AS STRING)) AS t(st, bsc)"
-    )
-
-
-def agreements(orders: DataFrame) -> DataFrame:
-    key = F.col("o_orderkey")
-    day = F.col("o_orderdate").cast("date")
-    status = F.element_at(F.array(*[F.lit(s) for s in "AEGQPCQ"]), (key % 7 + 1).cast("int"))
-    return orders.select(
-        key.alias("cod_aco"),
-        _contract("o_custkey").alias("nmcont"),
-        _portfolio("o_custkey").alias("cod_cli"),
-        day.alias("data_aco"),
-        day.alias("data_cad"),
-        F.col("o_totalprice").alias("vlr_aco"),
-        (key % 4).alias("qtd_p_aco"),
-        status.alias("staco"),
-    )
-
-
-def complements(customer: DataFrame) -> DataFrame:
-    """One to three rows per customer; every 53rd customer's belong to an unknown contract."""
-    key, n = F.col("c_custkey"), F.col("n")
-    copies = F.explode(F.sequence(F.lit(0), (F.col("c_custkey") % 3).cast("int"))).alias("n")
-    return customer.select("c_custkey", copies).select(
-        F.when(key % 53 == 0, _contract("c_custkey", "EX"))
-        .otherwise(_contract("c_custkey"))
-        .alias("nmcont"),
-        _portfolio("c_custkey").alias("cod_cli"),
-        F.when(key % 43 == 0, 400).otherwise(100).alias("int_1"),
-        (key * 10 + n).alias("int_2"),
-        F.when(key % 47 != 0, F.concat(F.lit("PROD"), ((key + n) % 5).cast("string"))).alias("char_5"),
-    )
-
-
-def receivables(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    order, line = F.col("l_orderkey"), F.col("l_linenumber")
-    label = (
-        F.when(line == 1, F.concat(F.lit("ENTRADA "), order.cast("string")))
-        .when((line == 2) & (order % 10 == 0), "Entrada parcial")
-        .otherwise(F.concat(F.lit("F"), F.concat_ws("-", (order % 20).cast("string"), line.cast("string"))))
-    )
-    return lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        _contract("o_custkey").alias("nmcont"),
-        _portfolio("o_custkey").alias("cod_cli"),
-        label.alias("fat_parc"),
-        F.col("l_extendedprice").alias("vlrparc"),
-    )
-
-
-def goods(orders: DataFrame, part: DataFrame) -> DataFrame:
-    key = F.col("p_partkey")
-    return orders.join(part, F.col("p_partkey") == F.col("o_orderkey")).select(
-        _contract("o_custkey").alias("nmcont"),
-        _portfolio("o_custkey").alias("cod_cli"),
-        F.concat(F.lit("CH"), (key % 500).cast("string")).alias("chassi"),
-        F.col("p_brand").alias("marca"),
-        F.when(key % 13 != 0, F.col("p_name")).alias("modelo"),
-        F.concat(F.lit("PL"), key.cast("string")).alias("placa"),
-        F.col("p_type").alias("cor"),
-        (1990 + F.col("p_size") % 30).alias("anofab"),
-        (1991 + F.col("p_size") % 30).alias("anomodelo"),
-    )
-
-
-#: Per table: how it is derived and from which star schema tables.
-DERIVED = {
-    "cadastros_tb": (accounts, ["customer"]),
-    "fones_tb": (phones, ["customer"]),
-    "hist_tb": (events, ["events"]),
-    "acordos_tb": (agreements, ["orders"]),
-    "rec_comp_tb": (complements, ["customer"]),
-    "receber_tb": (receivables, ["lineitem", "orders"]),
-    "bens_tb": (goods, ["orders", "part"]),
-}
+def _contract(key: str) -> list[str]:
+    return [f"concat('CT', {key}) AS nmcont", f"517 + {key} % 3 AS cod_cli"]
+
+
+ACCOUNTS = [
+    "c_custkey AS cod_cad",
+    *_contract("c_custkey"),
+    "c_name AS nomecli",
+    "lpad(string(c_custkey * 7919), 11, '0') AS cpfcnpj",
+    "CASE WHEN c_custkey % 37 <> 0 THEN DATE '1950-01-01' + int(c_custkey * 13 % 18000) END AS nascto",
+    """CASE WHEN c_custkey % 29 = 0 THEN NULL WHEN c_custkey % 31 = 0 THEN ''
+        WHEN c_custkey % 19 = 0 THEN "D'AVILA (IV)"
+        ELSE concat(c_mktsegment, ' ', c_nationkey % 2) END AS infoad""",
+    """CASE WHEN c_custkey % 17 = 0 THEN 'INA' WHEN c_custkey % 23 = 0 THEN NULL
+        ELSE 'ATI' END AS stcli""",
+    "DATE '2024-02-15' - int(c_custkey % 121) AS data_cad",
+    "DATE '2024-02-15' - int(c_custkey % 121) + if(c_custkey % 5 = 0, 3, 0) AS data_arq",
+]
+
+# k is the customer, n the phone.
+PHONES = [
+    "k AS cod_cad",
+    "CASE WHEN (k + n) % 41 <> 0 THEN string(11 + n % 9) END AS dddfone",
+    """CASE (k * 7 + n % 9) % 19 WHEN 0 THEN '99999999' WHEN 1 THEN '9x123456'
+        WHEN 2 THEN '12345' WHEN 3 THEN '91111123'
+        ELSE string(91200000 + (k * 9 + n % 9) * 7919 % 7000000) END AS telefone""",
+    "CASE WHEN (k + n * 5) % 13 <> 12 THEN (k * 3 + n * 5) % 8 END AS status",
+    """CASE (k + n * 3) % 11 WHEN 0 THEN 'Desconhecido' WHEN 1 THEN 'numero incorreto'
+        WHEN 2 THEN NULL WHEN 3 THEN 'Descontinuado' ELSE 'ok' END AS obs""",
+]
+
+# Two of three events belong to accounts outside the base, with negative ids.
+EVENTS = [
+    """CASE WHEN event_id % 3 = 0 THEN user_id * 10 + event_id % 10
+        ELSE -1 - (user_id * 10 + event_id % 10) END AS cod_cli""",
+    "ts AS data_at",
+    "event_type AS ocorr",
+    """CASE WHEN event_id % 5 = 0 THEN '999' WHEN event_id % 11 = 0 THEN NULL
+        ELSE concat('U', event_id % 7) END AS cod_usu""",
+]
+
+EVENT_CODES = """
+    SELECT * FROM VALUES ('click', 'sistema'), ('purchase', 'CPC'), ('signup', 'CPC - promessa'),
+        ('view', CAST(NULL AS STRING)) AS t(st, bsc)"""
+
+AGREEMENTS = [
+    "o_orderkey AS cod_aco",
+    *_contract("o_custkey"),
+    "date(o_orderdate) AS data_aco",
+    "date(o_orderdate) AS data_cad",
+    "o_totalprice AS vlr_aco",
+    "o_orderkey % 4 AS qtd_p_aco",
+    "substr('AEGQPCQ', int(o_orderkey % 7 + 1), 1) AS staco",
+]
+
+# k is the customer, n the row. Every 53rd customer's rows belong to an unknown contract.
+COMPLEMENTS = [
+    "concat(if(k % 53 = 0, 'EX', 'CT'), k) AS nmcont",
+    "517 + k % 3 AS cod_cli",
+    "if(k % 43 = 0, 400, 100) AS int_1",
+    "k * 10 + n AS int_2",
+    "CASE WHEN k % 47 <> 0 THEN concat('PROD', (k + n) % 5) END AS char_5",
+]
+
+RECEIVABLES = [
+    *_contract("o_custkey"),
+    """CASE WHEN l_linenumber = 1 THEN concat('ENTRADA ', l_orderkey)
+        WHEN l_linenumber = 2 AND l_orderkey % 10 = 0 THEN 'Entrada parcial'
+        ELSE concat('F', l_orderkey % 20, '-', l_linenumber) END AS fat_parc""",
+    "l_extendedprice AS vlrparc",
+]
+
+GOODS = [
+    *_contract("o_custkey"),
+    "concat('CH', p_partkey % 500) AS chassi",
+    "p_brand AS marca",
+    "CASE WHEN p_partkey % 13 <> 0 THEN p_name END AS modelo",
+    "concat('PL', p_partkey) AS placa",
+    "p_type AS cor",
+    "1990 + p_size % 30 AS anofab",
+    "1991 + p_size % 30 AS anomodelo",
+]
 
 
 class DomainTables(dict):
@@ -172,16 +104,35 @@ class DomainTables(dict):
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         super().__init__()
         self._spark = spark
-        self._sf_dir = sf_dir
+        self._star = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
     def __missing__(self, name: str) -> DataFrame:
-        if name == "stcob_tb":
-            df = event_codes(self._spark)
-        else:
-            derive, sources = DERIVED[name]
-            df = derive(*[self._star(source) for source in sources])
-        self[name] = conform(df, name)
+        self[name] = conform(self._derive(name), name)
         return self[name]
 
-    def _star(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._sf_dir}/{name}.parquet")
+    def _copies(self, last: str) -> DataFrame:
+        """Rows 0 to ``last`` for every customer."""
+        return self._star("customer").selectExpr("c_custkey AS k", f"explode(sequence(0, {last})) AS n")
+
+    def _derive(self, name: str) -> DataFrame:
+        star = self._star
+        match name:
+            case "cadastros_tb":
+                return star("customer").selectExpr(*ACCOUNTS)
+            case "fones_tb":
+                return self._copies("9").selectExpr(*PHONES)
+            case "hist_tb":
+                return star("events").selectExpr(*EVENTS)
+            case "stcob_tb":
+                return self._spark.sql(EVENT_CODES)
+            case "acordos_tb":
+                return star("orders").selectExpr(*AGREEMENTS)
+            case "rec_comp_tb":
+                return self._copies("int(c_custkey % 3)").selectExpr(*COMPLEMENTS)
+            case "receber_tb":
+                owned = star("lineitem").join(star("orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+                return owned.selectExpr(*RECEIVABLES)
+            case "bens_tb":
+                sold = star("part").join(star("orders").withColumnRenamed("o_orderkey", "p_partkey"), "p_partkey")
+                return sold.selectExpr(*GOODS)
+        raise KeyError(name)

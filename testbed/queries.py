@@ -87,7 +87,7 @@ def _listed(t: Tables) -> DataFrame:
 
 
 def _enriched(t: Tables, facts: DataFrame) -> DataFrame:
-    return ctr.enrich(_listed(t), facts).drop("cod_cli", "nmcont")
+    return acc.join_contracts(_listed(t), facts, "left").drop("cod_cli", "nmcont")
 
 
 def _campaign(campaign: cat.Campaign, params=PARAMS, **options):
