@@ -18,6 +18,9 @@ def session_builder(name: str = "callsheet") -> SparkSession.Builder:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Every scan names its portfolios already; pruning them again at run time only
+        # adds subqueries to the plan.
+        .config("spark.sql.optimizer.dynamicPartitionPruning.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         # Recording the Python call site of every column takes longer than making it.

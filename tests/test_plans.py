@@ -1,4 +1,4 @@
-"""What the plans must and must not contain, over Parquet tables."""
+"""What the plans must and must not contain, over Parquet tables too big to broadcast."""
 
 import pytest
 
@@ -17,7 +17,11 @@ def tables(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables") / "base")
     derived = DomainTables(spark, SMALL)
     save({name: derived[name] for name in SCHEMAS}, path)
-    return load(spark, path)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    yield load(spark, path)
+    spark.conf.set(threshold, before)
 
 
 def plan(df):
