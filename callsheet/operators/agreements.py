@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from callsheet.functions.agreement import (
     status_label,
 )
 from callsheet.functions.text import day_text
+from callsheet.operators.accounts import in_portfolio
 from callsheet.schemas import CONTRACT
 
 
@@ -75,15 +76,16 @@ def blocked_portfolios(agreements: DataFrame, since: dt.date) -> DataFrame:
     )
 
 
-def exclude_paid(contracts: DataFrame, paid: DataFrame) -> DataFrame:
-    """Contracts not in ``paid``, with the NULL rules of ``NOT IN`` within each portfolio.
+def exclude_paid(contracts: DataFrame, paid: DataFrame, portfolios: Sequence[int]) -> DataFrame:
+    """Contracts of ``portfolios`` not in ``paid``, with the NULL rules of ``NOT IN`` in each.
 
-    The broadcast side holds one row per portfolio code.
+    The broadcast side holds at most one row per portfolio asked for.
     """
-    portfolios = paid.groupBy("cod_cli").agg(F.max(F.col("nmcont").isNull()).alias("has_null"))
+    contracts, paid = in_portfolio(contracts, portfolios), in_portfolio(paid, portfolios)
+    marks = paid.groupBy("cod_cli").agg(F.max(F.col("nmcont").isNull()).alias("has_null"))
     comparable = F.col("has_null").isNull() | (~F.col("has_null") & F.col("nmcont").isNotNull())
     return (
-        contracts.join(F.broadcast(portfolios), "cod_cli", "left")
+        contracts.join(F.broadcast(marks), "cod_cli", "left")
         .where(comparable)
         .drop("has_null")
         .join(paid, CONTRACT, "left_anti")

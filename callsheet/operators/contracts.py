@@ -7,6 +7,7 @@ its copies map-side, then to the contract.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
@@ -84,8 +85,10 @@ def contract_values(
     return values if min_sum is None else values.where(F.col("soma") >= F.lit(min_sum))
 
 
-def unpaid_contracts(complements: DataFrame, paid: DataFrame) -> DataFrame:
-    return exclude_paid(complements.select("nmcont", "cod_cli").distinct(), paid)
+def unpaid_contracts(
+    complements: DataFrame, paid: DataFrame, portfolios: Sequence[int]
+) -> DataFrame:
+    return exclude_paid(complements.select("nmcont", "cod_cli").distinct(), paid, portfolios)
 
 
 def collateral(goods: DataFrame) -> DataFrame:

@@ -159,8 +159,12 @@ def weekly_lists(
     base = base.join(widen_phones_by_rule(ranked, rules), "cod_cad")
 
     profile = contract_profile(tables, params)
-    if "right_person" in uses or with_last_contact:
-        dates = contact_dates(accounts, tables["hist_tb"], tables["stcob_tb"])
+    history = tables["hist_tb"], tables["stcob_tb"]
+    if with_last_contact:
+        profile = profile.join(contact_dates(accounts, *history), CONTRACT, "left")
+    elif "right_person" in uses:
+        dates = last_contact(accounts, *history, RIGHT_PERSON)
+        dates = dates.withColumnRenamed("dt_ultimo_cpc", "last_right")
         profile = profile.join(dates, CONTRACT, "left")
 
     on_lists = F.array_compact(

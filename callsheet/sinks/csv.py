@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callsheet.sinks.names import export_name
+
 BOM = "\ufeff"
 
 
@@ -71,5 +76,25 @@ def write_csv(
 
 
 def write_lists(df: DataFrame, path: str, by: list[str], rows_per_file: int | None = None) -> None:
-    """Write many lists in one job, one folder per value of the ``by`` columns."""
-    _writer(df, by, rows_per_file).partitionBy(*by).csv(path)
+    """Write many lists in one job, one folder per value of the ``by`` columns.
+
+    Rows are gathered by list first, in partitions of the size adaptive execution
+    aims at: a small list becomes one file, a big one is split over many tasks.
+    """
+    gathered = df.hint("rebalance", *by)
+    _writer(gathered, by, rows_per_file).partitionBy(*by).csv(path)
+
+
+def export_lists(
+    lists: DataFrame,
+    path: str,
+    at: dt.datetime,
+    labels: Sequence[str] = (),
+    rows_per_file: int | None = None,
+) -> None:
+    """Write the rows of a weekly run, each list in a folder under its export name."""
+    chosen = F.array(*[F.lit(label) for label in labels]).cast("array<string>")
+    stamp = F.lit(at).cast("timestamp_ntz")
+    name = export_name(F.col("cod_cli"), F.col("campaign"), chosen, stamp)
+    named = lists.withColumn("file_name", name).drop("campaign", "cod_cli")
+    write_lists(named, path, ["file_name"], rows_per_file)

@@ -66,7 +66,7 @@ def _without_run(t: Tables, pattern: str) -> DataFrame:
 
 def _values(t: Tables, **options) -> DataFrame:
     return agr.exclude_paid(
-        ctr.contract_values(t["rec_comp_tb"], t["receber_tb"], **options), _paid(t)
+        ctr.contract_values(t["rec_comp_tb"], t["receber_tb"], **options), _paid(t), PARAMS.portfolios
     )
 
 
@@ -155,7 +155,9 @@ DOMAIN_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "latest_agreement": lambda t: agr.latest_agreement(t["acordos_tb"], SINCE),
     "paid_contracts": _paid,
     "broken_contracts": lambda t: agr.contracts_in_status(_newest(t), BROKEN_STATUS),
-    "unpaid_contracts": lambda t: ctr.unpaid_contracts(t["rec_comp_tb"], _paid(t)),
+    "unpaid_contracts": lambda t: ctr.unpaid_contracts(
+        t["rec_comp_tb"], _paid(t), PARAMS.portfolios
+    ),
     "contract_values": lambda t: _values(t).select("cod_cli", "nmcont", "Contratos", "TipoProduto"),
     "contract_values_min": lambda t: _values(t, min_sum=Decimal(MIN_SUM)).select(
         "cod_cli", "nmcont", "Contratos", "TipoProduto", "soma"

@@ -4,7 +4,7 @@ import io
 from decimal import Decimal
 from pathlib import Path
 
-from callsheet.sinks.csv import to_text, write_csv, write_lists
+from callsheet.sinks.csv import export_lists, to_text, write_csv, write_lists
 
 SCHEMA = "nome string, `descrição` string, valor decimal(12,2), dia date, at timestamp_ntz, n bigint"
 AT = dt.datetime(2024, 2, 15, 10, 0, 0)
@@ -69,3 +69,15 @@ def test_to_text(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     got = sorted(tuple(r) for r in to_text(df).collect())
     assert got == sorted(tuple("" if v is None else str(v) for v in row) for row in ROWS)
+
+
+def test_weekly_rows_go_to_folders_named_after_their_lists(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("geral", 517, 1), ("geral", 518, 2), ("ter_cpc", 517, 3)], "campaign string, cod_cli int, cod_cad int")
+    export_lists(df, str(tmp_path / "out"), dt.datetime(2025, 1, 1, 10, 15), labels=["Bradesco IV"])
+    files = {p.parent.name: p.read_bytes() for p in (tmp_path / "out").rglob("part-*")}
+    assert files == {
+        "file_name=AutosPF_Geral_BradescoIV_20250101_101500": b"\xef\xbb\xbfcod_cad\r\n1\r\n",
+        "file_name=DivZeroPF_Geral_BradescoIV_20250101_101500": b"\xef\xbb\xbfcod_cad\r\n2\r\n",
+        "file_name=AutosPF_CPC_BradescoIV_20250101_101500": b"\xef\xbb\xbfcod_cad\r\n3\r\n",
+    }

@@ -75,8 +75,8 @@ def test_latest_agreement_leaves_out_unknown_statuses(make):
 def test_not_in_is_null_aware_per_portfolio(spark, paid, left):
     schema = "cod_cli int, nmcont string"
     contracts = spark.createDataFrame([(517, "A"), (517, None), (518, "A")], schema)
-    got = agr.exclude_paid(contracts, spark.createDataFrame(paid, schema)).select("cod_cli", "nmcont")
-    assert {tuple(r) for r in got.collect()} == set(left)
+    got = agr.exclude_paid(contracts, spark.createDataFrame(paid, schema), [517, 518])
+    assert {tuple(r) for r in got.select("cod_cli", "nmcont").collect()} == set(left)
 
 
 def test_values_count_each_invoice_per_complement_row(make):

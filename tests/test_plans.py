@@ -84,3 +84,21 @@ def test_jdbc_splits_cover_the_tables():
     ]
     assert range_options("cod_cad", 1, 9, 4) == {
         "partitionColumn": "cod_cad", "lowerBound": "1", "upperBound": "9", "numPartitions": "4"}
+
+
+def test_load_from_the_catalog(spark, tmp_path):
+    derived = DomainTables(spark, SMALL)
+    spark.sql(f"CREATE DATABASE lists LOCATION '{tmp_path}'")
+    try:
+        for name in SCHEMAS:
+            derived[name].write.saveAsTable(f"lists.{name}")
+        loaded = load(spark, "catalog:lists")
+        assert {n: df.count() for n, df in loaded.items()} == {n: derived[n].count() for n in SCHEMAS}
+    finally:
+        spark.sql("DROP DATABASE lists CASCADE")
+
+
+def test_catalogue(spark):
+    assert {r["campaign"]: r["file_part"] for r in cat.campaign_dim(spark).collect()} == {
+        c.id: c.file_part for c in cat.WEEK}
+    assert [tuple(r) for r in cat.portfolio_dim(spark).collect()] == list(cat.PORTFOLIOS)
