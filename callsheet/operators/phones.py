@@ -38,62 +38,64 @@ def clean_phones(phones: DataFrame, rule: str, pattern: str = REPEATED_DIGIT) ->
 def clean_phones_by_rule(
     phones: DataFrame, rules: Sequence[str], pattern: str = REPEATED_DIGIT
 ) -> DataFrame:
-    """:func:`clean_phones` for several rules in one pass, with a ``rule`` column."""
+    """Distinct phones per account that pass any of ``rules``, with a flag column per rule."""
     tests = {rule: phone_rule(rule, pattern) for rule in rules}
-    marked = (
-        number_phones(phones)
-        .where(reduce(or_, tests.values()))
-        .groupBy(*_PHONE)
-        # Copies of a phone may differ in their note; one good copy is enough.
-        .agg(*[F.max(test).alias(f"is_{rule}") for rule, test in tests.items()])
-    )
-    passed = F.array_compact(F.array(*[F.when(F.col(f"is_{r}"), F.lit(r)) for r in rules]))
-    return number_phones(marked).select(*_PHONE, "telefone_completo", F.explode(passed).alias("rule"))
-
-
-def rank_phones(
-    phones: DataFrame,
-    priority: Sequence[int] = STATUS_ORDER,
-    by: Sequence[str] = ("cod_cad",),
-) -> DataFrame:
+    # Copies of a phone may differ in their note; one good copy is enough.
+    flags = [F.coalesce(F.max(test), F.lit(False)).alias(rule) for rule, test in tests.items()]
+    kept = number_phones(phones).where(reduce(or_, tests.values()))
+    return number_phones(kept.groupBy(*_PHONE).agg(*flags))
+
+
+def _dial_order(priority: Sequence[int]) -> list[Column]:
+    status = F.col("status")
+    return [dial_priority(status, priority), status.asc_nulls_first(), F.col("telefone_completo")]
+
+
+def rank_phones(phones: DataFrame, priority: Sequence[int] = STATUS_ORDER) -> DataFrame:
     """Number each account's phones in dialling order as ``num``; ties go by phone text."""
-    order = [
-        dial_priority(F.col("status"), priority),
-        F.col("status").asc_nulls_first(),
-        F.col("telefone_completo"),
-    ]
-    return phones.withColumn("num", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    order = Window.partitionBy("cod_cad").orderBy(*_dial_order(priority))
+    return phones.withColumn("num", F.row_number().over(order))
 
 
 def top_phones(ranked: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("num") <= k)
 
 
-def _slot(num: int, *conditions: Column) -> Column:
-    test = reduce(lambda a, b: a & b, conditions, F.col("num") == num)
-    return F.max(F.when(test, F.col("telefone_completo")))
-
-
-def slot_names(prefix: str = "Telefone") -> list[str]:
-    return [f"{prefix}{num}" for num in range(1, PHONE_SLOTS + 1)]
+def slot_names() -> list[str]:
+    return [f"Telefone{num}" for num in range(1, PHONE_SLOTS + 1)]
 
 
 def widen_phones(ranked: DataFrame) -> DataFrame:
     """One row per account with ``Telefone1`` to ``Telefone7``."""
-    slots = [_slot(num).alias(name) for num, name in enumerate(slot_names(), 1)]
-    return ranked.groupBy("cod_cad").agg(*slots)
-
-
-def widen_phones_by_rule(ranked: DataFrame, rules: Sequence[str]) -> DataFrame:
-    """One row per account with seven slots per rule, named after it: ``strict1`` ..."""
     slots = [
-        _slot(num, F.col("rule") == rule).alias(name)
-        for rule in rules
-        for num, name in enumerate(slot_names(rule), 1)
+        F.max(F.when(F.col("num") == num, F.col("telefone_completo"))).alias(name)
+        for num, name in enumerate(slot_names(), 1)
     ]
     return ranked.groupBy("cod_cad").agg(*slots)
 
 
+def phone_lists_by_rule(
+    phones: DataFrame, rules: Sequence[str], k: int, priority: Sequence[int] = STATUS_ORDER
+) -> DataFrame:
+    """One row per account with an array per rule, named after it: its first ``k`` phones.
+
+    A phone among the first ``k`` of a rule is among the first ``k`` of the phones that
+    pass the same rules as it does. So few phones per account are left to collect.
+    """
+    alike = Window.partitionBy("cod_cad", *rules).orderBy(*_dial_order(priority))
+    few = phones.withColumn("num", F.row_number().over(alike)).where(F.col("num") <= k)
+    place = dial_priority(F.col("status"), priority).alias("place")
+    entries = F.collect_list(F.struct(place, "status", "telefone_completo", *rules))
+    by_account = few.groupBy("cod_cad").agg(F.array_sort(entries).alias("phones"))
+
+    def first(rule: str) -> Column:
+        passing = F.filter("phones", lambda phone: phone[rule])
+        numbers = F.transform(passing, lambda phone: phone["telefone_completo"])
+        return F.slice(numbers, 1, k).alias(rule)
+
+    return by_account.select("cod_cad", *[first(rule) for rule in rules])
+
+
 def phones_of(accounts: DataFrame, phones: DataFrame) -> DataFrame:
     """Phones of the given accounts."""
     return accounts.select("cod_cad").join(phones, "cod_cad")

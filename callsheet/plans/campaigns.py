@@ -26,11 +26,11 @@ from callsheet.operators.contracts import contract_profile
 from callsheet.operators.phones import (
     clean_phones,
     clean_phones_by_rule,
+    phone_lists_by_rule,
     rank_phones,
     slot_names,
     top_phones,
     widen_phones,
-    widen_phones_by_rule,
 )
 from callsheet.params import CampaignParams
 from callsheet.plans.catalogue import WEEK, Campaign
@@ -117,7 +117,7 @@ def campaign_list(
 
 def _member(campaign: Campaign, params: CampaignParams) -> Column:
     """Whether a row of the joined account frame is on the campaign's list."""
-    has_phone = F.col(f"{campaign.phone_rule}1").isNotNull()
+    has_phone = F.size(campaign.phone_rule) > 0
     if campaign.selects == "broken":
         return has_phone & F.col("is_broken")
     if campaign.selects == "right_person":
@@ -155,8 +155,7 @@ def weekly_lists(
         base = base.join(contacts.withColumn("contacted", F.lit(True)), "cod_cad", "left")
 
     cleaned = clean_phones_by_rule(tables["fones_tb"], rules, params.repeated_digits)
-    ranked = top_phones(rank_phones(cleaned, by=("cod_cad", "rule")), params.max_phones)
-    base = base.join(widen_phones_by_rule(ranked, rules), "cod_cad")
+    base = base.join(phone_lists_by_rule(cleaned, rules, params.max_phones), "cod_cad")
 
     profile = contract_profile(tables, params)
     history = tables["hist_tb"], tables["stcob_tb"]
@@ -172,10 +171,8 @@ def weekly_lists(
     )
     listed = join_contracts(base, profile).withColumn("campaign", F.explode(on_lists))
 
-    phones = [
-        _by_campaign({c.id: F.col(f"{c.phone_rule}{num}") for c in campaigns}).alias(name)
-        for num, name in enumerate(slot_names(), 1)
-    ]
+    numbers = _by_campaign({c.id: F.col(c.phone_rule) for c in campaigns})
+    phones = [F.get(numbers, F.lit(i)).alias(name) for i, name in enumerate(slot_names())]
     extra = []
     if with_last_contact:
         kinds = {

@@ -11,10 +11,10 @@ from callsheet.operators.contracts import contract_values
 from callsheet.operators.phones import (
     clean_phones,
     clean_phones_by_rule,
+    phone_lists_by_rule,
     rank_phones,
     top_phones,
     widen_phones,
-    widen_phones_by_rule,
 )
 
 ORDER = {2: 1, 4: 2, 5: 3, 6: 4, 1: 5, 0: 6}
@@ -83,11 +83,11 @@ def test_phone_slots_of_two_rules_in_one_pass(make, phones):
     names = ("cod_cad", "dddfone", "telefone", "status", "obs")
     df = make("fones_tb", *[dict(zip(names, row)) for row in phones]).repartition(8)
     cleaned = clean_phones_by_rule(df, ["strict", "loose"])
-    ranked = top_phones(rank_phones(cleaned, by=("cod_cad", "rule")), 7)
-    rows = widen_phones_by_rule(ranked, ["strict", "loose"]).collect()
-    none = (None,) * 7
-    assert {r[0]: tuple(r)[8:] for r in rows if r["loose1"]} == slots(phones, loose, 7)
-    assert {r[0]: tuple(r)[1:8] for r in rows if tuple(r)[1:8] != none} == slots(phones, strict, 7)
+    for k in (2, 7):
+        rows = phone_lists_by_rule(cleaned, ["strict", "loose"], k).collect()
+        for rule, test in (("strict", strict), ("loose", loose)):
+            want = {a: [n for n in numbers if n] for a, numbers in slots(phones, test, k).items()}
+            assert {r["cod_cad"]: r[rule] for r in rows if r[rule]} == want
 
 
 def test_values_of_a_hot_contract(make):
