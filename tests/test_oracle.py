@@ -31,6 +31,15 @@ def test_query_equals_its_twin(spark, connection, name):
     assert rows
 
 
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_types_equal_those_of_the_twin(spark, connection, name):
+    ours = {n: SQL_TYPES.get(kind, kind.upper()) for n, kind in QUERIES[name](spark, SMALL).dtypes}
+    assert ours == {r[0]: r[1] for r in connection.execute(f"DESCRIBE {TWINS[name]}").fetchall()}
+
+
 def test_list_sizes_are_those_of_the_fixture_notes(spark):
     rows = QUERIES["weekly_lists"](spark, SMALL).groupBy("campaign", "cod_cli").count().collect()
     sizes = Counter({(r["campaign"], r["cod_cli"]): r["count"] for r in rows})
