@@ -77,9 +77,12 @@ def campaign_list(
     campaign: Campaign,
     params: CampaignParams,
     with_last_contact: bool = False,
+    with_keys: bool = False,
 ) -> DataFrame:
     """One row per account to call, in the column order of :data:`LIST_COLUMNS`.
 
+    ``with_keys`` puts ``campaign`` and ``cod_cli`` in front, as :func:`weekly_lists` does.
+
     Accounts, contacts and phones meet on the account id, the result meets the
     contract profile last. Each side is down to one row per key by then, except for
     accounts that share a contract.
@@ -112,7 +115,8 @@ def campaign_list(
     phones = widen_phones(top_phones(ranked, params.max_phones))
 
     listed = join_contracts(accounts.select(*account_columns()).join(phones, "cod_cad"), profile)
-    return listed.select(*LIST_COLUMNS, *(_contact_columns() if with_last_contact else []))
+    keys = [F.lit(campaign.id).alias("campaign"), "cod_cli"] if with_keys else []
+    return listed.select(*keys, *LIST_COLUMNS, *(_contact_columns() if with_last_contact else []))
 
 
 def _member(campaign: Campaign, params: CampaignParams) -> Column:

@@ -94,7 +94,7 @@ def export_lists(
 ) -> None:
     """Write the rows of a weekly run, each list in a folder under its export name."""
     chosen = F.array(*[F.lit(label) for label in labels]).cast("array<string>")
-    stamp = F.lit(at).cast("timestamp_ntz")
+    stamp = F.lit(f"{at:%Y-%m-%d %H:%M:%S}").cast("timestamp_ntz")
     name = export_name(F.col("cod_cli"), F.col("campaign"), chosen, stamp)
     named = lists.withColumn("file_name", name).drop("campaign", "cod_cli")
     write_lists(named, path, ["file_name"], rows_per_file)
