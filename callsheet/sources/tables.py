@@ -23,9 +23,12 @@ def save(tables: dict[str, DataFrame], path: str) -> None:
     """Write the tables as Parquet for :func:`load`.
 
     Tables with a portfolio code are partitioned by it, so that a run for one
-    portfolio reads only its share.
+    portfolio reads only its share. Events are laid out by time, so that a look at
+    the last days skips the older files by their statistics.
     """
     for name, df in tables.items():
+        if name == "hist_tb":
+            df = df.repartitionByRange("data_at").sortWithinPartitions("data_at")
         writer = df.write.mode("errorifexists")
         if name != "hist_tb" and "cod_cli" in df.columns:
             writer = writer.partitionBy("cod_cli")
