@@ -1 +1 @@
-"""Queries, reference SQL and input tables for checks and benchmarks."""
+"""Checked queries, their SQL twins and the input tables of checks and benchmarks."""

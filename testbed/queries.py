@@ -24,7 +24,7 @@ from callsheet.plans.campaigns import campaign_list, weekly_lists
 from callsheet.sinks.csv import to_text
 from callsheet.sinks.names import export_name
 from testbed.domain import DomainTables
-from testbed.settings import FILTERED, LABELS, LITERAL, MIN_SUM, PARAMS
+from testbed.settings import FILTERED, LABELS, LITERAL, MIN_SUM, PARAMS, SCANS
 
 Tables = dict[str, DataFrame]
 SINCE = PARAMS.agreements_since
@@ -127,9 +127,13 @@ def _amount_texts(orders: DataFrame) -> DataFrame:
     )
 
 
+def _scan(table: str):
+    return lambda t: t[table]
+
+
 #: Queries over the eight tables.
 DOMAIN_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
-    "scan_accounts": lambda t: t["cadastros_tb"],
+    **{name: _scan(table) for name, table in SCANS.items()},
     "filter_portfolio": lambda t: acc.in_portfolio(t["cadastros_tb"], [518]).select(
         "cod_cad", "nmcont", "cod_cli"
     ),
@@ -190,6 +194,7 @@ DOMAIN_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "campaign_geral_filtered": _campaign(cat.WHOLE_BASE, FILTERED),
     "campaign_geral_literal": _campaign(cat.WHOLE_BASE, LITERAL),
     "weekly_lists": lambda t: weekly_lists(t, PARAMS),
+    "weekly_lists_contact": lambda t: weekly_lists(t, PARAMS, with_last_contact=True),
     "portfolio_counts": lambda t: por.portfolio_counts(t["cadastros_tb"]),
     "portfolio_total": lambda t: por.portfolio_total(t["cadastros_tb"]),
     "portfolio_labels": lambda t: por.portfolio_labels(
