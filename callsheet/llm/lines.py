@@ -88,7 +88,8 @@ def keep_bitmaps(
     late = (
         streamed.where("kind = 'wait'")
         .select("id", "text_hash", "n_lines", "positions", "line_hash")
-        .join(whole, "line_hash")
+        # At most two runs a partition touch its edges, so `whole` is small by that bound.
+        .join(F.broadcast(whole), "line_hash")
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
         .select("id", "text_hash", "n_lines", "positions")
     )
