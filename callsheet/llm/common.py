@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,10 +43,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ascii_lower(column: Column) -> Column:
-    """A-Z lower-cased, every other character left as it is."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(column, upper, upper.lower())
+def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcasts a value of a size that the caller has bounded; tasks call the result for it.
+
+    The value may be of a class of this package, which the executors need not have.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list[Any] = []
+
+    def get() -> Any:
+        if not held:
+            held.append(cloudpickle.loads(sent.value))
+        return held[0]
+
+    return get
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -8,6 +8,41 @@ _LOWER = "'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE: dict[str, str] = {}
 
+ORACLE["op6_benchmark_decontamination"] = f"""
+WITH item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(
+    translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark
+), sized AS (
+  SELECT item_id, w, least(10, len(w)) AS size FROM item WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM (SELECT *, unnest(generate_series(1, len(w) - size + 1)) AS i FROM sized)
+), doc AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), spots AS (
+  SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i
+  FROM doc, sizes WHERE len(w) >= size
+), matched AS (
+  SELECT doc_id, i, s.size, item_id
+  FROM spots s JOIN windows v ON s.size = v.size AND array_to_string(w[i:i + s.size - 1], ' ') = v.win
+), hit AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS pos FROM matched) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, item_id FROM matched) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN found ON d.doc_id = found.doc_id
+"""
+
 ORACLE["op10_line_dedup"] = f"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
