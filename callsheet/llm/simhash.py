@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsheet.llm.common import components, stored
@@ -115,24 +115,30 @@ def fingerprints(
     id_column: str = "doc_id",
     text_column: str = "text",
     words_each: int = SHINGLE_WORDS,
+    text_hash: Column | None = None,
 ) -> DataFrame:
-    """`id` and `fingerprint` (long, two's complement) of every row.
+    """`id`, `fingerprint` (long, two's complement) and `text_hash`, if asked for, of every row.
 
     Null texts count as empty. Shingles repeat as often as they occur; a text of fewer
     words than a shingle is one shingle.
     """
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    rows = docs.select(
+        F.col(text_column).cast("string").alias("text"),
+        F.col(id_column).alias("id"),
+        *([] if text_hash is None else [text_hash.alias("text_hash")]),
+    )
     id_type = rows.schema["id"].dataType.simpleString()
+    more = "" if text_hash is None else ", text_hash long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(t, words_each) for t in batch.column(1).to_pylist()]
+            prints = [fingerprint(t, words_each) for t in batch.column(0).to_pylist()]
+            found = pa.array(np.array(prints, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))],
-                ["id", "fingerprint"],
+                [*batch.columns[1:], found], [*batch.schema.names[1:], "fingerprint"]
             )
 
-    return rows.mapInArrow(run, f"id {id_type}, fingerprint long")
+    return rows.mapInArrow(run, f"id {id_type}{more}, fingerprint long")
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, shard_size: int = SHARD_SIZE) -> DataFrame:
@@ -191,18 +197,62 @@ def near_duplicates(
     a row each. Texts without words share fingerprint zero and link like any others.
     """
     prints = stored(fingerprints(docs, id_column, text_column, words_each))
+    return prints.join(_classes(prints, max_bits), "fingerprint").select(
+        "id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def one_of_each(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    words_each: int = SHINGLE_WORDS,
+    max_bits: int = MAX_BITS,
+) -> DataFrame:
+    """The rows of `docs`, one of each group of near duplicates.
+
+    The row with the smallest id stays; null ids come last, and of rows with that id
+    the one with the smallest text hash. Of rows equal in id and text one stays.
+    """
+    text_hash = F.xxhash64(F.col(text_column).cast("string"))
+    prints = stored(fingerprints(docs, id_column, text_column, words_each, text_hash))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
+    kept = (
+        prints.groupBy("fingerprint")
+        .agg(first.alias("first"))
+        .join(_classes(prints, max_bits).select("fingerprint", "root"), "fingerprint")
+        .groupBy("root")
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first.id").alias("k_id"), F.col("first.text_hash").alias("k_hash"))
+    )
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(id_column).alias("r_id"), text_hash.alias("r_hash")
+    )
+    # Kept ids and hashes are narrow: hashing them spares a sort of whole texts.
+    return (
+        rows.join(
+            kept.hint("shuffle_hash"),
+            F.col("r_id").eqNullSafe(F.col("k_id")) & (F.col("r_hash") == F.col("k_hash")),
+            "left_semi",
+        )
+        .dropDuplicates(["r_id", "r_hash"])
+        .select("row.*")
+    )
+
+
+def _classes(prints: DataFrame, max_bits: int) -> DataFrame:
+    """`fingerprint`, `root` (of its component) and `component_id`, a row per fingerprint."""
     distinct = stored(prints.groupBy("fingerprint").agg(F.min("id").alias("smallest")))
     joined = components(links(distinct.select("fingerprint"), max_bits)).withColumnRenamed(
         "node", "fingerprint"
     )
     linked = distinct.join(joined, "fingerprint")
     lowest = linked.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = linked.join(lowest, "root").select("fingerprint", "component_id")
-    classes = distinct.join(named, "fingerprint", "left").select(
-        "fingerprint", F.coalesce("component_id", "smallest").alias("component_id")
-    )
-    return prints.join(classes, "fingerprint").select(
-        "id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    named = linked.join(lowest, "root").select("fingerprint", "root", "component_id")
+    return distinct.join(named, "fingerprint", "left").select(
+        "fingerprint",
+        F.coalesce("root", "fingerprint").alias("root"),
+        F.coalesce("component_id", "smallest").alias("component_id"),
     )
 
 
