@@ -8,6 +8,18 @@ _LOWER = "'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE: dict[str, str] = {}
 
+ORACLE["op3_warc"] = """
+WITH payload AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS bytes FROM pages
+), grouped AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS last_id FROM payload
+)
+SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN bytes >= 1000 AND page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN bytes >= 1000 AND page_id < last_id THEN last_id END AS refers_to
+FROM grouped
+"""
+
 ORACLE["op6_benchmark_decontamination"] = f"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsheet.llm import decontaminate, html_blocks, langid, lines, packing, simhash
+from callsheet.llm import decontaminate, html_blocks, langid, lines, packing, simhash, warc
+from callsheet.llm.common import new_folder
 
 
 #: Path on the executors; the file belongs to an installed package.
@@ -41,6 +42,20 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = new_folder(spark, "warc")
+    written = warc.write_archives(warc.with_record_types(pages), folder)
+    found = warc.read_records(warc.normalise(written, folder), folder)
+    return found.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     blocks = decontaminate.automata(table(spark, sf_dir, "benchmark"))
@@ -72,6 +87,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
+    "op3_warc": op3_warc,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_language_id": op7_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
