@@ -20,6 +20,101 @@ SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, sha1(html) AS payload_di
 FROM grouped
 """
 
+_CONTROL = r"<\||</?s>|<</?SYS>>|\[/?INST\]"
+
+
+def _escaped_length(column: str) -> str:
+    """A backslash more for each backslash and control string."""
+    return (
+        f"length({column}) + length({column}) - length(replace({column}, chr(92), ''))"
+        f" + len(regexp_extract_all({column}, '{_CONTROL}'))"
+    )
+
+
+ORACLE["op4_chat_formatting"] = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]'
+  FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)
+), sized AS (
+  SELECT *, sum(length('<|im_start|><|im_sep|><|im_end|>') + {_escaped_length("role")}
+      + {_escaped_length("text")}) OVER w AS upto,
+    row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM turns
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR place = n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+_ASSIGN = (
+    "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"
+    "|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    "[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+)
+#: kind, its place among the kinds, pattern, group of the value, least code points of it
+_SECRETS = (
+    ("assign", 0, _ASSIGN, 2, 8),
+    ("access", 1, "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", 2, "[0-9a-f]+", 0, 32),
+    ("random", 3, "[A-Za-z0-9+/_=-]+", 0, 20),
+)
+_MATCHES = " UNION ALL ".join(
+    f"""SELECT doc_id, source, '{kind}' AS kind, {order} AS kind_order, {group} AS grp, {least} AS least,
+      regexp_extract_all(text, '{pattern}') AS found, regexp_extract_all(text, '{pattern}', {group}) AS vals,
+      regexp_split_to_array(text, '{pattern}') AS gaps
+    FROM doc WHERE regexp_matches(text, '{pattern}')"""
+    for kind, order, pattern, group, least in _SECRETS
+)
+
+ORACLE["op5_secret_scans"] = f"""
+WITH doc AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), matches AS ({_MATCHES}), places AS (
+  SELECT doc_id, source, kind, kind_order, least, unnest(found) AS match, unnest(vals) AS value,
+    unnest(gaps[1:len(found)]) AS gap, generate_subscripts(found, 1) AS place
+  FROM matches
+), spans AS (
+  SELECT doc_id, source, kind, kind_order, least, value,
+    sum(length(gap) + length(match)) OVER (PARTITION BY doc_id, kind ORDER BY place) AS end_at,
+    length(match) AS size
+  FROM places
+), kept AS (
+  SELECT *, end_at - size AS start_at FROM spans WHERE length(value) >= least
+), held AS (
+  SELECT value, count(DISTINCT source) AS repositories,
+    count(DISTINCT split_part(source, '/', 1)) AS owners
+  FROM kept GROUP BY value
+), judged AS (
+  SELECT k.*, owners <= 2 AND repositories <= 3
+    AND NOT regexp_matches(value, '(?i)example|sample|dummy|changeme|placeholder|test|xxxx|your|1234567')
+    AND len(list_distinct(string_split(value, ''))) >= 8
+    AND (kind <> 'random' OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]')
+      AND regexp_matches(value, '[A-Z]'))) AS live
+  FROM kept k JOIN held h USING (value)
+), found AS (
+  SELECT * FROM judged j WHERE kind <> 'random' OR (live AND NOT EXISTS (
+    SELECT 1 FROM kept b WHERE b.doc_id = j.doc_id AND b.kind <> 'random'
+      AND b.start_at < j.end_at AND b.end_at > j.start_at))
+), told AS (
+  SELECT *, kind || ':' || CAST(start_at AS BIGINT) || ':' || CAST(end_at AS BIGINT) AS span FROM found
+), by_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied,
+    string_agg(span, ',' ORDER BY start_at, kind_order) FILTER (kind <> 'random') AS base,
+    string_agg(span, ',' ORDER BY start_at, kind_order) AS spans
+  FROM told GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM doc d LEFT JOIN by_doc b ON d.doc_id = b.doc_id
+"""
+
 ORACLE["op6_benchmark_decontamination"] = f"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(

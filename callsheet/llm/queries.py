@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsheet.llm import decontaminate, html_blocks, langid, lines, packing, simhash, warc
+from callsheet.llm import (
+    chat,
+    decontaminate,
+    html_blocks,
+    langid,
+    lines,
+    packing,
+    secrets,
+    simhash,
+    warc,
+)
 from callsheet.llm.common import new_folder
 
 
@@ -56,6 +66,63 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # A conversation whose texts are control strings of another template.
+    fixed = spark.range(1).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    made = chat.examples(turns.unionByName(fixed))
+    # Read back: the trainable text of each example, the turns of the longest one.
+    loss = chat.loss_text(F.col("text"), F.col("loss_start"), F.col("loss_end"))
+    read = made.select(
+        "id",
+        "target",
+        F.length("text").cast("long").alias("chars"),
+        loss.alias("loss"),
+        F.when(F.col("is_last"), F.col("text")).alias("whole"),
+    )
+    each = read.groupBy("id").agg(
+        F.sum("chars").alias("formatted_chars"),
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("target", "loss"))), lambda x: x["loss"]), ""
+        ).alias("loss"),
+        F.max("whole").alias("whole"),
+    )
+    back = each.withColumn("turns", chat.turns_of(F.col("whole")))
+    lined = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        F.col("id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lined, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secrets.scan(docs)
+    number = lambda *kinds: F.size(
+        F.filter("findings", lambda f: f["kind"].isin(*kinds))
+    ).cast("long")
+    base = F.filter("findings", lambda f: f["kind"].isin(*secrets.BASE))
+    live = F.size(F.filter("findings", lambda f: f["live"])).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        number("assign").alias("n_assign"),
+        number("access").alias("n_access"),
+        number("hex").alias("n_hex"),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("findings")).alias("spans"),
+        live.alias("n_live"),
+        (F.size("findings") - live).alias("n_copied"),
+    )
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     blocks = decontaminate.automata(table(spark, sf_dir, "benchmark"))
@@ -88,6 +155,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
     "op3_warc": op3_warc,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_secret_scans": op5_secret_scans,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_language_id": op7_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
