@@ -16,22 +16,34 @@ from callsheet.functions.agreement import (
 )
 from callsheet.functions.text import day_text
 from callsheet.operators.accounts import in_portfolio
+from callsheet.operators.ranking import number_rows
 from callsheet.schemas import CONTRACT
 
+#: Agreement ids in a bucket of the full ranking.
+AGREEMENT_BUCKET = 65536
+
 
 def since_date(agreements: DataFrame, since: dt.date) -> DataFrame:
     return agreements.where(F.col("data_cad") >= F.lit(since))
 
 
 def rank_agreements(agreements: DataFrame, since: dt.date) -> DataFrame:
-    """Number each contract's agreements from the newest as ``rn_aco``."""
-    newest = Window.partitionBy(*CONTRACT).orderBy(F.desc("cod_aco"))
-    return since_date(agreements, since).withColumn("rn_aco", F.row_number().over(newest))
+    """Number each contract's agreements from the newest as ``rn_aco``.
+
+    Agreement ids are unique, so a bucket of a contract has AGREEMENT_BUCKET rows at most.
+    """
+    bucket = F.floor(F.col("cod_aco") / AGREEMENT_BUCKET)
+    return number_rows(
+        since_date(agreements, since), CONTRACT, [(bucket, True)], [F.desc("cod_aco")], "rn_aco"
+    )
 
 
 def newest_agreement(agreements: DataFrame, since: dt.date) -> DataFrame:
     """The newest agreement per contract, whatever its status."""
-    return rank_agreements(agreements, since).where(F.col("rn_aco") == 1).drop("rn_aco")
+    # With the limit known, every task sends one row of a contract on.
+    newest = Window.partitionBy(*CONTRACT).orderBy(F.desc("cod_aco"))
+    numbered = since_date(agreements, since).withColumn("rn_aco", F.row_number().over(newest))
+    return numbered.where(F.col("rn_aco") == 1).drop("rn_aco")
 
 
 def agreement_columns() -> list[Column]:

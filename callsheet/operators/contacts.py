@@ -15,20 +15,52 @@ SYSTEM_CLASS = "sistema"
 SYSTEM_OPERATOR = "999"
 
 
-def _event_dates(events: DataFrame, codes: DataFrame, **only: Column | None) -> DataFrame:
-    """Latest event with a known code per account, once per named condition.
+#: Places in the array of :func:`contact_summary`.
+ANY_EVENT, ANY_CODE, RIGHT, HUMAN = range(4)
 
-    Reduced to one row per account before any join with accounts, so the number of
-    events of an account does not matter there.
+
+def _by_code(events: DataFrame) -> DataFrame:
+    """Latest event, and latest one by an operator, per account and event code.
+
+    Events meet the codes only after this. Accounts times codes is all that moves, and
+    no shuffle of events is by the code alone, of which there are a handful.
     """
     at = F.col("data_at")
+    return events.groupBy(F.col("cod_cli").alias("cod_cad"), "ocorr").agg(
+        F.max(at).alias("at"),
+        F.max(F.when(F.col("cod_usu") != SYSTEM_OPERATOR, at)).alias("human_at"),
+    )
+
+
+def _has_class(exclude_system: bool) -> Column:
+    """Whether a code has a class that makes an operator's event a contact."""
+    if not exclude_system:
+        return F.col("bsc").isNotNull()
+    return (F.col("bsc") != "") & ~F.col("bsc").ilike(f"%{SYSTEM_CLASS}%")
+
+
+def _is_right_person() -> Column:
+    return F.col("bsc").ilike(f"%{RIGHT_PERSON}%")
+
+
+def contact_summary(events: DataFrame, codes: DataFrame, exclude_system: bool = False) -> DataFrame:
+    """Per account an array ``seen`` of four latest events: any, with a known code, with the
+    right person, and by an operator under a code with a class.
+
+    One array, so that all uses of it in a plan are the same and Spark works it out once.
+    """
+    known = F.col("st").isNotNull()
     latest = [
-        F.max(at if test is None else F.when(test, at)).alias(name) for name, test in only.items()
+        F.max("at"),
+        F.max(F.when(known, F.col("at"))),
+        F.max(F.when(known & _is_right_person(), F.col("at"))),
+        F.max(F.when(known & _has_class(exclude_system), F.col("human_at"))),
     ]
+    reduced = _by_code(events)
     return (
-        events.join(codes, events["ocorr"] == codes["st"])
-        .groupBy(events["cod_cli"].alias("cod_cad"))
-        .agg(*latest)
+        reduced.join(codes, reduced["ocorr"] == codes["st"], "left")
+        .groupBy("cod_cad")
+        .agg(F.array(*latest).alias("seen"))
     )
 
 
@@ -38,17 +70,24 @@ def last_contact(
     """Latest contact per contract over its ``accounts``; ``only`` limits the event class."""
     if only is not None:
         codes = codes.where(F.col("bsc").ilike(f"%{only}%"))
-    dates = _event_dates(events, codes, dt_ultimo_cpc=None)
+    reduced = _by_code(events)
+    dates = reduced.join(codes, reduced["ocorr"] == codes["st"]).groupBy("cod_cad").agg(F.max("at").alias("at"))
     by_contract = accounts.join(dates, "cod_cad").groupBy(*CONTRACT)
-    return by_contract.agg(F.max("dt_ultimo_cpc").alias("dt_ultimo_cpc"))
+    return by_contract.agg(F.max("at").alias("dt_ultimo_cpc"))
 
 
-def contact_dates(accounts: DataFrame, events: DataFrame, codes: DataFrame) -> DataFrame:
-    """Per contract: latest contact of any class and with the right person, in one scan."""
-    right = F.col("bsc").ilike(f"%{RIGHT_PERSON}%")
-    dates = _event_dates(events, codes, last_any=None, last_right=right)
-    by_contract = accounts.join(dates, "cod_cad").groupBy(*CONTRACT)
-    return by_contract.agg(F.max("last_any").alias("last_any"), F.max("last_right").alias("last_right"))
+def contact_dates(accounts: DataFrame, summary: DataFrame) -> DataFrame:
+    """Per contract: latest contact of any class and with the right person."""
+    by_contract = accounts.join(summary, "cod_cad").groupBy(*CONTRACT)
+    return by_contract.agg(
+        F.max(F.get("seen", F.lit(ANY_CODE))).alias("last_any"),
+        F.max(F.get("seen", F.lit(RIGHT))).alias("last_right"),
+    )
+
+
+def window_start(as_of: Column, days: int) -> Column:
+    """First moment of a contact window; a plain timestamp, so no session time zone gets in."""
+    return F.date_sub(as_of, days).cast("timestamp_ntz")
 
 
 def contacted(
@@ -64,16 +103,13 @@ def contacted(
     ``human_only`` wants an operator other than the system and a code with a class;
     system classes count unless ``exclude_system``. Without it any event counts.
     """
-    # A plain timestamp bound, so that no session time zone gets in.
-    start = F.date_sub(as_of, days).cast("timestamp_ntz")
-    recent = events.where(F.col("data_at") >= start)
-    if human_only:
-        classed = codes.where(F.col("bsc").isNotNull())
-        if exclude_system:
-            classed = classed.where((F.col("bsc") != "") & ~F.col("bsc").ilike(f"%{SYSTEM_CLASS}%"))
-        recent = recent.where(F.col("cod_usu") != SYSTEM_OPERATOR)
-        recent = recent.join(classed, recent["ocorr"] == classed["st"], "left_semi")
-    return recent.select(F.col("cod_cli").alias("cod_cad")).distinct()
+    recent = events.where(F.col("data_at") >= window_start(as_of, days))
+    if not human_only:
+        return recent.select(F.col("cod_cli").alias("cod_cad")).distinct()
+    by_operator = recent.where(F.col("cod_usu") != SYSTEM_OPERATOR)
+    pairs = by_operator.select(F.col("cod_cli").alias("cod_cad"), "ocorr").distinct()
+    classed = codes.where(_has_class(exclude_system))
+    return pairs.join(classed, pairs["ocorr"] == classed["st"], "left_semi").select("cod_cad").distinct()
 
 
 def not_contacted(accounts: DataFrame, contacts: DataFrame) -> DataFrame:

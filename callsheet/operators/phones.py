@@ -17,8 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsheet.functions.phone import STATUS_ORDER, dial_priority, full_number, phone_rule
+from callsheet.operators.ranking import number_rows
 from callsheet.params import PHONE_SLOTS, REPEATED_DIGIT
 
+#: Leading characters of a phone that make a bucket of the full ranking.
+PREFIX = 4
+
 _PHONE = ["cod_cad", "dddfone", "telefone", "status"]
 
 
@@ -52,13 +56,29 @@ def _dial_order(priority: Sequence[int]) -> list[Column]:
 
 
 def rank_phones(phones: DataFrame, priority: Sequence[int] = STATUS_ORDER) -> DataFrame:
-    """Number each account's phones in dialling order as ``num``; ties go by phone text."""
-    order = Window.partitionBy("cod_cad").orderBy(*_dial_order(priority))
-    return phones.withColumn("num", F.row_number().over(order))
+    """Number each account's phones in dialling order as ``num``; ties go by phone text.
+
+    Numbered within the phones of a status that begin alike, so that an account with
+    very many phones is split.
+    """
+    status = F.col("status")
+    buckets = [
+        (dial_priority(status, priority), False),
+        (status, False),
+        (F.substring("telefone_completo", 1, PREFIX), False),
+    ]
+    return number_rows(phones, ["cod_cad"], buckets, _dial_order(priority), "num")
+
 
+def top_phones(
+    phones: DataFrame, k: int, priority: Sequence[int] = STATUS_ORDER
+) -> DataFrame:
+    """The first ``k`` phones of each account, numbered as :func:`rank_phones` does.
 
-def top_phones(ranked: DataFrame, k: int) -> DataFrame:
-    return ranked.where(F.col("num") <= k)
+    With the limit known, every task sends ``k`` phones of an account on.
+    """
+    order = Window.partitionBy("cod_cad").orderBy(*_dial_order(priority))
+    return phones.withColumn("num", F.row_number().over(order)).where(F.col("num") <= k)
 
 
 def slot_names() -> list[str]:

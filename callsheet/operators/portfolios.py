@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callsheet.operators.accounts import active
+from callsheet.operators.accounts import active, in_portfolio
 
 
 def is_labelled() -> Column:
@@ -18,10 +20,16 @@ def portfolio_counts(accounts: DataFrame) -> DataFrame:
     return counts.agg(F.count("*").alias("qtd_contratos")).orderBy("cod_cli", "infoad")
 
 
-def portfolio_total(accounts: DataFrame) -> DataFrame:
-    """Active labelled accounts per portfolio, 0 for a portfolio without any."""
-    counted = (F.col("stcli") != "INA") & is_labelled()
-    return accounts.groupBy("cod_cli").agg(F.count(F.when(counted, 1)).alias("total_contratos"))
+def portfolio_total(accounts: DataFrame, portfolios: Sequence[int]) -> DataFrame:
+    """Active labelled accounts of each of ``portfolios``, 0 for one without any."""
+    counted = active(in_portfolio(accounts, portfolios).where(is_labelled())).groupBy("cod_cli")
+    totals = counted.agg(F.count("*").alias("n"))
+    codes = F.array(*[F.lit(code) for code in sorted(set(portfolios))]).cast("array<int>")
+    asked = accounts.sparkSession.range(1).select(F.explode(codes).alias("cod_cli"))
+    # Both sides hold a row per portfolio asked for.
+    return asked.join(totals, "cod_cli", "left").select(
+        "cod_cli", F.coalesce("n", F.lit(0)).cast("long").alias("total_contratos")
+    )
 
 
 def portfolio_labels(accounts: DataFrame) -> DataFrame:

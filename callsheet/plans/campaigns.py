@@ -16,25 +16,21 @@ from callsheet.operators.accounts import (
     select_accounts,
 )
 from callsheet.operators.contacts import (
+    ANY_EVENT,
+    HUMAN,
     RIGHT_PERSON,
     contact_dates,
+    contact_summary,
     contacted,
     last_contact,
     not_contacted,
+    window_start,
 )
 from callsheet.operators.contracts import contract_profile
-from callsheet.operators.phones import (
-    clean_phones,
-    clean_phones_by_rule,
-    phone_lists_by_rule,
-    rank_phones,
-    slot_names,
-    top_phones,
-    widen_phones,
-)
+from callsheet.operators.phones import clean_phones_by_rule, phone_lists_by_rule, slot_names
 from callsheet.params import CampaignParams
-from callsheet.plans.catalogue import WEEK, Campaign
-from callsheet.schemas import CONTRACT
+from callsheet.plans.catalogue import PORTFOLIOS, WEEK, Campaign
+from callsheet.schemas import CONTRACT, SCHEMAS
 
 ACCOUNT_COLUMNS = ["cod_cad", "nome", "cpf", "BindingID", "DataNascimento", "Portfolio"]
 CONTRACT_COLUMNS = [
@@ -61,12 +57,16 @@ def _contact_columns() -> list[Column]:
     return [at, day_text(at).alias("DtUltimoCPC_fmt")]
 
 
+def _window(campaign: Campaign, params: CampaignParams) -> int:
+    return params.contact_days if campaign.contact_days is None else campaign.contact_days
+
+
 def _recent_contacts(tables: dict[str, DataFrame], campaign: Campaign, params: CampaignParams):
     return contacted(
         tables["hist_tb"],
         tables["stcob_tb"],
         params.today,
-        campaign.contact_days or params.contact_days,
+        _window(campaign, params),
         campaign.human_only,
         params.exclude_system_events,
     )
@@ -88,6 +88,7 @@ def campaign_list(
     accounts that share a contract.
     """
     base = select_accounts(tables["cadastros_tb"], params)
+    tables = selected_tables(tables, base, params)
     history = tables["hist_tb"], tables["stcob_tb"]
     profile = contract_profile(tables, params)
     accounts = base
@@ -111,14 +112,40 @@ def campaign_list(
         profile = profile.where(F.col("core_rows") > 0)
         profile = profile.withColumn("BindingID", F.col("core_BindingID"))
 
-    ranked = rank_phones(clean_phones(tables["fones_tb"], campaign.phone_rule, params.repeated_digits))
-    phones = widen_phones(top_phones(ranked, params.max_phones))
+    rule = campaign.phone_rule
+    cleaned = clean_phones_by_rule(tables["fones_tb"], [rule], params.repeated_digits)
+    numbers = phone_lists_by_rule(cleaned, [rule], params.max_phones)
+    phones = numbers.select(
+        "cod_cad", *[F.get(rule, F.lit(i)).alias(name) for i, name in enumerate(slot_names())]
+    )
 
     listed = join_contracts(accounts.select(*account_columns()).join(phones, "cod_cad"), profile)
     keys = [F.lit(campaign.id).alias("campaign"), "cod_cli"] if with_keys else []
     return listed.select(*keys, *LIST_COLUMNS, *(_contact_columns() if with_last_contact else []))
 
 
+def selected_tables(
+    tables: dict[str, DataFrame], accounts: DataFrame, params: CampaignParams
+) -> dict[str, DataFrame]:
+    """The tables cut down to the selected ``accounts`` of a selective run.
+
+    A run for some labels or portfolios looks at few of the phones, events and contract
+    rows; they fall away before anything is ranked or reduced. Agreements stay whole:
+    one without a contract number decides about its portfolio.
+    """
+    if not params.labels and len(params.portfolios) == len(PORTFOLIOS):
+        return tables
+    cut = {name: tables[name] for name in SCHEMAS}
+    cut["fones_tb"] = tables["fones_tb"].join(accounts.select("cod_cad"), "cod_cad", "left_semi")
+    known = accounts.select(F.col("cod_cad").alias("cod_cli"))
+    cut["hist_tb"] = tables["hist_tb"].join(known, "cod_cli", "left_semi")
+    if params.labels:
+        contracts = accounts.select(*CONTRACT).distinct()
+        for name in ("rec_comp_tb", "receber_tb", "bens_tb"):
+            cut[name] = tables[name].join(contracts, CONTRACT, "left_semi")
+    return cut
+
+
 def _member(campaign: Campaign, params: CampaignParams) -> Column:
     """Whether a row of the joined account frame is on the campaign's list."""
     has_phone = F.size(campaign.phone_rule) > 0
@@ -127,7 +154,9 @@ def _member(campaign: Campaign, params: CampaignParams) -> Column:
     if campaign.selects == "right_person":
         return has_phone & F.col("last_right").isNotNull()
     if campaign.selects == "not_contacted":
-        return has_phone & F.col("contacted").isNull()
+        last = F.get("seen", F.lit(HUMAN if campaign.human_only else ANY_EVENT))
+        contacted_ = last >= window_start(params.today, _window(campaign, params))
+        return has_phone & ~F.coalesce(contacted_, F.lit(False))
     if campaign.selects == "recent":
         return has_phone & F.col("recent")
     return has_phone
@@ -142,33 +171,38 @@ def weekly_lists(
     """The lists of all ``campaigns`` and portfolios, with ``campaign`` and ``cod_cli`` in front.
 
     Phones, agreements, contract texts and collateral are worked out once for all
-    lists. Accounts travel once, whatever number of lists they are on, and are
-    copied per list only after the last shuffle.
+    lists, and events once for all their conditions. Accounts travel once, whatever
+    number of lists they are on, and are copied per list only after the last shuffle.
+    Campaigns may differ in anything but their id.
     """
     if any(c.is_core for c in campaigns):
         raise ValueError("core lists run one at a time")
-    uses = {c.selects: c for c in campaigns}
+    if len({c.id for c in campaigns}) < len(campaigns):
+        raise ValueError("two campaigns have the same id")
+    uses = {c.selects for c in campaigns}
     rules = sorted({c.phone_rule for c in campaigns})
 
     accounts = select_accounts(tables["cadastros_tb"], params)
+    tables = selected_tables(tables, accounts, params)
     base = accounts.select(
         *account_columns(), is_recent(params.today, params.recent_months).alias("recent")
     )
+    needs_dates = with_last_contact or "right_person" in uses
+    if needs_dates or "not_contacted" in uses:
+        events = tables["hist_tb"]
+        if not needs_dates:
+            longest = max(_window(c, params) for c in campaigns if c.selects == "not_contacted")
+            events = events.where(F.col("data_at") >= window_start(params.today, longest))
+        summary = contact_summary(events, tables["stcob_tb"], params.exclude_system_events)
     if "not_contacted" in uses:
-        contacts = _recent_contacts(tables, uses["not_contacted"], params)
-        base = base.join(contacts.withColumn("contacted", F.lit(True)), "cod_cad", "left")
+        base = base.join(summary, "cod_cad", "left")
 
     cleaned = clean_phones_by_rule(tables["fones_tb"], rules, params.repeated_digits)
     base = base.join(phone_lists_by_rule(cleaned, rules, params.max_phones), "cod_cad")
 
     profile = contract_profile(tables, params)
-    history = tables["hist_tb"], tables["stcob_tb"]
-    if with_last_contact:
-        profile = profile.join(contact_dates(accounts, *history), CONTRACT, "left")
-    elif "right_person" in uses:
-        dates = last_contact(accounts, *history, RIGHT_PERSON)
-        dates = dates.withColumnRenamed("dt_ultimo_cpc", "last_right")
-        profile = profile.join(dates, CONTRACT, "left")
+    if needs_dates:
+        profile = profile.join(contact_dates(accounts, summary), CONTRACT, "left")
 
     on_lists = F.array_compact(
         F.array(*[F.when(_member(c, params), F.lit(c.id)) for c in campaigns])

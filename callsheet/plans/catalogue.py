@@ -21,8 +21,6 @@ class Campaign:
     id: str
     selects: str
     phone_rule: str
-    title: str = ""
-    description: str = ""
     weekday: int | None = None
     file_part: str = ""
     contact_days: int | None = None
@@ -33,44 +31,12 @@ class Campaign:
         return self.phone_rule == "core"
 
 
-# Ids, titles, descriptions, weekdays (Monday is 0) and file name parts.
-BROKEN = Campaign(
-    "seg_quebras_rcs",
-    "broken",
-    "strict",
-    "Quebras & Rejeitadas",
-    "Contratos onde houve proposta quebrada ou rejeitada.",
-    0,
-    "QuebrasRejeitadas",
-)
-RIGHT_PERSON = Campaign(
-    "ter_cpc",
-    "right_person",
-    "strict",
-    "CPC (Contato Pessoa Certa)",
-    "Foco em estabelecer conexões efetivas com os responsáveis pelos débitos.",
-    1,
-    "CPC",
-)
-NOT_CONTACTED = Campaign(
-    "qua_nunca_contatados",
-    "not_contacted",
-    "strict",
-    "Não Contactados no Ultimo Mês",
-    "Contratos que não houve acionamento no ultimo 1 mês pela operação interna",
-    2,
-    "NuncaContatados",
-)
-WHOLE_BASE = Campaign("geral", "all", "loose", "Mailing Geral", "Base Completa", 3, "Geral")
-RECENT_BASE = Campaign(
-    "base_recente",
-    "recent",
-    "loose",
-    "Base Recente",
-    "Base nova nos últimos 2 meses (cadastros recentes).",
-    4,
-    "BaseRecente",
-)
+# Ids, weekdays (Monday is 0) and file name parts.
+BROKEN = Campaign("seg_quebras_rcs", "broken", "strict", 0, "QuebrasRejeitadas")
+RIGHT_PERSON = Campaign("ter_cpc", "right_person", "strict", 1, "CPC")
+NOT_CONTACTED = Campaign("qua_nunca_contatados", "not_contacted", "strict", 2, "NuncaContatados")
+WHOLE_BASE = Campaign("geral", "all", "loose", 3, "Geral")
+RECENT_BASE = Campaign("base_recente", "recent", "loose", 4, "BaseRecente")
 WEEK = (BROKEN, RIGHT_PERSON, NOT_CONTACTED, WHOLE_BASE, RECENT_BASE)
 
 # The older form of the first three lists.
@@ -92,18 +58,11 @@ PORTFOLIOS = (
 
 def campaign_dim(spark: SparkSession) -> DataFrame:
     """The week's campaigns, one row each."""
-    fields = ["id", "title", "description", "weekday", "file_part"]
+    fields = ["id", "weekday", "file_part"]
     rows = [F.struct(*[F.lit(getattr(c, f)).alias(f) for f in fields]) for c in WEEK]
     return spark.range(1).select(F.inline(F.array(*rows))).withColumnRenamed("id", "campaign")
 
 
-def portfolio_dim(spark: SparkSession) -> DataFrame:
-    """The portfolios, one row each."""
-    fields = ["cod_cli", "name", "file_prefix"]
-    rows = [F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, p)]) for p in PORTFOLIOS]
-    return spark.range(1).select(F.inline(F.array(*rows)))
-
-
 def campaign_calendar(dates: DataFrame) -> DataFrame:
     """The campaign due on each ``date``; none on weekends. Joins the five campaigns of the week."""
     due = campaign_dim(dates.sparkSession).select("weekday", "campaign")

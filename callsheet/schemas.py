@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The contract key. One run may hold several portfolios, so the contract number
@@ -89,7 +90,15 @@ SCHEMAS: dict[str, T.StructType] = {
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Bring ``df`` to the column order and types of ``table``."""
-    return df.selectExpr(
-        [f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in SCHEMAS[table]]
+    """Bring ``df`` to the column order and types of ``table``.
+
+    Columns of the right type stay bare, so that filters on them reach any source.
+    """
+    return df.select(
+        *[
+            F.col(f.name)
+            if df.schema[f.name].dataType == f.dataType
+            else F.col(f.name).cast(f.dataType).alias(f.name)
+            for f in SCHEMAS[table]
+        ]
     )

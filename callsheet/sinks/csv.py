@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, DataFrameWriter
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callsheet.sinks.names import export_name
 
 BOM = "\ufeff"
+SEPARATOR = ";"
+#: A file is closed once its lines have so many characters.
+FILE_CHARS = 64 << 20
 
 
 def _text(field: T.StructField) -> Column:
@@ -33,46 +37,77 @@ def to_text(df: DataFrame) -> DataFrame:
     return df.select([_text(field).alias(field.name) for field in df.schema])
 
 
-def _writer(df: DataFrame, by: list[str], rows_per_file: int | None) -> DataFrameWriter:
-    """Text rows ready for the dialler: ';', CRLF, quotes where needed, UTF-8 with BOM.
+def _quoted(value: Column) -> Column:
+    """The value in quotes if it has a separator, quote or line break, else as it is."""
+    return F.when(
+        value.rlike(f'[{SEPARATOR}"\r\n]'),
+        F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"')),
+    ).otherwise(value)
 
-    Each file starts with the BOM, as part of its first header name, and the header.
-    Line breaks inside values become blanks.
+
+def to_lines(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The ``by`` columns and ``line``, the other columns as a line of the dialler's CSV."""
+    fields = [_quoted(_text(f)) for f in df.schema if f.name not in by]
+    line = F.concat_ws(SEPARATOR, *fields)
+    # A lone empty field has to show that there is a line.
+    return df.select(*by, (F.when(line == "", '""').otherwise(line) if len(fields) == 1 else line).alias("line"))
+
+
+def _header(df: DataFrame, by: Sequence[str]) -> str:
+    names = [f.name for f in df.schema if f.name not in by]
+    marks = (SEPARATOR, '"', "\r", "\n")
+    quoted = ['"' + n.replace('"', '""') + '"' if any(m in n for m in marks) else n for n in names]
+    return BOM + SEPARATOR.join(quoted)
+
+
+def _write(df: DataFrame, path: str, by: list[str], rows_per_file: int | None) -> None:
+    """Write one row per file: a header and lines, all bytes of values as they are.
+
+    Spark's CSV writer would change line breaks inside values. The text of a file is
+    put together in the task that writes it and is at most FILE_CHARS long, or one line.
     """
-    fields = [field for field in df.schema if field.name not in by]
-    names = [BOM + fields[0].name, *[field.name for field in fields[1:]]]
-    values = [
-        F.regexp_replace(_text(field), r"\r\n|\r|\n", " ").alias(name)
-        for field, name in zip(fields, names)
-    ]
-    writer = df.select(*by, *values).write.options(
-        sep=";",
-        header=True,
-        encoding="UTF-8",
-        lineSep="\r\n",
-        quote='"',
-        escape='"',
-        nullValue="",
-        emptyValue="",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
-    return writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer
+    header = _header(df, by)
+    lines = to_lines(df, by)
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, size, schema = None, [], 0, None
+
+        def full() -> pa.RecordBatch:
+            text = "\r\n".join([header, *held])
+            columns = [pa.array([k], f.type) for k, f in zip((*key, text), schema)]
+            return pa.RecordBatch.from_arrays(columns, schema.names)
+
+        for batch in batches:
+            schema = batch.schema
+            for *here, line in zip(*[c.to_pylist() for c in batch.columns]):
+                if held and (here != key or len(held) == rows_per_file or size > FILE_CHARS):
+                    yield full()
+                    held, size = [], 0
+                key = here
+                held.append(line)
+                size += len(line)
+        if held:
+            yield full()
+
+    ready = lines.sortWithinPartitions(*by) if by else lines
+    writer = ready.mapInArrow(files, lines.schema).write.option("lineSep", "\r\n")
+    writer = writer.option("maxRecordsPerFile", 1)
+    (writer.partitionBy(*by) if by else writer).text(path)
 
 
 def write_csv(
     df: DataFrame, path: str, rows_per_file: int | None = None, files: int | None = None
 ) -> None:
-    """Write one list.
+    """Write one list: ';', CRLF, quotes where needed, UTF-8 with BOM and header in each file.
 
     By default every task writes its own file, each complete in itself. ``files``
-    gathers the rows in that many files after the work is done; use 1 only for a
+    gathers the rows in that many tasks after the work is done; use 1 only for a
     list that a single dialler upload can take. ``rows_per_file`` caps a file's rows
-    by starting further files.
+    by starting further files. A list without rows has no file.
     """
     if files:
         df = df.repartition(files)
-    _writer(df, [], rows_per_file).csv(path)
+    _write(df, path, [], rows_per_file)
 
 
 def write_lists(df: DataFrame, path: str, by: list[str], rows_per_file: int | None = None) -> None:
@@ -81,8 +116,7 @@ def write_lists(df: DataFrame, path: str, by: list[str], rows_per_file: int | No
     Rows are gathered by list first, in partitions of the size adaptive execution
     aims at: a small list becomes one file, a big one is split over many tasks.
     """
-    gathered = df.hint("rebalance", *by)
-    _writer(gathered, by, rows_per_file).partitionBy(*by).csv(path)
+    _write(df.hint("rebalance", *by), path, by, rows_per_file)
 
 
 def export_lists(

@@ -11,8 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from callsheet.schemas import SCHEMAS, conform
 
 
-def load(spark: SparkSession, source: str) -> dict[str, DataFrame]:
-    """All tables from Parquet folders below ``source``, or from the catalog with ``catalog:db``."""
+def load(
+    spark: SparkSession, source: str, jdbc: dict[str, str] | None = None
+) -> dict[str, DataFrame]:
+    """All tables from ``source``.
+
+    That is a folder with a Parquet folder per table, ``catalog:database`` or the
+    ``jdbc:`` URL of a database, whose user, password and driver are in ``jdbc``.
+    """
+    if source.startswith("jdbc:"):
+        return load_jdbc(spark, source, jdbc or {})
     if source.startswith("catalog:"):
         database = source.removeprefix("catalog:")
         return {t: conform(spark.table(f"{database}.{t}"), t) for t in SCHEMAS}
@@ -35,27 +43,31 @@ def save(tables: dict[str, DataFrame], path: str) -> None:
         writer.parquet(f"{path.rstrip('/')}/{name}")
 
 
-#: Columns a JDBC read splits by ranges. Events split by time, which also splits the
-#: events of one account. The tables without such a column use :func:`hash_predicates`.
+#: Columns a JDBC read splits by number or time ranges. Events split by time, which also
+#: splits the events of one account.
 JDBC_RANGES = {
     "cadastros_tb": "cod_cad",
     "fones_tb": "cod_cad",
     "hist_tb": "data_at",
     "acordos_tb": "cod_aco",
 }
-#: Columns hashed together for the tables without a range column; all of them, so that
-#: the rows of one contract spread too.
-JDBC_HASHED = {
-    "rec_comp_tb": ["nmcont", "cod_cli", "int_2", "char_5"],
-    "receber_tb": ["nmcont", "cod_cli", "fat_parc", "vlrparc"],
-    "bens_tb": ["nmcont", "cod_cli", "chassi", "placa"],
-}
+#: Indexed text columns that the other tables are split by.
+JDBC_TEXT_RANGES = {"rec_comp_tb": "nmcont", "receber_tb": "nmcont", "bens_tb": "nmcont"}
+
+
+def text_bounds(table: str, column: str, parts: int) -> str:
+    """Query for the first value of each of ``parts`` equal shares; an index serves it."""
+    shares = f"SELECT {column} AS low, NTILE({parts}) OVER (ORDER BY {column}) AS share FROM {table}"
+    return f"(SELECT MIN(low) AS low FROM ({shares} WHERE {column} IS NOT NULL) s GROUP BY share) b"
 
 
-def hash_predicates(columns: list[str], parts: int) -> list[str]:
-    """WHERE clauses that cover a MySQL table in ``parts`` disjoint shares."""
-    text = ", ".join(f"COALESCE({c}, '')" for c in columns)
-    return [f"MOD(CRC32(CONCAT_WS('|', {text})), {parts}) = {part}" for part in range(parts)]
+def text_predicates(column: str, bounds: list[str]) -> list[str]:
+    """WHERE clauses that cover a table in disjoint ranges between ``bounds``, NULL included."""
+    lows = [b.replace("\\", "\\\\").replace("'", "''") for b in sorted(set(bounds))]
+    if len(lows) < 2:
+        return ["1 = 1"]
+    inner = [f"{column} >= '{a}' AND {column} < '{b}'" for a, b in zip(lows[1:], lows[2:])]
+    return [f"{column} < '{lows[1]}' OR {column} IS NULL", *inner, f"{column} >= '{lows[-1]}'"]
 
 
 def range_options(column: str, low: object, high: object, parts: int) -> dict[str, str]:
@@ -68,35 +80,50 @@ def range_options(column: str, low: object, high: object, parts: int) -> dict[st
     }
 
 
+def jdbc_options(name: str, options: dict[str, str], fetch_size: int) -> dict[str, str]:
+    """Options of every read of a table.
+
+    The columns come with our types, so nothing is cast after the scan and filters reach
+    the database. A DATETIME is read as it stands, without a time zone.
+    """
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SCHEMAS[name])
+    return {
+        **options,
+        "fetchsize": str(fetch_size),
+        "preferTimestampNTZ": "true",
+        "customSchema": columns,
+    }
+
+
 def load_jdbc(
     spark: SparkSession,
     url: str,
-    properties: dict[str, str],
+    options: dict[str, str],
     parts: int = 64,
     fetch_size: int = 5000,
 ) -> dict[str, DataFrame]:
-    """All tables from a database.
+    """All tables from a database, each in ``parts`` ranges of a key.
 
-    ``properties`` carries user, password and driver; keep them in the cluster's
-    secret store. The database works out the bounds of each range column.
+    ``options`` carries user, password and driver; keep them in the cluster's secret
+    store. The database works out the bounds, with one query for each table.
     """
-    properties = {**properties, "fetchsize": str(fetch_size)}
 
-    def reader(query: str):
-        return spark.read.format("jdbc").options(url=url, dbtable=query, **properties)
+    def ask(query: str) -> list:
+        return spark.read.format("jdbc").options(url=url, dbtable=query, **options).load().collect()
 
     tables = {}
     for name in SCHEMAS:
+        reading = jdbc_options(name, options, fetch_size)
         if name in JDBC_RANGES:
             column = JDBC_RANGES[name]
-            bounds = f"(SELECT MIN({column}) low, MAX({column}) high FROM {name}) b"
-            low, high = reader(bounds).load().first()
-            options = range_options(column, low, high, parts) if low is not None else {}
-            df = reader(name).options(**options).load()
-        elif name in JDBC_HASHED:
-            predicates = hash_predicates(JDBC_HASHED[name], parts)
-            df = spark.read.jdbc(url, name, predicates=predicates, properties=properties)
+            (row,) = ask(f"(SELECT MIN({column}) AS low, MAX({column}) AS high FROM {name}) b")
+            ranges = range_options(column, row["low"], row["high"], parts) if row["low"] is not None else {}
+            df = spark.read.format("jdbc").options(url=url, dbtable=name, **reading, **ranges).load()
+        elif name in JDBC_TEXT_RANGES:
+            column = JDBC_TEXT_RANGES[name]
+            bounds = [row["low"] for row in ask(text_bounds(name, column, parts))]  # one per share
+            df = spark.read.jdbc(url, name, predicates=text_predicates(column, bounds), properties=reading)
         else:
-            df = reader(name).load()
+            df = spark.read.format("jdbc").options(url=url, dbtable=name, **reading).load()
         tables[name] = conform(df, name)
     return tables

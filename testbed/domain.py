@@ -1,8 +1,8 @@
 """The eight input tables, derived from the star schema test data.
 
-Rules and cases are those of FIXTURES.md, with every input row used: events and
-complements that the rules leave out of the base go to accounts and contracts
-unknown to it. Each table is a list of SQL expressions over its source.
+Rules and cases are those of FIXTURES.md. Every input row is used; a share of 2 % of the
+events and of the complements of every 53rd customer go to accounts and contracts
+unknown to the base. Each table is a list of SQL expressions over its source.
 """
 
 from __future__ import annotations
@@ -15,7 +15,16 @@ from callsheet.schemas import conform
 
 
 def _contract(key: str) -> list[str]:
-    return [f"concat('CT', {key}) AS nmcont", f"517 + {key} % 3 AS cod_cli"]
+    """Contract and portfolio of a customer.
+
+    A third of the customers share contract CT1 of portfolio 518, some others hold a
+    contract of the same number in 519, the rest share contracts by two.
+    """
+    pair = f"({key} - {key} % 2)"
+    return [
+        f"CASE WHEN {key} % 3 = 1 OR {key} % 25 = 2 THEN 'CT1' ELSE concat('CT', {pair}) END AS nmcont",
+        f"CASE WHEN {key} % 3 = 1 THEN 518 WHEN {key} % 25 = 2 THEN 519 ELSE 517 + {pair} % 3 END AS cod_cli",
+    ]
 
 
 ACCOUNTS = [
@@ -33,7 +42,8 @@ ACCOUNTS = [
     "DATE '2024-02-15' - int(c_custkey % 121) + if(c_custkey % 5 = 0, 3, 0) AS data_arq",
 ]
 
-# k is the customer, n the phone.
+# k is the customer, n the phone, c its copy: the first two phones are there twice, with
+# other notes.
 PHONES = [
     "k AS cod_cad",
     "CASE WHEN (k + n) % 41 <> 0 THEN string(11 + n % 9) END AS dddfone",
@@ -41,15 +51,15 @@ PHONES = [
         WHEN 2 THEN '12345' WHEN 3 THEN '91111123'
         ELSE string(91200000 + (k * 9 + n % 9) * 7919 % 7000000) END AS telefone""",
     "CASE WHEN (k + n * 5) % 13 <> 12 THEN (k * 3 + n * 5) % 8 END AS status",
-    """CASE (k + n * 3) % 11 WHEN 0 THEN 'Desconhecido' WHEN 1 THEN 'numero incorreto'
+    """CASE (k + n * 3 + c * 5) % 11 WHEN 0 THEN 'Desconhecido' WHEN 1 THEN 'numero incorreto'
         WHEN 2 THEN NULL WHEN 3 THEN 'Descontinuado' ELSE 'ok' END AS obs""",
 ]
 
-# Two of three events belong to accounts outside the base, with negative ids.
+# One of 50 events belongs to an account outside the base, with a negative id.
 EVENTS = [
-    """CASE WHEN event_id % 3 = 0 THEN user_id * 10 + event_id % 10
-        ELSE -1 - (user_id * 10 + event_id % 10) END AS cod_cli""",
-    "ts AS data_at",
+    """CASE WHEN event_id % 50 = 49 THEN -1 - (user_id * 10 + event_id % 10)
+        ELSE user_id * 10 + event_id % 10 END AS cod_cli""",
+    "ts - make_dt_interval(int(event_id div 10 % 4 * 45)) AS data_at",
     "event_type AS ocorr",
     """CASE WHEN event_id % 5 = 0 THEN '999' WHEN event_id % 11 = 0 THEN NULL
         ELSE concat('U', event_id % 7) END AS cod_usu""",
@@ -66,14 +76,15 @@ AGREEMENTS = [
     "date(o_orderdate) AS data_cad",
     "o_totalprice AS vlr_aco",
     "o_orderkey % 4 AS qtd_p_aco",
-    "substr('AEGQPCQ', int(o_orderkey % 7 + 1), 1) AS staco",
+    # The contract that many share is never settled.
+    "substr(if(o_custkey % 3 = 1, 'CEQQECQ', 'AEGQPCQ'), int(o_orderkey % 7 + 1), 1) AS staco",
 ]
 
 # k is the customer, n the row. Every 53rd customer's rows belong to an unknown contract.
 COMPLEMENTS = [
-    "concat(if(k % 53 = 0, 'EX', 'CT'), k) AS nmcont",
-    "517 + k % 3 AS cod_cli",
-    "if(k % 43 = 0, 400, 100) AS int_1",
+    f"CASE WHEN k % 53 = 0 THEN concat('EX', k) ELSE {_contract('k')[0].removesuffix(' AS nmcont')} END AS nmcont",
+    _contract("k")[1],
+    "if((k + n) % 4 = 0, 400, 100) AS int_1",
     "k * 10 + n AS int_2",
     "CASE WHEN k % 47 <> 0 THEN concat('PROD', (k + n) % 5) END AS char_5",
 ]
@@ -91,8 +102,8 @@ GOODS = [
     "concat('CH', p_partkey % 500) AS chassi",
     "p_brand AS marca",
     "CASE WHEN p_partkey % 13 <> 0 THEN p_name END AS modelo",
-    "concat('PL', p_partkey) AS placa",
-    "p_type AS cor",
+    "CASE WHEN l_orderkey % 97 <> 0 THEN concat('PL', p_partkey % 50) END AS placa",
+    "concat(p_type, ' ', l_linenumber) AS cor",
     "1990 + p_size % 30 AS anofab",
     "1991 + p_size % 30 AS anomodelo",
 ]
@@ -114,13 +125,19 @@ class DomainTables(dict):
         """Rows 0 to ``last`` for every customer."""
         return self._star("customer").selectExpr("c_custkey AS k", f"explode(sequence(0, {last})) AS n")
 
+    def _owned(self) -> DataFrame:
+        """Line items with the customer of their order."""
+        orders = self._star("orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey")
+        return self._star("lineitem").join(orders, "l_orderkey")
+
     def _derive(self, name: str) -> DataFrame:
         star = self._star
         match name:
             case "cadastros_tb":
                 return star("customer").selectExpr(*ACCOUNTS)
             case "fones_tb":
-                return self._copies("9").selectExpr(*PHONES)
+                numbered = self._copies("11").selectExpr("k", "n % 10 AS n", "n div 10 AS c")
+                return numbered.selectExpr(*PHONES)
             case "hist_tb":
                 return star("events").selectExpr(*EVENTS)
             case "stcob_tb":
@@ -130,9 +147,9 @@ class DomainTables(dict):
             case "rec_comp_tb":
                 return self._copies("int(c_custkey % 3)").selectExpr(*COMPLEMENTS)
             case "receber_tb":
-                owned = star("lineitem").join(star("orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
-                return owned.selectExpr(*RECEIVABLES)
+                return self._owned().selectExpr(*RECEIVABLES)
             case "bens_tb":
-                sold = star("part").join(star("orders").withColumnRenamed("o_orderkey", "p_partkey"), "p_partkey")
+                parts = star("part").withColumnRenamed("p_partkey", "l_partkey")
+                sold = self._owned().join(parts, "l_partkey").withColumnRenamed("l_partkey", "p_partkey")
                 return sold.selectExpr(*GOODS)
         raise KeyError(name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from callsheet.operators import portfolios as por
 from callsheet.params import REPEATED_DIGIT, REPEATED_DIGIT_LITERAL
 from callsheet.plans import catalogue as cat
 from callsheet.plans.campaigns import campaign_list, weekly_lists
+from callsheet.schemas import SCHEMAS
 from callsheet.sinks.csv import to_text
 from callsheet.sinks.names import export_name
 from testbed.domain import DomainTables
@@ -42,6 +44,14 @@ def _paid(t: Tables) -> DataFrame:
     return agr.contracts_in_status(_newest(t), SETTLED)
 
 
+def _blocked(t: Tables) -> Tables:
+    """The tables with settled agreements of portfolio 519 that have no contract number."""
+    settled = F.col("staco").isin(*SETTLED)
+    without = (F.col("cod_cli") == 519) & settled & (F.col("cod_aco") % 5 == 0)
+    agreements = t["acordos_tb"].withColumn("nmcont", F.when(~without, F.col("nmcont")))
+    return {**{name: t[name] for name in SCHEMAS}, "acordos_tb": agreements}
+
+
 def _clean(t: Tables, rule: str) -> DataFrame:
     base = _base(t)
     if rule == "core":
@@ -54,8 +64,8 @@ def _ranked(t: Tables) -> DataFrame:
 
 
 def _wide(t: Tables) -> DataFrame:
-    ranked = pho.rank_phones(pho.clean_phones(t["fones_tb"], "strict"))
-    return pho.widen_phones(pho.top_phones(ranked, PARAMS.max_phones))
+    top = pho.top_phones(pho.clean_phones(t["fones_tb"], "strict"), PARAMS.max_phones)
+    return pho.widen_phones(top)
 
 
 def _without_run(t: Tables, pattern: str) -> DataFrame:
@@ -117,7 +127,7 @@ def _amount_texts(orders: DataFrame) -> DataFrame:
         F.when(kind == 0, F.concat(unit, comma, part))
         .when(kind == 1, F.concat(high, point, low, comma, part))
         .when(kind == 2, F.concat(high, point, low))
-        .when(kind == 3, unit)
+        .when(kind == 3, F.concat(unit, F.lit("00000000000000")))
         .when(kind == 4, F.concat(high, comma, low, comma, part))
         .when(kind == 5, F.concat(F.lit("  "), unit, point, part, F.lit("5 ")))
         .when((kind == 6) & (F.col("o_custkey") % 2 == 0), "")
@@ -149,9 +159,9 @@ DOMAIN_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "phones_no_repeat_literal": lambda t: _without_run(t, REPEATED_DIGIT_LITERAL),
     "binding_id": lambda t: ctr.binding_id(_base(t), t["rec_comp_tb"]).select("cod_cad", "BindingID"),
     "phones_ranked": lambda t: _ranked(t).select("cod_cad", "telefone_completo", "status", "num"),
-    "phones_topk": lambda t: pho.top_phones(_ranked(t), 3).select(
-        "cod_cad", "telefone_completo", "status", "num"
-    ),
+    "phones_topk": lambda t: pho.phones_of(
+        _base(t), pho.top_phones(pho.clean_phones(t["fones_tb"], "strict"), 3)
+    ).select("cod_cad", "telefone_completo", "status", "num"),
     "phones_wide": lambda t: _base(t).select("cod_cad").join(_wide(t), "cod_cad"),
     "agreements_ranked": lambda t: agr.rank_agreements(t["acordos_tb"], SINCE).select(
         "cod_cli", "nmcont", "cod_aco", "staco", "rn_aco"
@@ -162,6 +172,9 @@ DOMAIN_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "unpaid_contracts": lambda t: ctr.unpaid_contracts(
         t["rec_comp_tb"], _paid(t), PARAMS.portfolios
     ),
+    "unpaid_contracts_blocked": lambda t: ctr.unpaid_contracts(
+        t["rec_comp_tb"], _paid(_blocked(t)), PARAMS.portfolios
+    ),
     "contract_values": lambda t: _values(t).select("cod_cli", "nmcont", "Contratos", "TipoProduto"),
     "contract_values_min": lambda t: _values(t, min_sum=Decimal(MIN_SUM)).select(
         "cod_cli", "nmcont", "Contratos", "TipoProduto", "soma"
@@ -193,10 +206,14 @@ DOMAIN_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "campaign_nunca_core": _campaign(cat.CORE_NOT_CONTACTED),
     "campaign_geral_filtered": _campaign(cat.WHOLE_BASE, FILTERED),
     "campaign_geral_literal": _campaign(cat.WHOLE_BASE, LITERAL),
+    "campaign_geral_blocked": lambda t: campaign_list(_blocked(t), cat.WHOLE_BASE, PARAMS),
+    "weekly_lists_windows": lambda t: weekly_lists(
+        t, PARAMS, [cat.NOT_CONTACTED, replace(cat.NOT_CONTACTED, id="nunca_45", contact_days=45)]
+    ),
     "weekly_lists": lambda t: weekly_lists(t, PARAMS),
     "weekly_lists_contact": lambda t: weekly_lists(t, PARAMS, with_last_contact=True),
     "portfolio_counts": lambda t: por.portfolio_counts(t["cadastros_tb"]),
-    "portfolio_total": lambda t: por.portfolio_total(t["cadastros_tb"]),
+    "portfolio_total": lambda t: por.portfolio_total(t["cadastros_tb"], (*PARAMS.portfolios, 520)),
     "portfolio_labels": lambda t: por.portfolio_labels(
         acc.in_portfolio(t["cadastros_tb"], PARAMS.portfolios)
     ),

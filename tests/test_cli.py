@@ -4,10 +4,13 @@ import re
 
 import pytest
 
+from callsheet import __main__ as cli
 from callsheet.__main__ import arguments, main
+from callsheet.params import REPEATED_DIGIT_LITERAL
 from callsheet.plans import catalogue as cat
 from callsheet.plans.campaigns import LIST_COLUMNS
 from callsheet.schemas import SCHEMAS
+from callsheet.sources import tables
 from callsheet.sources.tables import save
 from testbed.domain import DomainTables
 from tests.conftest import SMALL
@@ -26,7 +29,7 @@ def source(spark, tmp_path_factory):
 def lists(out):
     """Rows per list, read back from the files."""
     found = {}
-    for file in out.rglob("part-*.csv"):
+    for file in out.rglob("part-*"):
         name = re.fullmatch(r"file_name=(.*)_\d{8}_\d{6}", file.parent.name)[1]
         with open(file, encoding="utf-8-sig", newline="") as f:
             header, *rows = csv.reader(f, delimiter=";")
@@ -38,7 +41,7 @@ def test_one_list(spark, source, tmp_path):
     out = tmp_path / "one"
     main(["list", "geral", "--source", source, "--portfolio", "518", "--phones", "3", "--min-sum", "500.000,00",
           "--label", "BUILDING 0", "--label", "D'AVILA (IV)", "--out", str(out), *DATES], spark)
-    assert lists(out) == {"DivZeroPF_Geral_BUILDING0_DAVILAIV": (LIST_COLUMNS, 3)}
+    assert lists(out) == {"DivZeroPF_Geral_BUILDING0_DAVILAIV": (LIST_COLUMNS, 10)}
 
 
 def test_todays_list_for_all_portfolios(spark, source, tmp_path):
@@ -47,13 +50,13 @@ def test_todays_list_for_all_portfolios(spark, source, tmp_path):
     header = [*LIST_COLUMNS, "dt_ultimo_cpc", "DtUltimoCPC_fmt"]
     # 2024-02-15 is a Thursday.
     assert lists(out) == {
-        "AutosPF_Geral": (header, 25), "DivZeroPF_Geral": (header, 22), "CedidasPF_Geral": (header, 29)}
+        "AutosPF_Geral": (header, 10), "DivZeroPF_Geral": (header, 57), "CedidasPF_Geral": (header, 29)}
 
 
 def test_the_week(spark, source, tmp_path):
     out = tmp_path / "week"
     main(["list", "week", "--source", source, "--out", str(out), *DATES], spark)
-    assert sum(rows for _, rows in lists(out).values()) == 258
+    assert sum(rows for _, rows in lists(out).values()) == 390
     assert len(lists(out)) == 15
 
 
@@ -62,11 +65,32 @@ def test_nothing_is_due_on_sundays(spark, source, tmp_path):
         main(["list", "today", "--source", source, "--out", str(tmp_path / "x"), "--as-of", "2024-02-18"], spark)
 
 
-def test_summary(spark, source, capsys):
-    main(["summary", "--source", source, "--portfolio", "519"], spark)
-    printed = capsys.readouterr().out
-    assert re.search(r"519 Cedidas: TOTAL \(\d+\)", printed)
-    assert "D'AVILA (IV)" in printed and "518" not in printed
+def test_summary(spark, source, tmp_path):
+    out = tmp_path / "counts"
+    main(["summary", "--source", source, "--portfolio", "519", "--out", str(out)], spark)
+    read = lambda name: b"".join(p.read_bytes() for p in (out / name).glob("part-*")).decode("utf-8-sig")
+    assert re.fullmatch(r"cod_cli;total_contratos\r\n519;\d+\r\n", read("totals"))
+    assert "D'AVILA (IV)" in read("labels") and "518" not in read("labels")
+
+
+def test_options_reach_the_run(monkeypatch, spark, source, tmp_path):
+    seen = []
+    monkeypatch.setattr(cli, "campaign_list", lambda tables, campaign, params, *a, **k: seen.append(params))
+    monkeypatch.setattr(cli, "export_lists", lambda *a: None)
+    main(["list", "geral", "--source", source, "--out", str(tmp_path / "x"), "--contact-days", "20",
+          "--recent-months", "3", "--exclude-system-events", "--dedupe-sum", "--literal-digit-run"], spark)
+    (params,) = seen
+    assert (params.contact_days, params.recent_months, params.repeated_digits) == (20, 3, REPEATED_DIGIT_LITERAL)
+    assert params.exclude_system_events and params.dedupe_sum
+
+
+def test_a_jdbc_source_takes_its_options_from_a_file(monkeypatch, spark, tmp_path):
+    seen = []
+    monkeypatch.setattr(tables, "load_jdbc", lambda spark, url, options: seen.append((url, options)))
+    monkeypatch.setattr(cli, "run_summary", lambda *a: None)
+    (tmp_path / "jdbc.json").write_text('{"user": "u"}')
+    main(["summary", "--source", "jdbc:mysql://h/db", "--out", "x", "--jdbc-options", str(tmp_path / "jdbc.json")], spark)
+    assert seen == [("jdbc:mysql://h/db", {"user": "u"})]
 
 
 def test_arguments():

@@ -1,6 +1,4 @@
-import csv
 import datetime as dt
-import io
 from decimal import Decimal
 from pathlib import Path
 
@@ -18,39 +16,52 @@ ROWS = [
 ]
 
 
-def python_csv(names, rows):
-    buffer = io.StringIO(newline="")
-    writer = csv.writer(buffer, delimiter=";")
-    writer.writerow(names)
-    writer.writerows([["" if v is None else str(v) for v in row] for row in rows])
-    return buffer.getvalue().encode("utf-8-sig")
+LINES = [
+    'nome;descrição;valor;dia;at;n',
+    '"a;b";"say ""hi""";1234.50;2024-02-15;2024-02-15 10:00:00;1',
+    ';;;;;',
+    ' lead;trail ;0.00;;2024-02-15 10:00:00.120000;-1',
+    'back\\slash;ação;;;;2',
+    '"""";\';;;;3',
+    'tab\there;#hash;;;;4',
+]
 
 
 def parts(path):
-    return [p.read_bytes() for p in sorted(Path(path).rglob("part-*.csv"))]
+    return [p.read_bytes() for p in sorted(Path(path).rglob("part-*"))]
 
 
 def test_bytes_are_those_of_a_plain_csv_writer(spark, tmp_path):
     df = spark.createDataFrame(ROWS, SCHEMA).coalesce(1)
     write_csv(df, str(tmp_path / "one"), files=1)
     (written,) = parts(tmp_path / "one")
-    lines = python_csv(df.columns, ROWS).split(b"\r\n")
-    got = written.split(b"\r\n")
-    assert got[0] == lines[0]
-    assert sorted(got[1:]) == sorted(lines[1:])
+    header, *lines, rest = written.decode("utf-8").split("\r\n")
+    assert header == "\ufeff" + LINES[0] and rest == ""
+    assert sorted(lines) == sorted(LINES[1:])
+
+
+def test_line_breaks_stay(spark, tmp_path):
+    df = spark.createDataFrame([("a\nb\r\nc\rd", 1)], "x string, y int").coalesce(1)
+    write_csv(df, str(tmp_path / "x"))
+    assert parts(tmp_path / "x") == [b'\xef\xbb\xbfx;y\r\n"a\nb\r\nc\rd";1\r\n']
 
 
-def test_line_breaks_become_blanks(spark, tmp_path):
-    df = spark.createDataFrame([("a\nb\r\nc\rd", 1)], "x string, y int")
+def test_a_lone_empty_value_is_a_line(spark, tmp_path):
+    df = spark.createDataFrame([("",), (None,)], "x string").coalesce(1)
     write_csv(df, str(tmp_path / "x"))
-    assert [p for p in parts(tmp_path / "x") if b"a" in p] == [b"\xef\xbb\xbfx;y\r\na b c d;1\r\n"]
+    assert parts(tmp_path / "x") == [b'\xef\xbb\xbfx\r\n""\r\n""\r\n']
+
+
+def test_no_rows_no_file(spark, tmp_path):
+    write_csv(spark.createDataFrame([], "x string"), str(tmp_path / "x"))
+    assert [f for f in parts(tmp_path / "x") if f] == []
 
 
 def test_files_split_by_rows_are_complete(spark, tmp_path):
     df = spark.range(10).selectExpr("id AS n", "'é' AS t").coalesce(1)
     write_csv(df, str(tmp_path / "split"), rows_per_file=4)
     files = parts(tmp_path / "split")
-    assert [f.count(b"\r\n") for f in files] == [5, 5, 3]
+    assert sorted(f.count(b"\r\n") for f in files) == [3, 5, 5]
     assert all(f.startswith(b"\xef\xbb\xbfn;t\r\n") for f in files)
 
 

@@ -22,9 +22,13 @@ def column(spark, values, kind, expression):
 
 def test_amounts(spark):
     texts = ["1.234,56", "1234,5", "10.000", "10000", "1,234,567", "", None, "nan", "inf", "12d",
-             "1e5", " 7 ", "\t8,5\n", "0.125", "2.675", "-3,1", "1.2.3", "1.234.567,891", "abc"]
+             "1e5", " 7 ", "\t8,5\n", "0.125", "2.675", "-3,1", "1.2.3", "1.234.567,891", "abc",
+             "1e17", "99.999.999.999.999.999,00", "-12e20", "1e40", "+5", "-", ".5", "5.", "1e", "--1", ",",
+             "0,005", "0,015", "7,", "1_0", "1 0"]
     want = ["1234.56", "1234.50", "10.00", "10000.00", None, None, None, None, None, None,
-            "100000.00", "7.00", "8.50", "0.12", "2.67", "-3.10", None, "1234567.89", None]
+            "100000.00", "7.00", "8.50", "0.12", "2.67", "-3.10", None, "1234567.89", None,
+            "100000000000000000.00", "100000000000000000.00", "-1200000000000000000000.00", None, "5.00", None,
+            "0.50", "5.00", None, None, None, "0.01", "0.01", "7.00", None, None]
     got = column(spark, texts, "string", parse_br_amount)
     assert got == [None if w is None else Decimal(w) for w in want]
 
@@ -34,6 +38,8 @@ def test_strict_amounts_fail_on_bad_text_only(spark):
         Decimal("1.50"), None, None]
     with pytest.raises(PySparkException, match="not an amount: x1"):
         column(spark, ["x1"], "string", lambda c: parse_br_amount(c, strict=True))
+    with pytest.raises(PySparkException, match="amount too large: 1e40"):
+        column(spark, ["1e40"], "string", lambda c: parse_br_amount(c, strict=True))
 
 
 def test_unlisted_statuses_come_first(spark):

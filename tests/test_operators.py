@@ -1,4 +1,6 @@
 import datetime as dt
+from collections import Counter
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
@@ -167,7 +169,7 @@ def test_last_contact_is_per_contract(make):
     codes = make("stcob_tb", *CODES)
     assert pairs(con.last_contact(accounts, events, codes)) == [(517, "A", at(5)), (518, "A", at(7))]
     assert pairs(con.last_contact(accounts, events, codes, "cpc")) == [(517, "A", at(9))]
-    assert pairs(con.contact_dates(accounts, events, codes)) == [
+    assert pairs(con.contact_dates(accounts, con.contact_summary(events, codes))) == [
         (517, "A", at(5), at(9)), (518, "A", at(7), None)]
 
 
@@ -183,7 +185,7 @@ def test_portfolio_summaries(make):
         {"cod_cli": 518, "infoad": None, "stcli": "ATI"},
     )
     assert [tuple(r) for r in por.portfolio_counts(table).collect()] == [(517, "a", 2), (517, "b", 1)]
-    assert pairs(por.portfolio_total(table)) == [(517, 3), (518, 0)]
+    assert pairs(por.portfolio_total(table, [520, 518, 517])) == [(517, 3), (518, 0), (520, 0)]
     assert [r[0] for r in por.portfolio_labels(table).collect()] == [None, "", "a", "b"]
 
 
@@ -273,3 +275,38 @@ def test_weekly_lists_equal_single_runs(spark, with_last_contact):
 def test_core_lists_are_not_part_of_the_week(base):
     with pytest.raises(ValueError):
         weekly_lists(base, PARAMS, [cat.CORE_BROKEN])
+    with pytest.raises(ValueError, match="same id"):
+        weekly_lists(base, PARAMS, [cat.BROKEN, cat.BROKEN])
+
+
+def test_weekly_lists_of_one_selector_equal_single_runs(spark):
+    from testbed.domain import DomainTables
+    from tests.conftest import SMALL
+
+    tables = DomainTables(spark, SMALL)
+    lists = [cat.NOT_CONTACTED, replace(cat.NOT_CONTACTED, id="nunca_20", contact_days=20),
+             replace(cat.NOT_CONTACTED, id="nunca_any", contact_days=60, human_only=False)]
+    weekly = weekly_lists(tables, PARAMS, lists).drop("cod_cli").collect()
+    sizes = set()
+    for campaign in lists:
+        single = campaign_list(tables, campaign, PARAMS).collect()
+        of_week = [tuple(r)[1:] for r in weekly if r["campaign"] == campaign.id]
+        assert Counter(of_week) == Counter(map(tuple, single))
+        sizes.add(len(single))
+    assert len(sizes) == 3
+
+
+def test_contact_summary(make):
+    codes = make("stcob_tb", *CODES)
+    events = make(
+        "hist_tb",
+        {"cod_cli": 1, "data_at": at(9), "ocorr": "c", "cod_usu": "U1"},
+        {"cod_cli": 1, "data_at": at(8), "ocorr": "c", "cod_usu": "999"},
+        {"cod_cli": 1, "data_at": at(7), "ocorr": "s", "cod_usu": "U1"},
+        {"cod_cli": 1, "data_at": at(6), "ocorr": "n", "cod_usu": "U1"},
+        {"cod_cli": 1, "data_at": at(5), "ocorr": "unknown", "cod_usu": "U1"},
+    )
+    (row,) = con.contact_summary(events, codes).collect()
+    assert row["seen"] == [at(5), at(6), at(8), at(7)]
+    (row,) = con.contact_summary(events, codes, exclude_system=True).collect()
+    assert row["seen"] == [at(5), at(6), at(8), at(9)]

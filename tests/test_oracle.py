@@ -44,9 +44,9 @@ def test_list_sizes_are_those_of_the_fixture_notes(spark):
     rows = QUERIES["weekly_lists"](spark, SMALL).groupBy("campaign", "cod_cli").count().collect()
     sizes = Counter({(r["campaign"], r["cod_cli"]): r["count"] for r in rows})
     assert sizes == {
-        **dict(zip([("seg_quebras_rcs", c) for c in (517, 518, 519)], (17, 13, 19))),
-        **dict(zip([("ter_cpc", c) for c in (517, 518, 519)], (14, 13, 20))),
-        **dict(zip([("qua_nunca_contatados", c) for c in (517, 518, 519)], (16, 17, 15))),
-        **dict(zip([("geral", c) for c in (517, 518, 519)], (25, 22, 29))),
-        **dict(zip([("base_recente", c) for c in (517, 518, 519)], (12, 8, 18))),
+        **dict(zip([("seg_quebras_rcs", c) for c in (517, 518, 519)], (6, 53, 20))),
+        **dict(zip([("ter_cpc", c) for c in (517, 518, 519)], (8, 56, 29))),
+        **dict(zip([("qua_nunca_contatados", c) for c in (517, 518, 519)], (7, 39, 25))),
+        **dict(zip([("geral", c) for c in (517, 518, 519)], (10, 57, 29))),
+        **dict(zip([("base_recente", c) for c in (517, 518, 519)], (6, 29, 16))),
     }

@@ -1,11 +1,23 @@
 """What the plans must and must not contain, over Parquet tables too big to broadcast."""
 
+import re
+
+import duckdb
 import pytest
 
 from callsheet.plans import catalogue as cat
 from callsheet.plans.campaigns import campaign_list, weekly_lists
 from callsheet.schemas import SCHEMAS
-from callsheet.sources.tables import JDBC_HASHED, JDBC_RANGES, hash_predicates, load, range_options, save
+from callsheet.sources.tables import (
+    JDBC_RANGES,
+    JDBC_TEXT_RANGES,
+    jdbc_options,
+    load,
+    range_options,
+    save,
+    text_bounds,
+    text_predicates,
+)
 from testbed.domain import DomainTables
 from testbed.queries import queries
 from testbed.settings import FILTERED, PARAMS
@@ -43,6 +55,9 @@ def test_campaign_plans(tables, campaign):
     for bad in ("CartesianProduct", "NestedLoop", "Python", "BatchEval"):
         assert bad not in text
     assert text.count("WindowGroupLimit") >= 4
+    # Events are never shuffled by their few codes before they are reduced.
+    for line in text.splitlines():
+        assert not (line.startswith("Arguments: hashpartitioning(ocorr") and "data_at" in line)
     # The event table is read only where it decides who is listed.
     assert ("hist_tb" in text) == (campaign.selects in ("right_person", "not_contacted"))
 
@@ -66,6 +81,20 @@ def test_weekly_job_reads_phones_and_receivables_once(tables):
         assert len(locations) == 1, name
 
 
+def test_weekly_job_reads_events_once(tables):
+    for with_last_contact in (False, True):
+        lists = weekly_lists(tables, PARAMS, with_last_contact=with_last_contact)
+        lists.collect()  # the plan that has run shows what it has used twice
+        text = lists._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert len(re.findall(r"FileScan parquet \[[^\]]*ocorr", text)) == 1
+
+
+def test_selective_runs_cut_the_tables_first(tables):
+    text = plan(campaign_list(tables, cat.WHOLE_BASE, FILTERED))
+    assert text.count("LeftSemi") >= 4
+    assert "LeftSemi" not in plan(campaign_list(tables, cat.WHOLE_BASE, PARAMS))
+
+
 def test_no_query_runs_python_or_cross_joins(spark):
     for name, run in queries().items():
         text = plan(run(spark, SMALL))
@@ -73,19 +102,42 @@ def test_no_query_runs_python_or_cross_joins(spark):
 
 
 def test_jdbc_splits_cover_the_tables():
-    assert JDBC_RANGES.keys() | JDBC_HASHED.keys() | {"stcob_tb"} == SCHEMAS.keys()
-    for name, column in JDBC_RANGES.items():
+    assert JDBC_RANGES.keys() | JDBC_TEXT_RANGES.keys() | {"stcob_tb"} == SCHEMAS.keys()
+    for name, column in (JDBC_RANGES | JDBC_TEXT_RANGES).items():
         assert column in SCHEMAS[name].fieldNames()
-    for name, columns in JDBC_HASHED.items():
-        assert set(columns) <= set(SCHEMAS[name].fieldNames())
-    assert hash_predicates(["a", "b"], 2) == [
-        "MOD(CRC32(CONCAT_WS('|', COALESCE(a, ''), COALESCE(b, ''))), 2) = 0",
-        "MOD(CRC32(CONCAT_WS('|', COALESCE(a, ''), COALESCE(b, ''))), 2) = 1",
-    ]
     assert range_options("cod_cad", 1, 9, 4) == {
         "partitionColumn": "cod_cad", "lowerBound": "1", "upperBound": "9", "numPartitions": "4"}
 
 
+def test_text_ranges_cover_every_value_once():
+    bounds = ["B", "K'1", "T"]
+    clauses = text_predicates("x", bounds)
+    assert clauses == ["x < 'K''1' OR x IS NULL", "x >= 'K''1' AND x < 'T'", "x >= 'T'"]
+    connection = duckdb.connect()
+    for value in ("NULL", "'A'", "'B'", "'K''1'", "'L'", "'T'", "'Z'"):
+        hits = [connection.execute(f"SELECT count(*) FROM (SELECT {value} AS x) WHERE {c}").fetchall()[0][0] for c in clauses]
+        assert sum(hits) == 1, value
+    assert text_predicates("x", []) == text_predicates("x", ["A"]) == ["1 = 1"]
+
+
+def test_text_bounds_are_the_first_values_of_equal_shares():
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE t AS SELECT 'C' || (1000 + range) AS k FROM range(100)")
+    rows = connection.execute(f"SELECT * FROM {text_bounds('t', 'k', 4)} ORDER BY 1").fetchall()
+    assert [r[0] for r in rows] == ["C1000", "C1025", "C1050", "C1075"]
+
+
+def test_jdbc_options():
+    options = jdbc_options("hist_tb", {"user": "u"}, 5000)
+    assert options == {
+        "user": "u", "fetchsize": "5000", "preferTimestampNTZ": "true",
+        "customSchema": "cod_cli bigint, data_at timestamp_ntz, ocorr string, cod_usu string"}
+
+
+def test_tables_of_the_right_types_are_not_cast(tables):
+    assert "cast" not in tables["hist_tb"]._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_load_from_the_catalog(spark, tmp_path):
     derived = DomainTables(spark, SMALL)
     spark.sql(f"CREATE DATABASE lists LOCATION '{tmp_path}'")
@@ -101,4 +153,3 @@ def test_load_from_the_catalog(spark, tmp_path):
 def test_catalogue(spark):
     assert {r["campaign"]: r["file_part"] for r in cat.campaign_dim(spark).collect()} == {
         c.id: c.file_part for c in cat.WEEK}
-    assert [tuple(r) for r in cat.portfolio_dim(spark).collect()] == list(cat.PORTFOLIOS)

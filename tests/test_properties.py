@@ -1,14 +1,9 @@
-"""Properties of whole results, and amounts against the rule they follow."""
+"""Properties of whole results."""
 
-import math
-import random
 from collections import defaultdict
-from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
-from callsheet.functions.amounts import parse_br_amount
 from callsheet.operators.phones import slot_names
 from callsheet.plans.campaigns import campaign_list, weekly_lists
 from callsheet.plans.catalogue import CORE, WHOLE_BASE
@@ -50,27 +45,3 @@ def test_every_list_is_part_of_the_whole_base(spark, week):
 def test_no_phone_beyond_the_number_asked_for(spark):
     rows = campaign_list(DomainTables(spark, SMALL), WHOLE_BASE, FILTERED).collect()
     assert rows and all(r[name] is None for r in rows for name in slot_names()[3:])
-
-
-def as_typed(text):
-    """The rule amounts follow, on one text."""
-    text = text.strip()
-    if text.count(",") == 1 and "." in text:
-        text = text.replace(".", "")
-    try:
-        value = float(text.replace(",", "."))
-    except ValueError:
-        return None
-    return Decimal(f"{value:.2f}") if math.isfinite(value) else None
-
-
-def test_amounts_follow_their_rule(spark):
-    rng = random.Random(11)
-    texts = ["".join(rng.choices("0123456789.,-+e ", k=rng.randrange(9))) for _ in range(3000)]
-    texts += [f"{rng.random() * 10**rng.randrange(1, 9):.{rng.randrange(6)}f}" for _ in range(3000)]
-    df = spark.createDataFrame([(t,) for t in texts], "raw string")
-    for raw, amount in df.select("raw", parse_br_amount(F.col("raw"))).collect():
-        want = as_typed(raw)
-        if want is not None and abs(want) >= 10**16:
-            want = None  # beyond decimal(18,2)
-        assert amount == want, raw

@@ -1,6 +1,8 @@
 """One account, contract or group of copies holding a third of the rows, against brute force."""
 
+import datetime as dt
 import random
+import re
 from collections import defaultdict
 from decimal import Decimal
 
@@ -8,6 +10,7 @@ import pytest
 
 from callsheet.operators.accounts import join_contracts
 from callsheet.operators.contracts import contract_values
+from callsheet.operators.agreements import rank_agreements
 from callsheet.operators.phones import (
     clean_phones,
     clean_phones_by_rule,
@@ -75,7 +78,7 @@ def slots(rows, test, k):
 def test_phone_slots(make, phones, rule, test, k):
     names = ("cod_cad", "dddfone", "telefone", "status", "obs")
     df = make("fones_tb", *[dict(zip(names, row)) for row in phones]).repartition(8)
-    wide = widen_phones(top_phones(rank_phones(clean_phones(df, rule)), k))
+    wide = widen_phones(top_phones(clean_phones(df, rule), k))
     assert {r[0]: tuple(r)[1:] for r in wide.collect()} == slots(phones, test, k)
 
 
@@ -141,3 +144,28 @@ def test_accounts_of_a_hot_contract_are_split(spark):
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, value)
+
+
+def test_full_rankings_split_hot_keys(spark):
+    phones = spark.range(30000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 0L ELSE id END AS cod_cad", "string(id % 9) AS dddfone",
+        "string(id * 7919 % 99991) AS telefone", "int(id % 7) AS status",
+        "concat(id % 9, id * 7919 % 99991) AS telefone_completo")
+    ranked = rank_phones(phones).collect()
+    by_account = defaultdict(list)
+    for r in sorted(ranked, key=lambda r: r["num"]):
+        by_account[r["cod_cad"]].append((ORDER.get(r["status"], 0), r["status"], r["telefone_completo"]))
+    assert all(rows == sorted(rows) for rows in by_account.values())
+    assert sorted(r["num"] for r in ranked if r["cod_cad"] == 0) == list(range(1, 10001))
+    # The hot account's rows are spread before they are numbered.
+    plan = rank_phones(phones)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\((.*?)\)", plan)
+    assert any("_bucket2" in k for k in keys)
+
+
+def test_agreements_are_ranked_across_buckets(make):
+    rows = [{"cod_aco": n * 30000, "cod_cli": 517, "nmcont": "A", "data_cad": dt.date(2025, 1, 1)} for n in range(20)]
+    rows.append({"cod_aco": 5, "cod_cli": 517, "nmcont": None, "data_cad": dt.date(2025, 1, 1)})
+    ranked = rank_agreements(make("acordos_tb", *rows), dt.date(2024, 1, 1)).collect()
+    assert {r["cod_aco"]: r["rn_aco"] for r in ranked if r["nmcont"]} == {n * 30000: 20 - n for n in range(20)}
+    assert [r["rn_aco"] for r in ranked if r["nmcont"] is None] == [1]
