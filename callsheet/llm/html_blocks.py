@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from callsheet.llm.common import shipped
 
-#: Pages that the model is fitted on, and the longest page among them, in code points.
+#: Pages that the model is fitted on (expected; twice as many at most), and the longest page
+#: among them, in code points.
 SAMPLE_PAGES = 200
 SAMPLE_CHARS = 20_000
 #: Composed layouts for each page of the sample, and the most blocks of a training page.
@@ -437,17 +438,22 @@ def train(htmls: list[str]) -> Labeller:
 
 
 def fit(pages: DataFrame, html_column: str = "html", sample_pages: int = SAMPLE_PAGES) -> Labeller:
-    """A labeller fitted on at most `sample_pages` pages of at most SAMPLE_CHARS code points.
+    """A labeller fitted on about `sample_pages` pages of at most SAMPLE_CHARS code points.
 
-    The sample is the pages with the smallest hash, whatever the order of the rows.
+    The sample is the distinct pages with the smallest hashes, whatever the order of the
+    rows. A cut among the hash values picks them where they lie, so that a task sends on
+    no more than its share of the sample; twice `sample_pages` is the most that is used.
     """
+    share = min(1.0, sample_pages / max(pages.count(), 1))
+    cut = int(share * (2**64 - 1)) - 2**63
     html = F.col(html_column).cast("string")
     sample = (
-        pages.select(html.alias("html"))
-        .where(F.length("html").between(1, SAMPLE_CHARS))
-        .select("html", F.xxhash64("html").alias("h"))
-        .orderBy("h", "html")
-        .limit(sample_pages)
+        pages.select(html.alias("html"), F.xxhash64(html).alias("h"))
+        .where((F.col("h") <= cut) & F.length("html").between(1, SAMPLE_CHARS))
+        .groupBy("h")
+        .agg(F.min("html").alias("html"))
+        .orderBy("h")
+        .limit(2 * sample_pages)
         .collect()
     )
     return train([row["html"] for row in sample])
