@@ -106,7 +106,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
                 if out is None:
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz"
                     out, size, records = system.open_output_stream(path, compression=None), 0, 0
-                    squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
+                    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
                 record = record_bytes(row, date)
                 out.write(squeeze.compress(record))
                 size, records = size + len(record), records + 1
