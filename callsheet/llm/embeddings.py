@@ -10,8 +10,8 @@ A pair may meet in several buckets. It counts in the first table in which it mee
 which both sides can tell from the buckets that every vector carries, so links are
 counted without writing pairs: a task returns, per vector, the links it has counted,
 and links enough to keep what it found connected. Large buckets are cut into chunks of
-residents, each met by all others of the bucket in a task of its own; nothing is
-capped.
+residents and chunks of visitors, each pair of chunks a cell that may be a task of its
+own; nothing is capped.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ TABLES = 8
 HASHES = 3
 #: Buckets that a vector looks into in each table, its own included.
 PROBES = 8
-#: Residents of a bucket that one task holds.
-CHUNK = 2048
+#: Residents and visitors of a bucket in a cell, about.
+CHUNK = 512
 SEED = 12
 
 
@@ -134,16 +134,34 @@ def near_duplicates(
     sizes = visits.groupBy(*key).agg(
         F.count(F.when(F.col("resident"), 1)).alias("residents"), F.count("*").alias("n")
     )
-    busy = stored(sizes.where("residents > 0 AND n > 1").drop("n"))
-    chunks = F.ceil(F.col("residents") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("row"), chunks).cast("int")
-    # A resident also visits the chunks after its own, a visitor visits all.
-    met = visits.join(busy, key).withColumn("own", F.when(F.col("resident"), own))
+    busy = stored(sizes.where("residents > 0 AND n > 1"))
+    # A cell is a chunk of a bucket's residents and a chunk of what visits them. A resident
+    # is in all cells of its chunk, and it visits the chunks after its own; the other
+    # visitors visit all chunks.
+    n_resident = F.ceil(F.col("residents") / chunk).cast("int")
+    n_visiting = F.ceil(F.col("n") / chunk).cast("int")
+    own = F.when(F.col("resident"), F.pmod(F.xxhash64("row"), n_resident).cast("int"))
+    side = F.pmod(F.xxhash64("row", F.lit(1)), n_visiting).cast("int")
+    first = F.coalesce(F.col("own") + 1, F.lit(0))
+    at = lambda chunk, side, resident: F.struct(
+        chunk.alias("chunk"), side.alias("side"), F.lit(resident).alias("resident")
+    )
+    nowhere = F.array(at(F.lit(0), F.lit(0), False)).cast("array<struct<chunk:int,side:int,resident:boolean>>")
+    living = F.when(
+        F.col("resident"),
+        F.transform(F.sequence(F.lit(0), n_visiting - 1), lambda v: at(F.col("own"), v, True)),
+    )
+    visiting = F.when(
+        first < n_resident,
+        F.transform(F.sequence(first, n_resident - 1), lambda c: at(c, F.col("side"), False)),
+    )
+    none = F.slice(nowhere, 1, 0)
+    met = visits.join(busy, key).withColumns({"own": own, "side": side})
     spread = met.select(
-        "row", *key, "own",
-        F.explode(F.sequence(F.coalesce("own", F.lit(0)), chunks - 1)).alias("chunk"),
-    ).withColumn("resident", F.col("own").eqNullSafe(F.col("chunk")))
-    cell = [*key, "chunk"]
+        "row", *key,
+        F.explode(F.concat(F.coalesce(living, none), F.coalesce(visiting, none))).alias("at"),
+    ).select("row", *key, "at.chunk", "at.side", "at.resident")
+    cell = [*key, "chunk", "side"]
     ready = (
         spread.join(hashed.select("row", "vector", "buckets"), "row")
         .repartition(*cell)
@@ -214,7 +232,10 @@ def _hash(numbers: type, tables: int, probes: int):
 
 
 def _verify(numbers: type, threshold: float, tables: int, probes: int):
-    """Counts links of each chunk's residents with each other and with its visitors."""
+    """Counts links of each cell's residents with its visitors.
+
+    In the first cell of a chunk of residents these meet each other, too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, residents = None, None
@@ -276,21 +297,21 @@ def _verify(numbers: type, threshold: float, tables: int, probes: int):
             if inside:
                 block = of(inside)
                 if residents is not None:
-                    made.append(meet(table, residents, block, False))
+                    if cell[4] == 0:
+                        made.append(meet(table, residents, block, False))
                     residents = tuple(np.concatenate([x, y]) for x, y in zip(residents, block))
                 else:
                     residents = block
-                made.append(meet(table, block, block, True))
+                if cell[4] == 0:
+                    made.append(meet(table, block, block, True))
             if outside and residents is not None:
                 made.append(meet(table, residents, of(outside), False))
             held = []
             return [b for b in map(out, made) if b is not None]
 
         for batch in batches:
-            row, dimension, table, bucket, chunk, resident, unit, buckets = (
-                c.to_pylist() for c in batch.columns
-            )
-            for here, r, u, b, res in zip(zip(dimension, table, bucket, chunk), row, unit, buckets, resident):
+            row, *where, resident, vector, buckets = (c.to_pylist() for c in batch.columns)
+            for here, r, u, b, res in zip(zip(*where), row, vector, buckets, resident):
                 if here != cell:
                     yield from flush()
                     cell, residents = here, None
