@@ -28,10 +28,10 @@ from callsheet.llm.common import shipped
 #: among them, in code points.
 SAMPLE_PAGES = 200
 SAMPLE_CHARS = 20_000
-#: Composed layouts for each page of the sample, and the most blocks of a training page.
-LAYOUTS = 3
+#: Composed layouts, and the most blocks of a training page.
+LAYOUTS = 800
 TRAIN_BLOCKS = 120
-EPOCHS = 8
+EPOCHS = 10
 HIDDEN = 24
 PATH_SIZE, WORD_SIZE, NUMBERS = 96, 32, 8
 FEATURES = PATH_SIZE + WORD_SIZE + NUMBERS
@@ -427,7 +427,7 @@ def train(htmls: list[str]) -> Labeller:
             examples.append((features(blocks), np.array([x or 0 for x in labels], np.float32), weight))
         for block, label in zip(blocks, labels):
             (rest if label == 0 else main).append(escape(block.text))
-    for _ in range(max(len(htmls), 20) * LAYOUTS):
+    for _ in range(LAYOUTS):
         html, labels = compose(rng, main, rest)
         blocks = blocks_of(html)
         if len(blocks) == len(labels):
@@ -445,7 +445,7 @@ def fit(pages: DataFrame, html_column: str = "html", sample_pages: int = SAMPLE_
     no more than its share of the sample; twice `sample_pages` is the most that is used.
     """
     share = min(1.0, sample_pages / max(pages.count(), 1))
-    cut = int(share * (2**64 - 1)) - 2**63
+    cut = min(int(share * 2**64), 2**64 - 1) - 2**63
     html = F.col(html_column).cast("string")
     sample = (
         pages.select(html.alias("html"), F.xxhash64(html).alias("h"))
