@@ -1,0 +1,119 @@
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from callsheet.llm import decontaminate as dec
+
+
+def words_of(text):
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def brute(text, items, window):
+    words = words_of(text)
+    hit, names = set(), set()
+    for name, item in items:
+        own = words_of(item)
+        size = min(window, len(own))
+        if not size:
+            continue
+        windows = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)}
+        for at in range(len(words) - size + 1):
+            if tuple(words[at : at + size]) in windows:
+                hit |= set(range(at, at + size))
+                names.add("" if name is None else str(name))
+    return len(words), hit, sorted(names)
+
+
+def test_words():
+    for text in (None, "", "A-b_c 9é ß\x7f[Z]", "ÀB 漢字,x", "\x80a"):
+        assert [w.decode() for w in dec.words_of(text)] == words_of(text)
+
+
+@pytest.mark.parametrize("window, letters", [(10, "ab"), (4, "abc"), (3, "ab"), (1, "abcd")])
+def test_automaton_against_brute_force(window, letters):
+    rng = random.Random(window)
+    for _ in range(60):
+        make = lambda most: " ".join(rng.choices(letters, k=rng.randrange(most)))
+        items = [(n, make(18)) for n in range(rng.randrange(1, 7))]
+        items.append((0, make(9)))  # an id that has two texts
+        automaton = dec.Automaton([(str(n), dec.words_of(t)) for n, t in items], window)
+        for _ in range(6):
+            text = " ".join([make(30), rng.choice(items)[1], make(10)])
+            spans, names = automaton.match(dec.words_of(text))
+            n, hit, want = brute(text, items, window)
+            assert {i for a, b in spans for i in range(a, b)} == hit
+            assert sorted(names) == want
+            assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def data(spark):
+    rng = random.Random(8)
+    sentence = lambda k: " ".join(rng.choices(["red", "green", "blue", "É", "x1"], k=k))
+    items = [(n, sentence(rng.choice([2, 9, 10, 14, 40]))) for n in range(12)] + [(3, sentence(12)), (None, sentence(11)), (99, None), (98, "")]
+    docs = [(n, f"{sentence(6)}. {rng.choice(items)[1]}, {sentence(5)}") for n in range(30)]
+    docs += [(100, None), (101, ""), (None, items[0][1]), (102, items[4][1]), (102, items[4][1]), (103, "own " * 100_000)]
+    return items, docs, spark.createDataFrame(items, "item_id long, text string").repartition(2)
+
+
+@pytest.mark.parametrize("block", [dec.BLOCK_WORDS, 30])
+def test_hits(spark, docs, block):
+    items, rows, table = data(spark)
+    blocks = list(dec.automata(table, block_words=block))
+    assert (len(blocks) > 3) == (block == 30)
+    df = docs(*rows).selectExpr("*", "1 AS id", "2 AS spans", "3 AS hash")
+    found = dec.hits(df, blocks).select("row.doc_id", "n_words", dec.n_hit(F.col("spans")).alias("n"), "items").collect()
+    got = Counter((r["doc_id"], r["n_words"], r["n"], tuple(r["items"])) for r in found)
+    want = Counter()
+    for doc, text in rows:
+        n, hit, names = brute(text, items, 10)
+        want[(doc, n, len(hit), tuple(names))] += 1
+    assert got == want
+
+
+def test_items_longer_than_a_block_are_cut_with_overlap(spark):
+    item = " ".join(f"w{n}" for n in range(100))
+    blocks = list(dec.automata(spark.createDataFrame([(1, item)], "item_id long, text string"), block_words=20))
+    assert len(blocks) > 3
+    for at in range(0, 91):
+        words = [b"x", *(f"w{n}".encode() for n in range(at, at + 10)), b"y"]
+        spans = {s for a in blocks for s in a.match(words)[0]}
+        assert spans == {(1, 11)}
+
+
+@pytest.mark.parametrize("block", [dec.BLOCK_WORDS, 30])
+def test_removed_spans(spark, docs, block):
+    items, rows, table = data(spark)
+    blocks = list(dec.automata(table, block_words=block))
+    df = docs(*rows)
+    left = dec.remove_spans(df, blocks).select("row.*", "clean_text").collect()
+    kept = Counter(r["doc_id"] for r in left)
+    for doc, text in set(rows):
+        n, hit, _ = brute(text, items, 10)
+        assert bool(kept[doc]) == (len(hit) <= n / 2)
+    for r in left:
+        assert not brute(r["clean_text"], items, 10)[1]
+        if not brute(r["text"], items, 10)[1]:
+            assert r["clean_text"] == r["text"]
+    assert any(r["clean_text"] != r["text"] for r in left)
+
+
+def test_what_a_cut_brings_together_is_cut_too():
+    item = "a b c d e f g h i j"
+    automaton = dec.Automaton([("1", dec.words_of(item)), ("2", [b"q"] * 10)])
+    text = f"Start a b c d e {'q ' * 10}f g h i j, end."
+    assert words_of(dec.without_spans(text, [automaton])) == ["start", "end"]
+
+
+def test_empty_tables(spark, docs):
+    none = spark.createDataFrame([], "item_id long, text string")
+    blocks = list(dec.automata(none))
+    assert blocks == []
+    (row,) = dec.hits(docs((1, "a b")), blocks).collect()
+    assert (row["n_words"], row["spans"], row["items"]) == (2, [], [])
+    items, rows, table = data(spark)
+    assert dec.hits(docs(*rows).limit(0), list(dec.automata(table))).collect() == []

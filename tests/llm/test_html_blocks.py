@@ -1,0 +1,132 @@
+import re
+from html import unescape
+
+import numpy as np
+import pytest
+
+from callsheet.llm import html_blocks as hb
+from callsheet.llm.queries import QUERIES
+from tests.conftest import SMALL
+
+
+def texts(html):
+    return [b.text for b in hb.blocks_of(html)]
+
+
+@pytest.mark.parametrize("html, want", [
+    (None, []), ("", []), ("plain", ["plain"]), ("<p>a<p>b", ["a", "b"]), ("<p> a\n\t b <b>c</b>d</p>", ["a b cd"]),
+    ("<p>a<br>b", ["a b"]), ("<p>x &amp; y &lt;z&gt; &#233;&eacute; &amp", ["x & y <z> éé &"]), ("<p>&am", ["&am"]),
+    ("<script>var t='</p>';</script><style>p{}</style><p>a", ["a"]), ("<p>a<script>never closed <p>b", ["a"]),
+    ("<!-- <p>no</p> --><p>yes", ["yes"]), ("<p>a<!-- open", ["a"]), ("<title>t</title><p>a", ["a"]),
+    ("<ul><li>a<li>b</ul>c", ["a", "b", "c"]), ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]),
+    ("<p>1 < 2 and 3 > 2", ["1 < 2 and 3 > 2"]), ('<p title="a>b">c', ["c"]), ("<p title='x>c</p>", ["c"]),
+    ("<P>A</P><DIV>b</DIV>", ["A", "b"]), ("<p>a&nbsp;&nbsp;b", ["a b"]), ("<p>a</b></p>b", ["a", "b"]), ("<p", []),
+])
+def test_blocks(html, want):
+    assert texts(html) == want
+
+
+def test_paths_survive_unclosed_inline_elements():
+    blocks = hb.blocks_of('<article><p><b>a<br><p>b</article><footer class="x y">c</footer>')
+    assert [[e[0] for e in b.path] for b in blocks] == [["article", "p"], ["article", "p"], ["footer"]]
+    assert blocks[2].path[0] == ("footer", "x", "y")
+    assert [hb.own_label(b) for b in blocks] == [1, 1, 0]
+
+
+def test_link_characters_are_counted():
+    (block,) = hb.blocks_of('<p>see <a href="#">this one</a> now')
+    assert (block.text, block.linked) == ("see this one now", 8)
+
+
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(1)
+    model = hb.Labeller(hidden=3)
+    model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    x = rng.standard_normal((4, 2, hb.FEATURES))
+    mask = np.array([[1, 1], [1, 1], [1, 0], [1, 0]], float)
+    y, weight = rng.integers(0, 2, (4, 2)).astype(float), mask.copy()
+
+    def loss():
+        p = model.forward(x, mask)[0]
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / weight.sum()
+
+    grads = model.gradient(x, mask, y, weight)
+    for name, value in model.weights.items():
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in value.shape)
+            kept = value[at]
+            value[at] = kept + 1e-4
+            above = loss()
+            value[at] = kept - 1e-4
+            below = loss()
+            value[at] = kept
+            assert abs((above - below) / 2e-4 - grads[name][at]) < 1e-3
+
+
+@pytest.fixture(scope="module")
+def labeller(spark):
+    return hb.fit(spark.read.parquet(f"{SMALL}/pages.parquet"))
+
+
+def test_padding_and_order_do_not_matter(labeller):
+    rng = np.random.default_rng(4)
+    pages = [hb.features(hb.blocks_of(hb.compose(rng, ["Some main text."], ["rest"])[0])) for _ in range(30)]
+    pages.append(np.zeros((0, hb.FEATURES), np.float32))
+    together = labeller.label(pages)
+    for page, labels in zip(pages, together):
+        assert (labeller.label([page])[0] == labels).all()
+
+
+def test_held_out_accuracy_on_other_layouts(labeller):
+    rng = np.random.default_rng(99)
+    main = ["A sentence of the article that goes on for a while, with several words. " * k for k in range(1, 9)]
+    rest = ["buy now", "Read more about this offer of ours.", "About us", "I agree with the author of this."]
+    right = n = 0
+    for _ in range(300):
+        html, labels = hb.compose(rng, main, rest)
+        found = labeller.label([hb.features(hb.blocks_of(html))])[0]
+        right += (found == np.array(labels)).sum()
+        n += len(labels)
+    assert right / n > 0.98
+
+
+def test_a_page_of_a_common_kind(labeller):
+    html = """<html><body><header><div>Site name</div></header><nav><ul><li><a href=#>Home</a><li><a href=#>News</a></ul></nav>
+      <div class="cookie-notice"><p>We use cookies.</p></div>
+      <main><h1>The title of it</h1><p>First paragraph of the article, with a number of words in it.</p>
+      <div class="ad"><p>Buy this thing today.</p></div><p>Second paragraph of the article &amp; its end, in some words.</p></main>
+      <aside class="sidebar"><p>Other stories</p></aside><form><label>Your mail</label><input></form>
+      <section class="comments"><div class="comment"><p>I liked to read this, thank you.</p></div></section>
+      <footer><p>Copyright</p></footer></body></html>"""
+    assert hb.main_texts([html], labeller) == [
+        "The title of it\nFirst paragraph of the article, with a number of words in it.\n"
+        "Second paragraph of the article & its end, in some words."]
+
+
+def test_the_query_takes_exactly_the_articles(spark):
+    found = {r["page_id"]: r for r in QUERIES["op2_html_extraction"](spark, SMALL).collect()}
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
+    assert len(found) == len(pages)
+    for page in pages:
+        article = re.search(r"<article>(.*?)(?:</article>|$)", page["html"], re.DOTALL)[1]
+        blocks = [" ".join(unescape(re.sub("<[^>]*>", "", part)).split()) for part in re.split(r"</?(?:p|h1)>", article)]
+        want = "\n".join(b for b in blocks if b)
+        assert found[page["page_id"]]["text"] == want
+        assert (found[page["page_id"]]["url"], found[page["page_id"]]["n_chars"]) == (page["url"], len(want))
+
+
+def test_nulls_equal_rows_long_pages_and_extra_columns(spark, labeller):
+    long = "<article>" + "<p>Some words of a long article here.</p>" * 3000 + "</article><footer>end</footer>"
+    rows = [(1, None), (2, ""), (None, "<article><p>Text of it.</p></article>"), (2, ""), (3, long), (4, "<br>" * 10)]
+    df = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "1 AS text", "2 AS row")
+    got = [(r["page_id"], r["main_text"]) for r in hb.extract(df, labeller).collect()]
+    assert sorted(got, key=str) == sorted([
+        (1, ""), (2, ""), (2, ""), (4, ""), (None, "Text of it."),
+        (3, "\n".join(["Some words of a long article here."] * 3000))], key=str)
+    with pytest.raises(ValueError, match="main_text"):
+        hb.extract(df.withColumnRenamed("text", "main_text"), labeller)
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "page_id long, html string")
+    assert hb.extract(none, hb.fit(none)).collect() == []
