@@ -11,6 +11,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of texts in an Arrow batch.
+BATCH_ROWS = 512
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as `spark.checkpoint.dir` names it.
@@ -43,6 +46,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_small_batches(df: DataFrame) -> DataFrame:
+    """The same rows, in a session that sends few of them to a Python worker at a time.
+
+    Spark's default of 10,000 rows a batch is meant for narrow rows. Texts have any
+    length, so the session's setting is lowered to BATCH_ROWS; one that has been set to
+    another number already stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
     """Broadcasts a value of a size that the caller has bounded; tasks call the result for it.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callsheet.llm.common import shipped
+from callsheet.llm.common import shipped, with_small_batches
 
 WINDOW = 10
 #: Words of the items in one automaton; it takes some 600 bytes a word.
@@ -224,6 +224,7 @@ def hits(
     has no words. With one block of items nothing is shuffled; with several, each is a
     pass of its own over the documents and their findings meet by id and text hash.
     """
+    docs = with_small_batches(docs)
     text = F.col(text_column).cast("string")
     passes = [
         docs.select(

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsheet.llm.common import shipped
+from callsheet.llm.common import shipped, with_small_batches
 
 #: Pages that the model is fitted on (expected; twice as many at most), and the longest page
 #: among them, in code points.
@@ -487,4 +487,4 @@ def extract(pages: DataFrame, labeller: Labeller, html_column: str = "html") ->
                 texts += main_texts(series.iloc[at : at + 256].tolist(), shared())
             yield pd.Series(texts)
 
-    return pages.withColumn("main_text", text_of(F.col(html_column).cast("string")))
+    return with_small_batches(pages).withColumn("main_text", text_of(F.col(html_column).cast("string")))

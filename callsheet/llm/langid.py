@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callsheet.llm.common import shipped
+from callsheet.llm.common import shipped, with_small_batches
 
 ORDERS = (1, 2, 3)
 MAX_BUCKETS = 1 << 15
@@ -100,7 +100,7 @@ def fit(
     The number of buckets is a power of two, at most `max_buckets`, such that the
     matrix keeps within MATRIX_BYTES. Without any row the model knows no language.
     """
-    rows = docs.select(
+    rows = with_small_batches(docs).select(
         F.col(language_column).cast("string").alias("language"),
         F.col(text_column).cast("string").alias("text"),
     ).where("language IS NOT NULL AND text IS NOT NULL")
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFra
         languages, scores = shared().predict(texts.tolist())
         return pd.DataFrame({"lang_pred": languages, "score": scores})
 
-    rows = docs.select(
+    rows = with_small_batches(docs).select(
         F.struct("*").alias("row"), score(F.col(text_column).cast("string")).alias("found")
     )
     return rows.select("row.*", "found.lang_pred", "found.score")

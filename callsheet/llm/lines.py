@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callsheet.llm.common import stored
+from callsheet.llm.common import stored, with_small_batches
 
 #: What counts as white space at the ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
@@ -53,7 +53,7 @@ def keep_bitmaps(
     all others. Documents that lose nothing, null and empty texts have no row. Equal
     rows share a bitmap.
     """
-    rows = docs.select(
+    rows = with_small_batches(docs).select(
         F.col(id_column).alias("id"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
     )
@@ -123,7 +123,7 @@ def apply_bitmaps(
         raise ValueError(f"columns exist already: {sorted(clash)}")
     # One struct carries all input columns, so that none can clash with the join's.
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    left = docs.select(
+    left = with_small_batches(docs).select(
         F.struct("*").alias("row"), F.col(id_column).alias("l_id"), text_hash(text).alias("l_hash")
     )
     # The bitmaps are the small side; hashing them spares a sort of whole texts.

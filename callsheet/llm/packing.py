@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callsheet.llm.common import shipped, stored
+from callsheet.llm.common import shipped, stored, with_small_batches
 
 MAX_TOKENS = 2048
 END_ID = 0
@@ -168,7 +168,7 @@ def pieces(
     cut so that all pieces but the first are full. `tokenizer` is the file's path on
     the executors.
     """
-    rows = docs.select(
+    rows = with_small_batches(docs).select(
         F.col(id_column).alias("id"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
     )

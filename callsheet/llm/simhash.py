@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callsheet.llm.common import components, stored
+from callsheet.llm.common import components, stored, with_small_batches
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -122,7 +122,7 @@ def fingerprints(
     Null texts count as empty. Shingles repeat as often as they occur; a text of fewer
     words than a shingle is one shingle.
     """
-    rows = docs.select(
+    rows = with_small_batches(docs).select(
         F.col(text_column).cast("string").alias("text"),
         F.col(id_column).alias("id"),
         *([] if text_hash is None else [text_hash.alias("text_hash")]),

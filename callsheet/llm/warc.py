@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsheet.llm.common import stored
+from callsheet.llm.common import stored, with_small_batches
 
 #: Least payload, in bytes, that is worth a revisit record.
 REVISIT_BYTES = 1000
@@ -116,7 +116,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         if out is not None:
             yield close()
 
-    return stored(rows.mapInArrow(run, "archive string, records long"))
+    return stored(with_small_batches(rows).mapInArrow(run, "archive string, records long"))
 
 
 def record_bytes(row: dict, date: str) -> bytes:
