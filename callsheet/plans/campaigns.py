@@ -31,6 +31,7 @@ from callsheet.operators.phones import clean_phones_by_rule, phone_lists_by_rule
 from callsheet.params import CampaignParams
 from callsheet.plans.catalogue import PORTFOLIOS, WEEK, Campaign
 from callsheet.schemas import CONTRACT, SCHEMAS
+from callsheet.session import require_adaptive
 
 ACCOUNT_COLUMNS = ["cod_cad", "nome", "cpf", "BindingID", "DataNascimento", "Portfolio"]
 CONTRACT_COLUMNS = [
@@ -88,6 +89,7 @@ def campaign_list(
     accounts that share a contract.
     """
     base = select_accounts(tables["cadastros_tb"], params)
+    require_adaptive(base.sparkSession)
     tables = selected_tables(tables, base, params)
     history = tables["hist_tb"], tables["stcob_tb"]
     profile = contract_profile(tables, params)
@@ -183,6 +185,7 @@ def weekly_lists(
     rules = sorted({c.phone_rule for c in campaigns})
 
     accounts = select_accounts(tables["cadastros_tb"], params)
+    require_adaptive(accounts.sparkSession)
     tables = selected_tables(tables, accounts, params)
     base = accounts.select(
         *account_columns(), is_recent(params.today, params.recent_months).alias("recent")

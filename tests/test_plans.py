@@ -153,3 +153,12 @@ def test_load_from_the_catalog(spark, tmp_path):
 def test_catalogue(spark):
     assert {r["campaign"]: r["file_part"] for r in cat.campaign_dim(spark).collect()} == {
         c.id: c.file_part for c in cat.WEEK}
+
+
+def test_lists_need_adaptive_execution(spark, tables):
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        with pytest.raises(ValueError, match="skewJoin"):
+            weekly_lists(tables, PARAMS)
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
