@@ -59,15 +59,18 @@ def with_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+def shipped(spark: SparkSession, value: Any, keep: bool = True) -> Callable[[], Any]:
     """Broadcasts a value of a size that the caller has bounded; tasks call the result for it.
 
-    The value may be of a class of this package, which the executors need not have.
+    The value may be of a class of this package, which the executors need not have. A
+    task makes it once, or with `keep` off for every call.
     """
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     held: list[Any] = []
 
     def get() -> Any:
+        if not keep:
+            return cloudpickle.loads(sent.value)
         if not held:
             held.append(cloudpickle.loads(sent.value))
         return held[0]

@@ -4,7 +4,8 @@ One automaton holds the normalised words of all test items. Tasks stream the wor
 a document through it and track the longest suffix that occurs in some item: where
 that is at least a window long, the window's words are hit. Items shorter than a
 window count as a window of their own. The automaton is broadcast in blocks of a
-bounded number of item words; a benchmark beyond one block is met block by block.
+bounded number of item words, as words from which each task builds it; a benchmark
+beyond one block is met block by block.
 """
 
 from __future__ import annotations
@@ -40,10 +41,21 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences, with the items of each window."""
+    """Suffix automaton of several word sequences, with the items of each window.
+
+    It is built when it is first used and travels as its words, which are far smaller:
+    the driver holds and sends words only.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.window = window
+        self.source, self.window = items, window
+        self.next: list[dict[bytes, int]] | None = None
+
+    def __reduce__(self):
+        return type(self), (self.source, self.window)
+
+    def _build(self) -> None:
+        items, window = self.source, self.window
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = array("i", [-1]), array("i", [0])
         whole = []
@@ -120,6 +132,8 @@ class Automaton:
 
     def walk(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
         """After each word: the state and the length of the longest suffix that occurs."""
+        if self.next is None:
+            self._build()
         following, link, lengths = self.next, self.link, self.length
         state = length = 0
         for word in words:
@@ -138,6 +152,8 @@ class Automaton:
 
     def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Hit spans of words (start, end), disjoint and in order, and the items found."""
+        if self.next is None:
+            self._build()
         window, short_up, has_short = self.window, self.short_up, bool(self.shorts)
         spans: list[tuple[int, int]] = []
         states, names = set(), set()
@@ -288,11 +304,19 @@ def remove_spans(
     """
     found = hits(docs, blocks, id_column, text_column)
     share = n_hit(F.col("spans")) / F.greatest("n_words", F.lit(1))
-    shared = [shipped(docs.sparkSession, a) for a in blocks]
+    # One automaton is in memory at a time: with several blocks none is kept.
+    shared = [shipped(docs.sparkSession, a, keep=len(blocks) == 1) for a in blocks]
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([t and without_spans(t, [b() for b in shared]) for t in texts])
+        texts, again = texts.tolist(), any(texts)
+        while again:
+            before = list(texts)
+            for get in shared:
+                automaton = get()
+                texts = [t and without_spans(t, automaton) for t in texts]
+            again = len(shared) > 1 and texts != before
+        return pd.Series(texts, dtype=object)
 
     text = F.col("row")[text_column].cast("string")
     hit = F.size("spans") > 0
@@ -305,13 +329,13 @@ def remove_spans(
     )
 
 
-def without_spans(text: str, blocks: list[Automaton]) -> str:
-    """The text without its hit words, until no window of any block is left."""
+def without_spans(text: str, automaton: Automaton) -> str:
+    """The text without its hit words, until no window is left."""
     raw = text.encode()
     while True:
         flat = raw.translate(_TABLE)
         words = flat.split()
-        spans = [s for automaton in blocks for s in automaton.match(words)[0]]
+        spans = automaton.match(words)[0]
         if not spans:
             return raw.decode()
         ends, at, starts = [], 0, []
@@ -322,7 +346,7 @@ def without_spans(text: str, blocks: list[Automaton]) -> str:
             ends.append(at)
         keep = bytearray()
         at = 0
-        for first, last in _union(spans):
+        for first, last in spans:
             keep += raw[at : starts[first]]
             at = ends[last - 1]
         raw = bytes(keep + raw[at:])
