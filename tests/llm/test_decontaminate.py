@@ -106,7 +106,7 @@ def test_what_a_cut_brings_together_is_cut_too():
     item = "a b c d e f g h i j"
     automaton = dec.Automaton([("1", dec.words_of(item)), ("2", [b"q"] * 10)])
     text = f"Start a b c d e {'q ' * 10}f g h i j, end."
-    assert words_of(dec.without_spans(text, [automaton])) == ["start", "end"]
+    assert words_of(dec.without_spans(text, automaton)) == ["start", "end"]
 
 
 def test_empty_tables(spark, docs):
