@@ -197,7 +197,10 @@ def near_duplicates(
     a row each. Texts without words share fingerprint zero and link like any others.
     """
     prints = stored(fingerprints(docs, id_column, text_column, words_each))
-    return prints.join(_classes(prints, max_bits), "fingerprint").select(
+    # Read from its own files, so that both sides are shuffled for this join alone and
+    # adaptive execution can split a fingerprint that very many rows have.
+    classes = stored(_classes(prints, max_bits))
+    return prints.join(classes, "fingerprint").select(
         "id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
