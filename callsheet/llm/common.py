@@ -88,8 +88,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round gives every node's larger neighbours, then every node, the smallest
     neighbour as their new partner (large star, small star). Trees flatten in a
     number of rounds that grows with the logarithm of the longest chain. Every step
-    is an aggregation that combines on the map side or an equi-join, so a node with
-    very many links is split by adaptive execution. Rounds end with a checkpoint, so
+    is an aggregation that combines on the map side or an equi-join. The aggregated
+    side is stored, so that both sides are shuffled for the join alone and adaptive
+    execution can split a node with very many links. Rounds end with a checkpoint, so
     the lineage stays short.
     """
     edges = stored(
@@ -117,7 +118,7 @@ def _signature(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours get its smallest neighbour (or itself)."""
-    lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
+    lowest = stored(edges.groupBy("u").agg(F.min("v").alias("m")))
     # A node without a smaller neighbour is its own minimum: its links stay as they are.
     return (
         edges.select(F.col("v").alias("c"), F.col("u").alias("larger"))
@@ -129,7 +130,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node's smaller neighbours get the smallest of them."""
-    lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
+    lowest = stored(edges.groupBy("u").agg(F.min("v").alias("m")))
     return (
         edges.join(lowest, "u")
         .where(F.col("v") != F.col("m"))

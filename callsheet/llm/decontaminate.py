@@ -65,20 +65,18 @@ class Automaton:
                 last = self._extend(last, word)
             if 0 < len(words) < window:
                 whole.append((name, words))
-        #: state -> longest short item that every string of the state ends with, or its state
-        self.short_at: dict[int, tuple[int, set[str]]] = {}
+        ends: dict[tuple[int, int], set[str]] = {}
         for name, words in whole:
             state = 0
             for word in words:
                 state = self.next[state][word]
-            # Items that end in one state are distinct lengths of it at most.
-            self.short_at.setdefault((state, len(words)), set()).add(name)
-        self.shorts: dict[int, list[tuple[int, frozenset[str]]]] = {}
-        for (state, size), names in self.short_at.items():
-            self.shorts.setdefault(state, []).append((size, frozenset(names)))
-        del self.short_at
+            ends.setdefault((state, len(words)), set()).add(name)
+        # State to the short items that end in it, by length.
+        self.shorts: dict[int, list[tuple[int, set[str]]]] = {}
+        for (state, size), names in ends.items():
+            self.shorts.setdefault(state, []).append((size, names))
         self._ancestors()
-        #: state of a window -> items that hold it
+        # State of a window to the items that hold it.
         self.items: dict[int, set[str]] = {}
         for name, words in items:
             for state, length in self.walk(words):

@@ -174,7 +174,8 @@ def near_duplicates(
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n_links"))
     joined = components(found.where("b IS NOT NULL")).withColumnRenamed("node", "row")
     linked = joined.join(rows.select("row", "id"), "row")
-    lowest = linked.groupBy("root").agg(F.min("id").alias("component_id"))
+    # Stored, so that the join can split a component with very many members.
+    lowest = stored(linked.groupBy("root").agg(F.min("id").alias("component_id")))
     named = linked.join(lowest, "root").select("row", "component_id")
     return (
         rows.select("row", "id")

@@ -111,7 +111,8 @@ def scan(
         & ((F.col("kind") != "random") | mixed)
     )
     judged = (
-        spans.join(ownership(spans), "value_hash")
+        # Stored, so that the join can split a value that very many rows hold.
+        spans.join(stored(ownership(spans)), "value_hash")
         .withColumn(
             "live",
             looks_live
@@ -149,7 +150,7 @@ def scan(
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """How many distinct owners and repositories hold each value.
+    """How many distinct owners and repositories (of an owner) hold each value.
 
     Needs `value_hash`, `owner`, `repository`. Copies fall away on the map side first,
     so a value that a third of the rows hold costs a row per task and repository.

@@ -250,7 +250,8 @@ def _classes(prints: DataFrame, max_bits: int) -> DataFrame:
         "node", "fingerprint"
     )
     linked = distinct.join(joined, "fingerprint")
-    lowest = linked.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    # Stored, so that the join can split a component with very many members.
+    lowest = stored(linked.groupBy("root").agg(F.min("smallest").alias("component_id")))
     named = linked.join(lowest, "root").select("fingerprint", "root", "component_id")
     return distinct.join(named, "fingerprint", "left").select(
         "fingerprint",

@@ -63,7 +63,8 @@ def with_record_types(
         .drop("n")
     )
     revisits = (
-        narrow.join(repeated, "digest")
+        # Stored, so that the join can split a payload that very many pages have.
+        narrow.join(stored(repeated), "digest")
         .where(~F.col("id").eqNullSafe(F.col("refers_to")))
         .select(F.col("id").alias("v_id"), F.col("digest").alias("v_digest"), "refers_to")
         .distinct()
