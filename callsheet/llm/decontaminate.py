@@ -316,6 +316,7 @@ def remove_spans(
             again = len(shared) > 1 and texts != before
         return pd.Series(texts, dtype=object)
 
+    cut = cut.asNondeterministic()  # called once, although its result is filtered
     text = F.col("row")[text_column].cast("string")
     hit = F.size("spans") > 0
     return (
@@ -362,7 +363,8 @@ def _find(docs: DataFrame, automaton: Automaton):
             rows.append((len(words), [x for s in spans for x in s], sorted(names)))
         return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
-    return find
+    # So that Spark does not copy the call into a filter on its result.
+    return find.asNondeterministic()
 
 
 def _merge(lists: Column) -> Column:
