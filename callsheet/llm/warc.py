@@ -30,6 +30,8 @@ from callsheet.llm.common import stored, with_small_batches
 REVISIT_BYTES = 1000
 #: An archive is closed once it holds so many bytes before compression.
 ARCHIVE_BYTES = 32 << 20
+#: Revisits, of some 100 bytes each, that are broadcast at most.
+BROADCAST_ROWS = 100_000
 _CHUNK = 1 << 20
 _END = b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,9 +71,12 @@ def with_record_types(
         .select(F.col("id").alias("v_id"), F.col("digest").alias("v_digest"), "refers_to")
         .distinct()
     )
-    # The pages meet their revisits by id, so that no group of copies meets in one task.
+    # The pages meet their revisits by id, so that no group of copies meets in one task;
+    # few revisits go to the pages instead, which then stay where they are.
+    revisits = stored(revisits)
+    few = revisits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return rows.join(
-        revisits.hint("shuffle_hash"),
+        F.broadcast(revisits) if few else revisits.hint("shuffle_hash"),
         F.col("id").eqNullSafe(F.col("v_id")) & (F.col("digest") == F.col("v_digest")),
         "left",
     ).select(
