@@ -76,7 +76,9 @@ def brute(rows):
     return Counter(out)
 
 
-def test_pages_come_back(spark):
+@pytest.mark.parametrize("few", [warc.BROADCAST_ROWS, 3])
+def test_pages_come_back(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", few)
     rng = random.Random(1)
     bodies = [None, "", "short", "é" * 499, "é" * 500, "b" * 1000, "c\r\n\r\n" * 300, "d" * 2_000_000]
     rows = [(n, f"http://h/{n}?a=é b\r\nX: y", rng.choice(bodies)) for n in range(60)]
