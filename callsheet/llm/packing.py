@@ -101,23 +101,37 @@ def encoder(path: str):
 
     A byte-level BPE file of the usual kind, without normaliser and with ids in the
     order of its merges, is encoded by tiktoken, which gives the same ids several times
-    faster; any other file by tokenizers.
+    faster; any other file by tokenizers, as is a text that tiktoken refuses: its pattern
+    overflows on about a million white-space characters in a row.
     """
-    import tokenizers
+    held = []
+
+    def slow(text: str) -> np.ndarray:
+        if not held:
+            import tokenizers
+
+            held.append(tokenizers.Tokenizer.from_file(path))
+            held[0].encode_special_tokens = True
+        return np.array(held[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     ranks = _ranks(spec)
     if ranks is None:
-        slow = tokenizers.Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
-        return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        return slow
     import tiktoken
 
     # The byte-level pre-tokenizer's own pattern (a fixed value).
     words = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("file", pat_str=words, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+        except ValueError:
+            return slow(text)
+
+    return encode
 
 
 def _ranks(spec: dict) -> dict[bytes, int] | None:

@@ -74,6 +74,13 @@ def test_special_strings_and_every_kind_of_character():
         assert FAST(text).tolist() == SLOW.encode(text, add_special_tokens=False).ids
 
 
+def test_white_space_runs_that_tiktoken_refuses(docs):
+    texts = {1: " " * 1_200_000, 2: "a" + "\n" * 1_200_000 + "b", 3: "c"}
+    for text in texts.values():
+        assert FAST(text).tolist() == SLOW.encode(text, add_special_tokens=False).ids
+    check(pack(pieces(docs(*texts.items()), TOKENIZER)).collect(), texts, 2048)
+
+
 def check(rows, texts, size):
     by_doc = defaultdict(list)
     by_sequence = defaultdict(list)
