@@ -96,13 +96,17 @@ def best_fit_plan(counts: dict[int, int], capacity: int = MAX_TOKENS) -> list[tu
     return runs
 
 
-def encoder(path: str):
-    """Function from text to ids as the tokenizer file gives them, special strings as text.
+def encoder(path: str, special: bool = False):
+    """Function from text to ids as the tokenizer file gives them.
+
+    Special strings are text; with `special` they get their own ids, as in the default
+    call of tokenizers.
 
     A byte-level BPE file of the usual kind, without normaliser and with ids in the
     order of its merges, is encoded by tiktoken, which gives the same ids several times
-    faster; any other file by tokenizers, as is a text that tiktoken refuses: its pattern
-    overflows on about a million white-space characters in a row.
+    faster; any other file by tokenizers, as is a text that holds an added token and one
+    that tiktoken refuses: its pattern overflows on about a million white-space characters
+    in a row.
     """
     held = []
 
@@ -111,7 +115,7 @@ def encoder(path: str):
             import tokenizers
 
             held.append(tokenizers.Tokenizer.from_file(path))
-            held[0].encode_special_tokens = True
+            held[0].encode_special_tokens = not special
         return np.array(held[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     with open(path, encoding="utf-8") as file:
@@ -124,8 +128,11 @@ def encoder(path: str):
     # The byte-level pre-tokenizer's own pattern (a fixed value).
     words = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("file", pat_str=words, mergeable_ranks=ranks, special_tokens={})
+    added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
 
     def encode(text: str) -> np.ndarray:
+        if any(token in text for token in added):
+            return slow(text)
         try:
             return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
         except ValueError:
@@ -180,7 +187,8 @@ def pieces(
     `ids_crc32` (of little-endian unsigned 32-bit ids), and `ids` on request. Null
     texts count as empty, so every row gives at least its end id. A longer document is
     cut so that all pieces but the first are full. `tokenizer` is the file's path on
-    the executors.
+    the executors; the ids are those of its default call, in which an added token that
+    stands in a text, such as `<|endoftext|>`, is one id.
     """
     rows = with_small_batches(docs).select(
         F.col(id_column).alias("id"),
@@ -190,7 +198,7 @@ def pieces(
     names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, special=True)
         end = np.array([end_id], np.uint32)
         for batch in batches:
             index, numbers, starts, lengths, sums, parts = [], [], [], [], [], []

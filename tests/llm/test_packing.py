@@ -81,6 +81,14 @@ def test_white_space_runs_that_tiktoken_refuses(docs):
     check(pack(pieces(docs(*texts.items()), TOKENIZER)).collect(), texts, 2048)
 
 
+def test_pieces_hold_the_ids_of_the_default_call(docs):
+    default = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {1: "a <|endoftext|> b", 2: "<|endoftext|>" * 2, 3: "a <|endoftext| > b", 4: "plain"}
+    got = {r["id"]: r["ids"] for r in pieces(docs(*texts.items()), TOKENIZER, with_ids=True).collect()}
+    assert got == {n: default.encode(t, add_special_tokens=False).ids + [0] for n, t in texts.items()}
+    assert got[1] == [64, 220, 50256, 275, 0]
+
+
 def check(rows, texts, size):
     by_doc = defaultdict(list)
     by_sequence = defaultdict(list)
