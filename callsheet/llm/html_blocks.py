@@ -63,6 +63,8 @@ REST_WORDS = frozenset(
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>"
+    # An svg tag that closes itself; a slash at the end of a value without quotes is the value's.
+    r"|<svg(?=[\s/])(?:\s++|/(?!>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+)*+/>"
     r"|<(?P<hide>" + "|".join(HIDDEN_ELEMENTS) + r")\b[^>]*+>.*?(?:</(?P=hide)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<more>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-z][^\s/>]*+)[^>]*+(?:>|\Z)",

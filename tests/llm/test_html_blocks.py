@@ -26,6 +26,16 @@ def test_blocks(html, want):
     assert texts(html) == want
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<p>a<svg/>b<p>c", ["ab", "c"]), ('<p>a<svg class="x" viewBox="0 0 1 1" />b<p>c<svg><path d="1"/>no</svg>d', ["ab", "cd"]),
+    ("<p>a<svg\n aria-label='x>y' hidden/><p>b", ["a", "b"]), ("<p>a<SVG CLASS=x />b", ["ab"]),
+    ("<p>a<svg><circle/>no</svg>b", ["ab"]), ("<p>a<svg class=x/>no</svg>b", ["ab"]), ("<p>a<svg/ >no</svg>b", ["ab"]),
+    ("<p>a<script src=x />no</script>b", ["ab"]), ("<p>a<svg never closed", ["a"]),
+])
+def test_self_closing_svg(html, want):
+    assert texts(html) == want
+
+
 def test_paths_survive_unclosed_inline_elements():
     blocks = hb.blocks_of('<article><p><b>a<br><p>b</article><footer class="x y">c</footer>')
     assert [[e[0] for e in b.path] for b in blocks] == [["article", "p"], ["article", "p"], ["footer"]]
