@@ -162,6 +162,11 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFra
     clash = {"lang_pred", "score"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
+    return scored(docs, model, text_column).select("row.*", "lang_pred", "score")
+
+
+def scored(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """`row` (a struct of all columns), and `lang_pred` and `score` as in `predict`."""
     shared = shipped(docs.sparkSession, model)  # within MATRIX_BYTES
 
     @F.pandas_udf("lang_pred string, score double")
@@ -172,4 +177,4 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFra
     rows = with_small_batches(docs).select(
         F.struct("*").alias("row"), score(F.col(text_column).cast("string")).alias("found")
     )
-    return rows.select("row.*", "found.lang_pred", "found.score")
+    return rows.select("row", "found.lang_pred", "found.score")

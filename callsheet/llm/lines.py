@@ -121,6 +121,14 @@ def apply_bitmaps(
     clash = {"kept_text", "n_lines", "n_dropped"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
+    kept = with_kept_lines(docs, bitmaps, id_column, text_column)
+    return kept.select("row.*", "kept_text", "n_lines", "n_dropped")
+
+
+def with_kept_lines(
+    docs: DataFrame, bitmaps: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """`row` (a struct of all columns), and the columns that `apply_bitmaps` adds."""
     # One struct carries all input columns, so that none can clash with the join's.
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     left = with_small_batches(docs).select(
@@ -141,7 +149,7 @@ def apply_bitmaps(
     # Only texts that lose a line go through Python.
     kept = _kept()(F.when(affected, F.col("text")), F.col("keep"))
     return joined.select(
-        "row.*",
+        "row",
         F.when(affected, kept).otherwise(F.col("text")).alias("kept_text"),
         (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
         .cast("long")

@@ -47,7 +47,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = html_blocks.extract(pages, html_blocks.fit(pages))
     return found.select(
         "page_id",

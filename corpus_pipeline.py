@@ -21,14 +21,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
-    """The columns of `docs`, with a new text and its length."""
+    """The columns of `docs`, which `changed` has in `row`, with a new text and its length."""
     return changed.select(
         *[
             F.col(text).alias(c)
             if c == "text"
             else F.length(text).cast(docs.schema[c].dataType).alias(c)
             if c == "n_chars"
-            else F.col(c)
+            else F.col("row")[c].alias(c)
             for c in docs.columns
         ]
     )
@@ -41,14 +41,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from the rows outside the held-out fold.
     """
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    found = langid.predict(docs, model)
+    found = langid.scored(docs, model)
     known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)
-    return found.where(known).select(*docs.columns)
+    return found.where(known).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that many documents share from all but one of them."""
-    kept = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
+    kept = lines.with_kept_lines(docs, lines.keep_bitmaps(docs))
     return _with_text(docs, kept, "kept_text")
 
 
@@ -61,7 +61,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Cuts the passages of benchmark items out, and documents that are mostly such passages."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     clean = decontaminate.remove_spans(docs, list(decontaminate.automata(items)))
-    return _with_text(docs, clean.select("row.*", "clean_text"), "clean_text")
+    return _with_text(docs, clean, "clean_text")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,6 +125,13 @@ def test_the_query_takes_exactly_the_articles(spark):
         assert (found[page["page_id"]]["url"], found[page["page_id"]]["n_chars"]) == (page["url"], len(want))
 
 
+def test_the_query_takes_pages_with_columns_of_any_name(spark, tmp_path):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").limit(20)
+    pages.selectExpr("*", "1 AS main_text", "2 AS text").write.parquet(f"{tmp_path}/pages.parquet")
+    found = QUERIES["op2_html_extraction"](spark, str(tmp_path)).collect()
+    assert len(found) == 20 and all(len(r["text"]) == r["n_chars"] > 1 for r in found)
+
+
 def test_nulls_equal_rows_long_pages_and_extra_columns(spark, labeller):
     long = "<article>" + "<p>Some words of a long article here.</p>" * 3000 + "</article><footer>end</footer>"
     rows = [(1, None), (2, ""), (None, "<article><p>Text of it.</p></article>"), (2, ""), (3, long), (4, "<br>" * 10)]

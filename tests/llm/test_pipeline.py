@@ -71,6 +71,24 @@ def test_language_stage_rejects_what_has_no_language(spark, docs):
     assert {d for d, _ in rows_of(STAGES["language ID"](spark, df, SMALL))} == set(range(20))
 
 
+def test_stages_keep_extra_columns_of_any_name(spark, docs):
+    line = "A line that all three documents share with each other.\n"
+    names = ["score", "lang_pred", "n_lines", "n_dropped", "kept_text", "clean_text", "row", "found", "id", "cut", "hit", "a.b"]
+    plain = docs(*[(n, line + f"own words of document {n}") for n in range(3)])
+    extra = plain.selectExpr("*", *[f"concat('{name} ', doc_id) AS `{name}`" for name in names])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, extra, SMALL)
+        if name == "best-fit packing":
+            fields = ("doc_id", "piece", "start", "length", "ids_crc32")
+            assert {tuple(r[f] for f in fields) for r in out.collect()} == {
+                tuple(r[f] for f in fields) for r in stage(spark, plain, SMALL).collect()}
+            continue
+        assert out.columns == extra.columns, name
+        rows = out.collect()
+        assert sorted(map(str, [r[:5] for r in rows])) == sorted(str(r[:]) for r in stage(spark, plain, SMALL).collect())
+        assert rows and all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in names), name
+
+
 def test_stages_take_nulls_equal_rows_and_empty_tables(spark, docs):
     rows = [(1, None), (1, None), (None, "some words of a document"), (2, ""), (3, "w " * 50_000), (3, "w " * 50_000)]
     for name, stage in corpus_pipeline.STAGES:
