@@ -3,23 +3,25 @@
 One automaton holds the normalised words of all test items. Tasks stream the words of
 a document through it and track the longest suffix that occurs in some item: where
 that is at least a window long, the window's words are hit. Items shorter than a
-window count as a window of their own. The automaton is broadcast in blocks of a
-bounded number of item words, as words from which each task builds it; a benchmark
-beyond one block is met block by block.
+window count as a window of their own. Items go to blocks of a bounded number of words,
+which tasks write to files in the shared folder and from which each task builds the
+automaton; a benchmark beyond one block is met block by block.
 """
 
 from __future__ import annotations
 
+import uuid
 from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callsheet.llm.common import shipped, with_small_batches
+from callsheet.llm.common import new_folder, shipped, stored, with_small_batches
+from callsheet.llm.warc import _open
 
 WINDOW = 10
 #: Words of the items in one automaton; it takes some 600 bytes a word.
@@ -40,14 +42,29 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
+class Block:
+    """Names and words of a block's items, read from the files that hold them."""
+
+    def __init__(self, folder: str, files: list[str]):
+        self.folder, self.files = folder, files
+
+    def __iter__(self) -> Iterator[tuple[str, list[bytes]]]:
+        system, root = _open(self.folder)
+        for file in self.files:
+            with system.open_input_stream(f"{root}/{file}", compression=None) as stream:
+                rows = pa.ipc.open_stream(stream).read_all()
+            for name, words in zip(rows["name"].to_pylist(), rows["words"].to_pylist()):
+                yield name, words.split()
+
+
 class Automaton:
     """Suffix automaton of several word sequences, with the items of each window.
 
-    It is built when it is first used and travels as its words, which are far smaller:
-    the driver holds and sends words only.
+    It is built when it is first used and travels as its items, or as the names of their
+    files: the driver holds and sends names only.
     """
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW):
         self.source, self.window = items, window
         self.next: list[dict[bytes, int]] | None = None
 
@@ -55,7 +72,7 @@ class Automaton:
         return type(self), (self.source, self.window)
 
     def _build(self) -> None:
-        items, window = self.source, self.window
+        items, window = list(self.source), self.window
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = array("i", [-1]), array("i", [0])
         whole = []
@@ -188,41 +205,71 @@ def automata(
     """Automata of blocks of items, each of about `block_words` words at most.
 
     Items go to blocks by running word counts, worked out by Spark; an item of more
-    words than a block is cut into parts that overlap by a window less one word. Null
-    texts have no words, a null id stands for the empty string.
+    words than an eighth of a block is cut into parts that overlap by a window less one
+    word. Null texts have no words, a null id stands for the empty string. Tasks write
+    the words to files in the shared folder; the driver gets the names of the files.
     """
+    spark = items.sparkSession
+    folder = new_folder(spark, "benchmark")
+    # A block takes the parts that start within a stretch of `block_words` less one part.
+    most = max(block_words // 8, window)
+    stretch = max(block_words - most, 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0  # words of the partition so far
         for batch in batches:
-            names, parts, sizes = [], [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            index, starts, parts, sizes = [], [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 words = words_of(text)
-                for at in range(0, max(len(words) - window + 1, min(len(words), 1)), block_words):
-                    part = words[at : at + block_words + window - 1]
-                    names.append(name)
+                for at in range(0, max(len(words) - window + 1, min(len(words), 1)), most):
+                    part = words[at : at + most + window - 1]
+                    index.append(i)
+                    starts.append(before)
                     parts.append(b" ".join(part))
                     sizes.append(len(part))
-            yield pa.RecordBatch.from_pydict(
-                {"name": pa.array(names, pa.string()), "words": pa.array(parts, pa.binary()),
-                 "size": pa.array(sizes, pa.int64())}
+                    before += len(part)
+            take = pa.array(index, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(parts, pa.binary()),
+                 pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())],
+                ["part", "name", "words", "start", "size"],
             )
 
-    parts = items.select(
-        F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("name"),
-        F.col(text_column).cast("string").alias("text"),
-    ).mapInArrow(cut, "name string, words binary, size long")
-    # One block's rows at a time come to the driver, in the order of the rows.
-    block: list[tuple[str, list[bytes]]] = []
-    size = 0
-    for row in parts.toLocalIterator():
-        words = bytes(row["words"]).split()
-        if block and size + len(words) > block_words:
-            yield Automaton(block, window)
-            block, size = [], 0
-        block.append((row["name"], words))
-        size += len(words)
-    if block:
-        yield Automaton(block, window)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _open(folder)
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            numbers, files = np.unique(blocks).tolist(), []
+            for number in numbers:
+                # A task that runs again writes files of other names.
+                files.append(f"{uuid.uuid4().hex}.arrow")
+                rows = batch.filter(pa.array(blocks == number))
+                with system.open_output_stream(f"{root}/{files[-1]}", compression=None) as out:
+                    with pa.ipc.new_stream(out, rows.schema) as stream:
+                        stream.write_batch(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbers, pa.int64()), pa.array(files, pa.string())], ["block", "file"]
+            )
+
+    parts = stored(
+        with_small_batches(items)
+        .select(
+            F.spark_partition_id().alias("part"),
+            F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("name"),
+            F.col(text_column).cast("string").alias("text"),
+        )
+        .mapInArrow(cut, "part int, name string, words binary, start long, size long")
+    )
+    # One row a partition.
+    totals = parts.groupBy("part").agg(F.sum("size").alias("n"))
+    ahead = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
+    block = F.floor((F.col("ahead") + F.col("start")) / F.lit(stretch)).cast("long")
+    numbered = parts.join(F.broadcast(ahead), "part").select(block.alias("block"), "name", "words")
+    files: dict[int, list[str]] = {}
+    for row in numbered.mapInArrow(write, "block long, file string").collect():
+        files.setdefault(row["block"], []).append(row["file"])
+    for number in sorted(files):
+        yield Automaton(Block(folder, files[number]), window)
 
 
 def hits(
@@ -352,7 +399,7 @@ def without_spans(text: str, automaton: Automaton) -> str:
 
 
 def _find(docs: DataFrame, automaton: Automaton):
-    shared = shipped(docs.sparkSession, automaton)  # of BLOCK_WORDS at most
+    shared = shipped(docs.sparkSession, automaton)  # names of files
 
     @F.pandas_udf("n_words long, spans array<int>, items array<string>")
     def find(texts: pd.Series) -> pd.DataFrame:

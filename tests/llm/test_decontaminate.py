@@ -1,3 +1,4 @@
+import pickle
 import random
 import re
 from collections import Counter
@@ -75,6 +76,23 @@ def test_hits(spark, docs, block):
     assert got == want
 
 
+def test_the_driver_holds_names_of_files_only(spark, docs):
+    rows = [(n, " ".join(f"w{n}x{k}" for k in range(200 + 700 * (n % 3)))) for n in range(60)]
+    table = spark.createDataFrame(rows, "item_id long, text string").repartition(4)
+    blocks = list(dec.automata(table, block_words=5000))
+    n_words = sum(len(text.split()) for _, text in rows)
+    assert n_words / 5000 <= len(blocks) < 2 * n_words / 5000
+    assert sum(len(pickle.dumps((a.source.folder, a.source.files))) for a in blocks) < n_words / 5
+    for a in blocks:
+        assert 0 < sum(len(words) for _, words in a.source) <= 5000 + dec.WINDOW
+    windows = {(name, tuple(words[i : i + 10])) for a in blocks for name, words in a.source for i in range(len(words) - 9)}
+    want = {(str(n), tuple(w.encode() for w in text.split()[i : i + 10])) for n, text in rows for i in range(len(text.split()) - 9)}
+    assert windows == want
+    # Tasks read the files.
+    found = dec.hits(docs(*rows[:3]), blocks).select("row.doc_id", "n_words", dec.n_hit(F.col("spans")).alias("n"), "items")
+    assert {(r["doc_id"], r["n"], *r["items"]) for r in found.collect()} == {(n, len(t.split()), str(n)) for n, t in rows[:3]}
+
+
 def test_items_longer_than_a_block_are_cut_with_overlap(spark):
     item = " ".join(f"w{n}" for n in range(100))
     blocks = list(dec.automata(spark.createDataFrame([(1, item)], "item_id long, text string"), block_words=20))
