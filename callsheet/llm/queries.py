@@ -18,6 +18,7 @@ from callsheet.llm import (
     packing,
     secrets,
     simhash,
+    token_links,
     warc,
 )
 from callsheet.llm.common import new_folder
@@ -25,6 +26,7 @@ from callsheet.llm.common import new_folder
 
 #: Path on the executors; the file belongs to an installed package.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+OTHER_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,6 +158,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).withColumnRenamed("id", "doc_id")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = token_links.align(docs, TOKENIZER, OTHER_TOKENIZER)
+    size_b = token_links.n_pieces(OTHER_TOKENIZER)
+    return token_links.with_counts(aligned, size_b).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -167,4 +176,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op12_token_alignment": op12_token_alignment,
 }

@@ -10,7 +10,7 @@ from tests.conftest import SMALL
 
 
 def test_names():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert ORACLE.keys() <= QUERIES.keys()
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language ID", "line dedup", "SimHash near-dedup", "benchmark decontamination", "best-fit packing"]
