@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of texts in an Arrow batch.
 BATCH_ROWS = 512
+#: Bytes of an Arrow batch, but for a row that is larger.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,13 +51,15 @@ def stored(df: DataFrame) -> DataFrame:
 def with_small_batches(df: DataFrame) -> DataFrame:
     """The same rows, in a session that sends few of them to a Python worker at a time.
 
-    Spark's default of 10,000 rows a batch is meant for narrow rows. Texts have any
-    length, so the session's setting is lowered to BATCH_ROWS; one that has been set to
-    another number already stays.
+    Spark's defaults of 10,000 rows and 64 MB a batch are meant for narrow rows. Texts
+    have any length, so the session's settings are lowered to BATCH_ROWS and BATCH_BYTES;
+    one that has been set to another number already stays.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, str(BATCH_ROWS))
+    conf, names = df.sparkSession.conf, "spark.sql.execution.arrow."
+    if conf.get(names + "maxRecordsPerBatch") == "10000":
+        conf.set(names + "maxRecordsPerBatch", str(BATCH_ROWS))
+    if conf.get(names + "maxBytesPerBatch").lower() == "67108864b":
+        conf.set(names + "maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

@@ -168,3 +168,76 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+_TRIMMED = f"trim(text, {_BLANK})"
+
+ORACLE["op13_conversation_repair"] = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), faulty AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':'
+        || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 + 1 AS INTEGER)]))) % 20 AS fault
+  FROM conversations, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM faulty WHERE fault <> 0
+), coded AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS initial, {_TRIMMED} = '' AS blank,
+    row_number() OVER w AS place, row_number() OVER (PARTITION BY conv_id, role, text
+      ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+    right({_TRIMMED}, 1) NOT IN ('.', '!', '?') AS cut_off,
+    lag(left(role, 1)) OVER w AS before
+  FROM damaged
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy)
+), inserts(p, m, letters, extra, lines) AS (
+  VALUES (0, 0, '', 0, ''), (1, 1, '', 0, ''), (2, 2, '', 0, ''), (3, 3, '', 0, ''),
+    (0, 2, 'I', 2, 'user:' || chr(10)), (1, 2, 'I', 2, 'user:' || chr(10)), (3, 2, 'I', 2, 'user:' || chr(10)),
+    (2, 3, 'I', 2, 'assistant:' || chr(10)),
+    (0, 3, 'II', 4, 'user:' || chr(10) || 'assistant:' || chr(10)),
+    (1, 3, 'II', 4, 'user:' || chr(10) || 'assistant:' || chr(10)),
+    (3, 3, 'II', 4, 'user:' || chr(10) || 'assistant:' || chr(10)),
+    (2, 2, 'II', 4, 'assistant:' || chr(10) || 'user:' || chr(10))
+), edits(m, q, letter, initial, price) AS (
+  SELECT m, m, 'D', '', 3 FROM (VALUES (0), (1), (2), (3)) AS v(m)
+  UNION ALL VALUES (0, 1, 'K', 's', 0), (0, 2, 'K', 'u', 0), (1, 2, 'K', 'u', 0), (3, 2, 'K', 'u', 0),
+    (2, 3, 'K', 'a', 0), (0, 2, 'R', '', 2), (1, 2, 'R', '', 2), (3, 2, 'R', '', 2), (2, 3, 'R', '', 2)
+), path AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS place, 0 AS state,
+    {{'cost': 0, 'audit': '', 'lines': ''}} AS best FROM coded
+  UNION ALL
+  SELECT a.conv_id, r.place, e.q, min({{
+    'cost': a.best.cost + i.extra + e.price + CASE WHEN e.letter <> 'D' AND r.cut_off THEN 1 ELSE 0 END,
+    'audit': a.best.audit || i.letters || e.letter,
+    'lines': a.best.lines || i.lines || CASE e.letter WHEN 'D' THEN '' WHEN 'K' THEN r.role || ':' || r.text || chr(10)
+      ELSE CASE e.q WHEN 2 THEN 'user:' ELSE 'assistant:' END || r.text || chr(10) END}})
+  FROM path a JOIN coded r ON a.conv_id IS NOT DISTINCT FROM r.conv_id AND r.place = a.place + 1
+    JOIN inserts i ON i.p = a.state JOIN edits e ON e.m = i.m
+  WHERE e.letter = 'D' OR NOT (r.blank OR r.seen) AND (e.letter = 'R' OR e.initial = r.initial)
+  GROUP BY a.conv_id, r.place, e.q
+), figures AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND seen) AS duplicate,
+    count(*) FILTER (NOT blank AND NOT seen AND cut_off) AS truncated,
+    count(*) FILTER (place > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM coded GROUP BY conv_id
+), ended AS (
+  SELECT f.conv_id, min({{'cost': a.best.cost + i.extra, 'audit': a.best.audit || i.letters,
+    'lines': a.best.lines || i.lines}}) AS best
+  FROM figures f JOIN path a ON a.conv_id IS NOT DISTINCT FROM f.conv_id AND a.place = f.n
+    JOIN inserts i ON i.p = a.state AND (i.m = 3 OR i.m = 0)
+  GROUP BY f.conv_id
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(e.best.cost, 0) AS BIGINT) AS cost, coalesce(e.best.audit, '') AS audit,
+  sha256(coalesce(left(e.best.lines, -1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+  LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

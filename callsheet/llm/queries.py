@@ -19,6 +19,7 @@ from callsheet.llm import (
     secrets,
     simhash,
     token_links,
+    turn_repair,
     warc,
 )
 from callsheet.llm.common import new_folder
@@ -165,6 +166,41 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_links.with_counts(aligned, size_b).withColumnRenamed("id", "doc_id")
 
 
+def _damaged(turns: DataFrame) -> DataFrame:
+    """The conversations with the faults that the contract of op13 puts in; nulls are a space."""
+    as_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(as_text("conv_id"), F.lit(":"), as_text("turn"))) % 20
+    text = F.when(fault == 1, "").when(
+        fault == 2, F.regexp_replace(as_text("text"), "[.!?]", "")
+    ).otherwise(as_text("text"))
+    return turns.where(fault != 0).select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(as_text("role")).alias("role"),
+        text.alias("text"),
+        F.explode(F.when(fault == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    repair = turn_repair.Repair(_damaged(turns))
+    figures = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    found = repair.conversations.select(F.col("id").alias("c_id"), *figures, "audit")
+    digests = turn_repair.text_digests(repair.rows).select(F.col("id").alias("d_id"), "sha256")
+    ids = turns.select("conv_id").distinct()
+    return (
+        ids.join(found, F.col("conv_id").eqNullSafe(F.col("c_id")), "left")
+        .join(digests, F.col("conv_id").eqNullSafe(F.col("d_id")), "left")
+        .select(
+            "conv_id",
+            *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in figures],
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -177,4 +213,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op12_token_alignment": op12_token_alignment,
+    "op13_conversation_repair": op13_conversation_repair,
 }

@@ -1,0 +1,173 @@
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from functools import lru_cache
+
+import pytest
+
+from callsheet.llm import turn_repair
+from callsheet.llm.queries import op13_conversation_repair
+from callsheet.llm.turn_repair import Repair, repair_roles, text_digests
+from tests.conftest import SMALL
+
+SPACE = " \t\n\x0b\x0c\r"
+EMPTY = hashlib.sha256(b"").hexdigest()
+
+
+def plain(rows):
+    """Best edits of (initial, must be deleted, late) rows: cost and audit, by trying all of them."""
+
+    @lru_cache(None)
+    def best(k, sign, inserts):
+        # sign: the last role's initial, or "" at the start.
+        found = []
+        if k == len(rows) and sign in ("", "a"):
+            found.append((0, ""))
+        due = "a" if sign == "u" else "u"
+        if inserts < 4:
+            cost, audit = best(k, due, inserts + 1)
+            found.append((cost + 2, "I" + audit))
+        if k < len(rows):
+            initial, gone, late = rows[k]
+            cost, audit = best(k + 1, sign, 0)
+            found.append((cost + 3, "D" + audit))
+            if not gone:
+                cost, audit = best(k + 1, due, 0)
+                found.append((cost + 2 + late, "R" + audit))
+                if (sign, initial) in {("", "s"), ("", "u"), ("s", "u"), ("u", "a"), ("a", "u")}:
+                    cost, audit = best(k + 1, initial, 0)
+                    found.append((cost + late, "K" + audit))
+        return min(found, default=(10**9, ""))
+
+    for k in range(len(rows), 0, -50):  # keeps the recursion short
+        for sign in ("", "s", "u", "a"):
+            best(k, sign, 0)
+    return best(0, "", 0)
+
+
+def brute(rows):
+    """(id, turn, role, text) rows to the figures of each conversation."""
+    key = lambda r: (r[1] is not None, r[1] or 0, hashlib.md5(f"{len(r[2])}:{r[2]}{r[3]}".encode()).digest())
+    found = {}
+    for conv in {r[0] for r in rows}:
+        turns, seen, faults, coded = sorted((r for r in rows if r[0] == conv), key=key), set(), [], []
+        for _, _, role, text in turns:
+            bare = text.strip(SPACE)
+            fault = "b" if not bare else "d" if (role, text) in seen else "t" if bare[-1] not in ".!?" else ""
+            seen.add((role, text))
+            faults.append(fault)
+            coded.append((role[:1], fault in ("b", "d") and bool(fault), int(fault == "t")))
+        cost, audit = plain(tuple(coded))
+        lines, at, sign = [], 0, ""
+        for letter in audit:
+            due = "a" if sign == "u" else "u"
+            if letter == "I":
+                sign = due
+                lines.append({"u": "user:", "a": "assistant:"}[due])
+                continue
+            _, _, role, text = turns[at]
+            at += 1
+            if letter != "D":
+                sign = due if letter == "R" else role[:1]
+                lines.append(f"{role if letter == 'K' else {'u': 'user', 'a': 'assistant'}[due]}:{text}")
+        numbers = [t for _, t, _, _ in turns if t is not None]
+        pairs = zip(coded, coded[1:])
+        found[conv] = (
+            max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0,
+            *(faults.count(f) for f in "bdt"),
+            sum(a[0] + b[0] not in ("su", "ua", "au") for a, b in pairs), cost, audit,
+            hashlib.sha256("\n".join(lines).encode()).hexdigest(),
+        )
+    return found
+
+
+def found_by(spark, rows, parts=4, **options):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(parts)
+    repair = Repair(df, **options)
+    digests = {r["id"]: r["sha256"] for r in text_digests(repair.rows).collect()}
+    names = "gaps blank duplicate truncated illegal cost audit".split()
+    return {r["id"]: (*(r[n] for n in names), digests.get(r["id"], EMPTY)) for r in repair.conversations.collect()}
+
+
+def test_divide_and_conquer_equals_trying_all():
+    codes = [k | f for k in range(4) for f in (0, 4, 16)]
+    as_row = lambda c: ("suat"[c & 3], bool(c & 12), int(bool(c & 16)))
+    for n in range(5):
+        for row in itertools.product(codes, repeat=n):
+            cost, edits = repair_roles(bytes(row))
+            assert (cost, "".join(edits)) == plain(tuple(map(as_row, row))), row
+    rng = random.Random(2)
+    for _ in range(500):
+        row = rng.choices(codes, k=rng.randrange(5, 70))
+        cost, edits = repair_roles(bytes(row))
+        assert (cost, "".join(edits)) == plain(tuple(map(as_row, row))), row
+
+
+TEXTS = ["Well.", "Well", "", " \n", "What?", "No!\t", "é. ", "and so", "."]
+
+
+def conversations(n, seed=1, longest=14):
+    rng, rows = random.Random(seed), []
+    for conv in range(n):
+        for k in range(rng.randrange(1, longest)):
+            role = rng.choice(["user", "assistant", "user", "assistant", "system", "tool", "", " "])
+            rows.append((conv, rng.choice([k, k, k, k + 1, None]), role, rng.choice(TEXTS) + rng.choice(["", f" {k}."])))
+    return rows + rows[::9]
+
+
+@pytest.mark.parametrize("segment_rows", [3, turn_repair.SEGMENT_ROWS])
+def test_equals_brute_force(spark, segment_rows):
+    rows = conversations(80)
+    assert found_by(spark, rows, segment_rows=segment_rows) == brute(rows)
+
+
+def test_a_hot_conversation_is_cut_into_segments(spark):
+    rng = random.Random(4)
+    rows = [(1, n, rng.choice(["user", "assistant"]), rng.choice(["Hm.", f"No {n}.", f"yes {n}"])) for n in range(900)]
+    rows += [(n, 0, "user", "Hello.") for n in range(2, 60)]
+    got = found_by(spark, rows, segment_rows=50)
+    assert got == brute(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert Repair(df, segment_rows=50).segments.where("id = 1").count() >= 18
+
+
+def test_null_ids_turns_roles_and_texts(spark):
+    rows = [(None, None, None, None), (None, 1, "user", "A."), (5, None, None, "A."), (5, None, "user", None), (6, 3, "user", "A.")]
+    filled = [(c, t, r or "", x or "") for c, t, r, x in rows]
+    assert found_by(spark, rows) == brute(filled)
+
+
+def test_many_equal_rows(spark):
+    rows = [(1, 4, "user", "Same.")] * 100_000 + [(1, 5, "assistant", "Yes.")]
+    got = found_by(spark, rows)[1]
+    assert got[:6] == (0, 0, 99_999, 0, 99_999, 3 * 99_999) and got[6] == "K" + "D" * 99_999 + "K"
+
+
+def test_empty_table_long_text_and_clashing_names(spark):
+    schema = "conv_id long, turn long, role string, text string, id int, digest int, code int, place int"
+    assert Repair(spark.createDataFrame([], schema)).conversations.collect() == []
+    df = spark.createDataFrame([(1, 0, "user", "x" * 3_000_000 + ".", 1, 2, 3, 4)], schema)
+    repair = Repair(df)
+    assert [(r["role"], len(r["text"])) for r in repair.rows.orderBy("place").collect()] == [
+        ("user", 3_000_001), ("assistant", 0)]
+    assert repair.conversations.first()["audit"] == "KI"
+
+
+def damaged(rows):
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        fault = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if fault == 0:
+            continue
+        text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+        yield from [(conv, turn, "user" if fault == 4 else role, text)] * (2 if fault == 3 else 1)
+
+
+def test_query_over_the_whole_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    want = {r[0]: (0, 0, 0, 0, 0, 0, "", EMPTY) for r in rows} | brute(list(damaged(rows)))
+    got = {r[0]: tuple(r)[1:] for r in op13_conversation_repair(spark, SMALL).collect()}
+    assert got == want
+    assert {len(w[6]) > 0 for w in want.values()} and any(w[1] for w in want.values())
