@@ -241,3 +241,30 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c
   LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
   LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
 """
+
+_WORD_LIST = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+ORACLE["op11_substring_dedup"] = f"""
+WITH doc AS (
+  SELECT doc_id, {_WORD_LIST} AS words FROM documents
+), windows AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS start FROM doc
+), hashed AS (
+  SELECT doc_id, start, sha256(array_to_string(list_slice(words, start, start + 49), ' ')) AS h FROM windows
+), hits AS (
+  SELECT doc_id, start FROM (SELECT doc_id, start, min(doc_id) OVER (PARTITION BY h) AS first FROM hashed)
+  WHERE first < doc_id
+), covered AS (
+  SELECT doc_id, list(DISTINCT place) AS places
+  FROM (SELECT doc_id, unnest(range(start, start + 50)) AS place FROM hits) GROUP BY doc_id
+), kept AS (
+  SELECT d.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+    CASE WHEN places IS NULL THEN words
+    ELSE list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(places, i)), lambda i: words[i])
+    END AS words
+  FROM doc d LEFT JOIN covered c ON d.doc_id = c.doc_id
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+  sha256(array_to_string(words, ' ')) AS kept_sha256
+FROM kept
+"""
