@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callsheet.sinks.chunks import chunked
+from callsheet.sinks.files import SharedFiles
 from callsheet.sinks.names import export_name
 
 BOM = "\ufeff"
 SEPARATOR = ";"
-#: A file is closed once its lines have so many characters.
-FILE_CHARS = 64 << 20
+#: Rows of a file, if the caller does not say.
+FILE_ROWS = 1_000_000
 
 
 def _text(field: T.StructField) -> Column:
@@ -60,39 +61,33 @@ def _header(df: DataFrame, by: Sequence[str]) -> str:
     return BOM + SEPARATOR.join(quoted)
 
 
-def _write(df: DataFrame, path: str, by: list[str], rows_per_file: int | None) -> None:
-    """Write one row per file: a header and lines, all bytes of values as they are.
+def _write(
+    df: DataFrame, path: str, by: list[str], rows_per_file: int | None, files: int | None = None
+) -> None:
+    """Write the lists of the ``by`` columns, a header before the first line of each file.
 
-    Spark's CSV writer would change line breaks inside values. The text of a file is
-    put together in the task that writes it and is at most FILE_CHARS long, or one line.
+    The lines are put down beside ``path`` first, which numbers them. A file's rows come
+    to one task in the order of their numbers, and the task's writer starts a new file
+    after each full one. Spark's text writer takes the lines as they are; its CSV
+    writer would change line breaks inside values.
     """
     header = _header(df, by)
-    lines = to_lines(df, by)
-
-    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, size, schema = None, [], 0, None
-
-        def full() -> pa.RecordBatch:
-            text = "\r\n".join([header, *held])
-            columns = [pa.array([k], f.type) for k, f in zip((*key, text), schema)]
-            return pa.RecordBatch.from_arrays(columns, schema.names)
-
-        for batch in batches:
-            schema = batch.schema
-            for *here, line in zip(*[c.to_pylist() for c in batch.columns]):
-                if held and (here != key or len(held) == rows_per_file or size > FILE_CHARS):
-                    yield full()
-                    held, size = [], 0
-                key = here
-                held.append(line)
-                size += len(line)
-        if held:
-            yield full()
-
-    ready = lines.sortWithinPartitions(*by) if by else lines
-    writer = ready.mapInArrow(files, lines.schema).write.option("lineSep", "\r\n")
-    writer = writer.option("maxRecordsPerFile", 1)
-    (writer.partitionBy(*by) if by else writer).text(path)
+    store = SharedFiles(df.sparkSession)
+    with store.beside(path) as staging:
+        lines = chunked(to_lines(df, by), by, f"{staging}/lines", rows_per_file or FILE_ROWS, files)
+        first = F.col("row_no") == F.col("first_row")
+        texts = F.explode(F.when(first, F.array(F.lit(header), "line")).otherwise(F.array("line")))
+        ready = (
+            lines.repartition(*by, "chunk_no")
+            .sortWithinPartitions(*by, "row_no")
+            .select(*by, texts.alias("line"))
+        )
+        most = rows_per_file or FILE_ROWS
+        if files:
+            most = lines.agg(F.max("rows")).first()[0] or 1
+        # All files of a list but its last one are full.
+        writer = ready.write.option("lineSep", "\r\n").option("maxRecordsPerFile", most + 1)
+        (writer.partitionBy(*by) if by else writer).text(path)
 
 
 def write_csv(
@@ -100,23 +95,20 @@ def write_csv(
 ) -> None:
     """Write one list: ';', CRLF, quotes where needed, UTF-8 with BOM and header in each file.
 
-    By default every task writes its own file, each complete in itself. ``files``
-    gathers the rows in that many tasks after the work is done; use 1 only for a
-    list that a single dialler upload can take. ``rows_per_file`` caps a file's rows
-    by starting further files. A list without rows has no file.
+    A file has ``rows_per_file`` rows, FILE_ROWS by default, and the last one what is
+    left. ``files`` asks for that many files instead, or fewer for a list of fewer rows;
+    use 1 only for a list that a single dialler upload can take. A list without rows has
+    no file.
     """
-    if files:
-        df = df.repartition(files)
-    _write(df, path, [], rows_per_file)
+    _write(df, path, [], rows_per_file, files)
 
 
 def write_lists(df: DataFrame, path: str, by: list[str], rows_per_file: int | None = None) -> None:
     """Write many lists in one job, one folder per value of the ``by`` columns.
 
-    Rows are gathered by list first, in partitions of the size adaptive execution
-    aims at: a small list becomes one file, a big one is split over many tasks.
+    A small list becomes one file, a big one is split over many tasks.
     """
-    _write(df.hint("rebalance", *by), path, by, rows_per_file)
+    _write(df, path, by, rows_per_file)
 
 
 def export_lists(
@@ -125,10 +117,19 @@ def export_lists(
     at: dt.datetime,
     labels: Sequence[str] = (),
     rows_per_file: int | None = None,
-) -> None:
-    """Write the rows of a weekly run, each list in a folder under its export name."""
+) -> list[str]:
+    """Write the rows of a weekly run, each list in a file of its export name.
+
+    The files are written aside and moved to ``path`` once all of them are whole, so a
+    failed run leaves no file there. A list of more rows than a file takes has several,
+    ``name.1.csv`` and so on, which ``name.manifest`` lists. Names that exist already
+    are an error. Returns the names of the lists.
+    """
     chosen = F.array(*[F.lit(label) for label in labels]).cast("array<string>")
     stamp = F.lit(f"{at:%Y-%m-%d %H:%M:%S}").cast("timestamp_ntz")
     name = export_name(F.col("cod_cli"), F.col("campaign"), chosen, stamp)
     named = lists.withColumn("file_name", name).drop("campaign", "cod_cli")
-    write_lists(named, path, ["file_name"], rows_per_file)
+    store = SharedFiles(lists.sparkSession)
+    with store.beside(path) as aside:
+        write_lists(named, f"{aside}/lists", ["file_name"], rows_per_file)
+        return store.publish(f"{aside}/lists", "file_name", path, ".csv")

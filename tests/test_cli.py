@@ -29,8 +29,8 @@ def source(spark, tmp_path_factory):
 def lists(out):
     """Rows per list, read back from the files."""
     found = {}
-    for file in out.rglob("part-*"):
-        name = re.fullmatch(r"file_name=(.*)_\d{8}_\d{6}", file.parent.name)[1]
+    for file in out.glob("*.csv"):
+        name = re.fullmatch(r"(.*)_\d{8}_\d{6}\.csv", file.name)[1]
         with open(file, encoding="utf-8-sig", newline="") as f:
             header, *rows = csv.reader(f, delimiter=";")
         found[name] = (header, found.get(name, (header, 0))[1] + len(rows))
