@@ -56,18 +56,39 @@ JDBC_TEXT_RANGES = {"rec_comp_tb": "nmcont", "receber_tb": "nmcont", "bens_tb":
 
 
 def text_bounds(table: str, column: str, parts: int) -> str:
-    """Query for the first value of each of ``parts`` equal shares; an index serves it."""
+    """Query for the first value of each of ``parts`` equal shares; an index serves it.
+
+    ``share`` rises with the values as the database orders them, whatever its collation;
+    values that it takes for equal give one row.
+    """
     shares = f"SELECT {column} AS low, NTILE({parts}) OVER (ORDER BY {column}) AS share FROM {table}"
-    return f"(SELECT MIN(low) AS low FROM ({shares} WHERE {column} IS NOT NULL) s GROUP BY share) b"
+    firsts = f"SELECT share, MIN(low) AS low FROM ({shares} WHERE {column} IS NOT NULL) s GROUP BY share"
+    return f"(SELECT MIN(share) AS share, low FROM ({firsts}) f GROUP BY low) b"
+
+
+def text_literal(value: str, backslash_escapes: bool) -> str:
+    """The value as SQL text; some databases take a backslash in it for an escape."""
+    value = value.replace("'", "''")
+    return "'" + (value.replace("\\", "\\\\") if backslash_escapes else value) + "'"
 
 
-def text_predicates(column: str, bounds: list[str]) -> list[str]:
-    """WHERE clauses that cover a table in disjoint ranges between ``bounds``, NULL included."""
-    lows = [b.replace("\\", "\\\\").replace("'", "''") for b in sorted(set(bounds))]
-    if len(lows) < 2:
+def text_predicates(column: str, bounds: list[str], backslash_escapes: bool = False) -> list[str]:
+    """WHERE clauses that cover a table in disjoint ranges between ``bounds``, NULL included.
+
+    ``bounds`` come in the order of the database, which also judges the clauses. Each
+    value is then below the first bound, or at or above a last one and below the next;
+    between bounds that the database takes for equal there is nothing. So every row is
+    read once under any collation.
+    """
+    lows = [text_literal(b, backslash_escapes) for b in bounds[1:]]
+    if not lows:
         return ["1 = 1"]
-    inner = [f"{column} >= '{a}' AND {column} < '{b}'" for a, b in zip(lows[1:], lows[2:])]
-    return [f"{column} < '{lows[1]}' OR {column} IS NULL", *inner, f"{column} >= '{lows[-1]}'"]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(lows, lows[1:])]
+    return [f"{column} < {lows[0]} OR {column} IS NULL", *inner, f"{column} >= {lows[-1]}"]
+
+
+#: Databases whose text literals take a backslash for an escape.
+BACKSLASH_ESCAPES = ("jdbc:mysql:", "jdbc:mariadb:")
 
 
 def range_options(column: str, low: object, high: object, parts: int) -> dict[str, str]:
@@ -121,8 +142,10 @@ def load_jdbc(
             df = spark.read.format("jdbc").options(url=url, dbtable=name, **reading, **ranges).load()
         elif name in JDBC_TEXT_RANGES:
             column = JDBC_TEXT_RANGES[name]
-            bounds = [row["low"] for row in ask(text_bounds(name, column, parts))]  # one per share
-            df = spark.read.jdbc(url, name, predicates=text_predicates(column, bounds), properties=reading)
+            shares = ask(text_bounds(name, column, parts))  # a row per share at most
+            bounds = [row["low"] for row in sorted(shares, key=lambda row: row["share"])]
+            clauses = text_predicates(column, bounds, url.startswith(BACKSLASH_ESCAPES))
+            df = spark.read.jdbc(url, name, predicates=clauses, properties=reading)
         else:
             df = spark.read.format("jdbc").options(url=url, dbtable=name, **reading).load()
         tables[name] = conform(df, name)

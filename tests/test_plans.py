@@ -8,11 +8,13 @@ import pytest
 from callsheet.plans import catalogue as cat
 from callsheet.plans.campaigns import campaign_list, weekly_lists
 from callsheet.schemas import SCHEMAS
+from callsheet.sources import tables as source_tables
 from callsheet.sources.tables import (
     JDBC_RANGES,
     JDBC_TEXT_RANGES,
     jdbc_options,
     load,
+    load_jdbc,
     range_options,
     save,
     text_bounds,
@@ -109,22 +111,85 @@ def test_jdbc_splits_cover_the_tables():
         "partitionColumn": "cod_cad", "lowerBound": "1", "upperBound": "9", "numPartitions": "4"}
 
 
-def test_text_ranges_cover_every_value_once():
-    bounds = ["B", "K'1", "T"]
-    clauses = text_predicates("x", bounds)
-    assert clauses == ["x < 'K''1' OR x IS NULL", "x >= 'K''1' AND x < 'T'", "x >= 'T'"]
+def read_once(connection, bounds, values, escapes=False):
+    """Every value is in exactly one of the clauses, as the database judges them."""
+    clauses = text_predicates("k", bounds, escapes)
+    for value in values:
+        hits = [connection.execute(f"SELECT count(*) FROM t WHERE ({c}) AND k IS NOT DISTINCT FROM ?", [value]).fetchall()[0][0]
+                for c in clauses]
+        assert sorted(hits)[:-1] == [0] * (len(clauses) - 1) and max(hits) > 0, (value, clauses)
+    counts = [connection.execute(f"SELECT count(*) FROM t WHERE {c}").fetchall()[0][0] for c in clauses]
+    assert sum(counts) == connection.execute("SELECT count(*) FROM t").fetchall()[0][0]
+    return counts
+
+
+@pytest.mark.parametrize("kind", ["VARCHAR", "VARCHAR COLLATE NOCASE", "VARCHAR COLLATE NOCASE.NOACCENT"])
+def test_text_ranges_read_every_row_once_under_any_collation(kind):
+    values = [None, "", "a", "A", "b", "B", "K'1", "k'1", "É", "e", "E", "z", "Z", "ß", "a\\b", *(f"c{n}" for n in range(40)),
+              *(f"C{n}" for n in range(40)), *["hot", "HOT", "Hot"] * 30]
+    connection = duckdb.connect()
+    connection.execute(f"CREATE TABLE t (k {kind})")
+    connection.executemany("INSERT INTO t VALUES (?)", [(v,) for v in values])
+    rows = connection.execute(f"SELECT * FROM {text_bounds('t', 'k', 8)}").fetchall()
+    bounds = [low for _, low in sorted(rows, key=lambda r: r[0])]
+    assert connection.execute(f"SELECT count(DISTINCT k) FROM t WHERE k IN (SELECT unnest(?))", [bounds]).fetchall()[0][0] == len(bounds)
+    counts = read_once(connection, bounds, values)
+    assert max(counts) <= 100 + len(values) // 8
+
+
+def test_text_ranges_of_bounds_that_the_database_takes_for_equal():
     connection = duckdb.connect()
-    for value in ("NULL", "'A'", "'B'", "'K''1'", "'L'", "'T'", "'Z'"):
-        hits = [connection.execute(f"SELECT count(*) FROM (SELECT {value} AS x) WHERE {c}").fetchall()[0][0] for c in clauses]
-        assert sum(hits) == 1, value
+    connection.execute("CREATE TABLE t (k VARCHAR COLLATE NOCASE)")
+    values = ["a", "A", "b", "B", "c", None]
+    connection.executemany("INSERT INTO t VALUES (?)", [(v,) for v in values])
+    assert read_once(connection, ["a", "B", "b", "C"], values) == [3, 0, 2, 1]
+
+
+def test_text_literals():
+    assert text_predicates("x", ["B", "K'1", "T"]) == ["x < 'K''1' OR x IS NULL", "x >= 'K''1' AND x < 'T'", "x >= 'T'"]
     assert text_predicates("x", []) == text_predicates("x", ["A"]) == ["1 = 1"]
+    assert text_predicates("x", ["", "a\\"], True)[1] == "x >= 'a\\\\'"
+    assert text_predicates("x", ["", "a\\"])[1] == "x >= 'a\\'"
 
 
 def test_text_bounds_are_the_first_values_of_equal_shares():
     connection = duckdb.connect()
     connection.execute("CREATE TABLE t AS SELECT 'C' || (1000 + range) AS k FROM range(100)")
     rows = connection.execute(f"SELECT * FROM {text_bounds('t', 'k', 4)} ORDER BY 1").fetchall()
-    assert [r[0] for r in rows] == ["C1000", "C1025", "C1050", "C1075"]
+    assert rows == [(1, "C1000"), (2, "C1025"), (3, "C1050"), (4, "C1075")]
+
+
+def test_bounds_of_a_read_keep_the_order_of_the_database(monkeypatch):
+    class Reader:
+        asked = []
+
+        def __init__(self):
+            self.given = {}
+
+        format = lambda self, _: self
+
+        def options(self, **given):
+            self.given = given
+            return self
+
+        def load(self):
+            return self
+
+        def collect(self):
+            if "NTILE" in self.given["dbtable"]:
+                return [{"share": 3, "low": "B"}, {"share": 1, "low": "a"}, {"share": 2, "low": "Ab'"}]
+            return [{"low": None}]
+
+        def jdbc(self, url, name, predicates, properties):
+            self.asked.append(predicates)
+
+    class Session:
+        read = property(lambda self: Reader())
+
+    monkeypatch.setattr(source_tables, "conform", lambda df, name: df)
+    load_jdbc(Session(), "jdbc:mysql://host/db", {})
+    want = ["nmcont < 'Ab''' OR nmcont IS NULL", "nmcont >= 'Ab''' AND nmcont < 'B'", "nmcont >= 'B'"]
+    assert Reader.asked == [want] * 3
 
 
 def test_jdbc_options():
