@@ -23,8 +23,11 @@ from callsheet.params import REPEATED_DIGIT, REPEATED_DIGIT_LITERAL
 from callsheet.plans import catalogue as cat
 from callsheet.plans.campaigns import campaign_list, weekly_lists
 from callsheet.schemas import SCHEMAS
+from callsheet.sinks.chunks import chunked
 from callsheet.sinks.csv import to_text
+from callsheet.sinks.files import work_folder
 from callsheet.sinks.names import export_name
+from callsheet.sources.bound import accounts_from_sql
 from testbed.domain import DomainTables
 from testbed.settings import FILTERED, LABELS, LITERAL, MIN_SUM, PARAMS, SCANS
 
@@ -137,6 +140,27 @@ def _amount_texts(orders: DataFrame) -> DataFrame:
     )
 
 
+def _chunks(t: Tables) -> DataFrame:
+    """All receivables in chunks of 5000 for each portfolio."""
+    rows = t["receber_tb"].select("cod_cli", "nmcont", "fat_parc", "vlrparc")
+    order = ["nmcont", "fat_parc", "vlrparc"]
+    return chunked(rows, ["cod_cli"], work_folder(rows.sparkSession, "chunks"), order=order).drop("first_row", "rows")
+
+
+#: Accounts of a list as SQL text; the labels of the test data hold quotes.
+ACCOUNTS_SQL = """
+SELECT cod_cad FROM {cadastros_tb}
+WHERE array_contains(:portfolios, cod_cli) AND stcli <> 'INA' AND array_contains(:labels, infoad)
+"""
+
+
+def _from_sql(t: Tables) -> DataFrame:
+    spark = t["cadastros_tb"].sparkSession
+    values = {"portfolios": FILTERED.portfolios, "labels": FILTERED.labels}
+    chosen = accounts_from_sql(spark, ACCOUNTS_SQL, {name: t[name] for name in SCHEMAS}, values)
+    return campaign_list(chosen, cat.WHOLE_BASE, replace(FILTERED, labels=()))
+
+
 def _scan(table: str):
     return lambda t: t[table]
 
@@ -217,7 +241,12 @@ DOMAIN_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "portfolio_labels": lambda t: por.portfolio_labels(
         acc.in_portfolio(t["cadastros_tb"], PARAMS.portfolios)
     ),
+    "portfolio_summary": lambda t: por.portfolio_summary(
+        t["cadastros_tb"], (*PARAMS.portfolios, 520)
+    ),
+    "campaign_geral_sql": _from_sql,
     "export_names": _export_names,
+    "export_chunks": _chunks,
     "export_csv_rows": lambda t: to_text(campaign_list(t, cat.WHOLE_BASE, PARAMS)),
 }
 
