@@ -31,6 +31,12 @@ def session_builder(name: str = "callsheet") -> SparkSession.Builder:
         # Every scan names its portfolios already. Measured: pruning them again at run time
         # puts 15 more scans of the receivables into the plan of the weekly lists.
         .config("spark.sql.optimizer.dynamicPartitionPruning.enabled", "false")
+        # A run for some portfolios or labels drops events and phones of other accounts by a
+        # Bloom filter of its accounts, of 8 MB at most, before it shuffles them. Spark's own
+        # limits ask for less than 10 MB of accounts and more than 10 GB of events.
+        .config("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+        .config("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "2GB")
+        .config("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1GB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         # Recording the Python call site of every column takes longer than making it.

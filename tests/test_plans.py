@@ -1,6 +1,7 @@
 """What the plans must and must not contain, over Parquet tables too big to broadcast."""
 
 import re
+from dataclasses import replace
 
 import duckdb
 import pytest
@@ -97,6 +98,28 @@ def test_selective_runs_cut_the_tables_first(tables):
     assert "LeftSemi" not in plan(campaign_list(tables, cat.WHOLE_BASE, PARAMS))
 
 
+def test_events_of_other_accounts_fall_before_the_shuffle(spark, tables):
+    one = replace(PARAMS, portfolios=(518,))
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before, seen = spark.conf.get(name), []
+    for threshold in (before, "0"):
+        spark.conf.set(name, threshold)
+        try:
+            made = campaign_list(tables, cat.WHOLE_BASE, one, with_last_contact=True)
+            optimized = made._jdf.queryExecution().optimizedPlan().toString()
+            seen.append((sorted(map(str, made.collect())), re.findall(r"might_contain\(.*?xxhash64\((\w+)#", optimized)))
+        finally:
+            spark.conf.set(name, before)
+    (plain, none), (filtered, columns) = seen
+    # The tables of this test are far below the limit.
+    assert none == [] and {"cod_cli", "cod_cad"} <= set(columns)
+    assert filtered == plain and plain
+    # Accounts of more than Spark's 10 MB may make the filter, and it stays small.
+    limit = spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold").lower()
+    assert limit in ("2gb", "2147483648b")
+    assert int(spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.maxNumBits")) <= 8 * (8 << 20)
+
+
 def test_no_query_runs_python_or_cross_joins(spark):
     for name, run in queries().items():
         text = plan(run(spark, SMALL))
