@@ -35,8 +35,10 @@ EPOCHS = 10
 HIDDEN = 24
 PATH_SIZE, WORD_SIZE, NUMBERS = 96, 32, 8
 FEATURES = PATH_SIZE + WORD_SIZE + NUMBERS
-#: Block vectors that are in memory at a time, but for those of a single longer page.
+#: Block vectors that are in memory at a time.
 CELLS = 40_000
+#: Distance of an element that is not around a block.
+_FAR = 1 << 30
 
 # HTML elements by their role in a page.
 INLINE = frozenset(
@@ -74,13 +76,84 @@ _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _NAME_WORD = re.compile(r"[a-z]+")
 
 
+class Element:
+    """An open block-level element: name, words of class, id and role, and what stands around it.
+
+    `nearest` has for each hashed word the number of elements from here out to the
+    closest one with that word, so that a block knows its whole path at the cost of one
+    element, however deep it stands.
+    """
+
+    __slots__ = ("parent", "words", "depth", "nearest")
+
+    def __init__(self, parent: Element | None, words: tuple[str, ...]):
+        self.parent, self.words = parent, words
+        self.depth = parent.depth + 1 if parent else 1
+        self.nearest = parent.nearest + 1 if parent else np.full(PATH_SIZE, _FAR, np.int32)
+        self.nearest[[crc32(word.encode()) % PATH_SIZE for word in words]] = 0
+
+
 class Block:
-    """Text between block-level tags, with the elements around it."""
+    """Text between block-level tags, with the innermost element around it."""
+
+    __slots__ = ("inside", "text", "linked")
+
+    def __init__(self, inside: Element | None, text: str, linked: int):
+        self.inside, self.text, self.linked = inside, text, linked
+
+    @property
+    def path(self) -> tuple[tuple[str, ...], ...]:
+        """The elements around it, the outermost first."""
+        found, element = [], self.inside
+        while element:
+            found.append(element.words)
+            element = element.parent
+        return tuple(reversed(found))
+
+
+class _Open:
+    """The open elements, the innermost of each name and the innermost block found at once."""
 
-    __slots__ = ("path", "text", "linked")
+    def __init__(self):
+        self.names: list[str] = []
+        self.elements: list[Element | None] = []  # the innermost block, at each place
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.links = 0
 
-    def __init__(self, path: tuple[tuple[str, ...], ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    @property
+    def inside(self) -> Element | None:
+        return self.elements[-1] if self.elements else None
+
+    def add(self, name: str, words: list[str]) -> None:
+        place, inside = len(self.names), self.inside
+        if name not in INLINE:
+            self.blocks.append(place)
+            inside = Element(inside, (name, *words))
+        self.names.append(name)
+        self.elements.append(inside)
+        self.places.setdefault(name, []).append(place)
+        self.links += name == "a"
+
+    def close(self, place: int) -> None:
+        while len(self.names) > place:
+            name = self.names.pop()
+            self.elements.pop()
+            self.places[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+            self.links -= name == "a"
+
+    def end(self, name: str) -> None:
+        """An end tag; an inline one does not close the blocks that stand open in it."""
+        places = self.places.get(name)
+        if places and (name not in INLINE or not self.blocks or self.blocks[-1] < places[-1]):
+            self.close(places[-1])
+
+    def end_sibling(self, name: str) -> None:
+        """Closes the block that the start of a block of this name ends, if it is the innermost."""
+        if self.blocks and self.names[self.blocks[-1]] in SIBLINGS.get(name, "p").split():
+            self.close(self.blocks[-1])
 
 
 def blocks_of(html: str | None) -> list[Block]:
@@ -90,29 +163,24 @@ def blocks_of(html: str | None) -> list[Block]:
     tags tell; a page may end anywhere.
     """
     found: list[Block] = []
-    stack: list[tuple[str, ...]] = []  # name, then words of class, id and role
+    stack = _Open()
     parts: list[str] = []
-    linked = at = links = 0
+    linked = at = 0
     html = html or ""
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            found.append(Block(tuple(e for e in stack if e[0] not in INLINE), text, linked))
+            found.append(Block(stack.inside, text, linked))
         parts.clear()
         linked = 0
 
-    def close(place: int) -> None:
-        nonlocal links
-        links -= sum(e[0] == "a" for e in stack[place:])
-        del stack[place:]
-
     for token in _TOKEN.finditer(html):
         if token.start() > at:
             text = unescape(html[at : token.start()])
             parts.append(text)
-            if links:
+            if stack.links:
                 linked += len(text)
         at = token.end()
         name = (token["name"] or token["name2"] or "").lower()
@@ -124,32 +192,19 @@ def blocks_of(html: str | None) -> list[Block]:
         if name not in INLINE:
             flush()
         if token["end"] or token["end2"]:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            # An inline end tag does not close the blocks that stand open in it.
-            if place is not None and (
-                name not in INLINE or all(e[0] in INLINE for e in stack[place:])
-            ):
-                close(place)
+            stack.end(name)
             continue
         if name not in INLINE:
-            group = SIBLINGS.get(name, "p").split()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in group:
-                    close(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+            stack.end_sibling(name)
         if name not in EMPTY:
-            words = [
+            stack.add(name, [
                 w
                 for values in _ATTRIBUTE.findall(token["more"] or "")
                 for w in _NAME_WORD.findall("".join(values).lower())
-            ]
-            stack.append((name, *words))
-            links += name == "a"
+            ])
     if at < len(html):
         parts.append(unescape(html[at:]))
-        if links:
+        if stack.links:
             linked += len(parts[-1])
     flush()
     return found
@@ -157,9 +212,10 @@ def blocks_of(html: str | None) -> list[Block]:
 
 def own_label(block: Block) -> int | None:
     """1 main text, 0 the rest, as the innermost telling element says; None if none does."""
-    names = [e[0] for e in block.path]
+    path = block.path
+    names = [e[0] for e in path]
     for i in range(len(names) - 1, -1, -1):
-        words = set(block.path[i])
+        words = set(path[i])
         if names[i] == "header":
             if "article" in names[:i] or "main" in names[:i]:
                 continue  # a heading of the article
@@ -171,20 +227,21 @@ def own_label(block: Block) -> int | None:
     return None
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    """A row per block: hashed tag path, hashed words, numbers."""
+def features(blocks: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+    """A row per block: hashed tag path, hashed words, numbers.
+
+    The blocks stand from place `first` on among the `total` blocks of their page.
+    """
+    total = total or len(blocks)
     rows = np.zeros((len(blocks), FEATURES), np.float32)
-    known: dict[tuple, np.ndarray] = {}
+    inside, paths = None, None
     for i, block in enumerate(blocks):
-        if block.path not in known:
-            path = np.zeros(PATH_SIZE, np.float32)
-            for depth, element in enumerate(reversed(block.path)):
-                for word in element:
-                    # Elements close to the text count more.
-                    place = crc32(word.encode()) % PATH_SIZE
-                    path[place] = max(path[place], 1 / (1 + 0.2 * depth))
-            known[block.path] = path
-        rows[i, :PATH_SIZE] = known[block.path]
+        if block.inside is not None:
+            if block.inside is not inside:
+                inside = block.inside
+                # Elements close to the text count more.
+                paths = np.where(inside.nearest < _FAR, 1 / (1 + 0.2 * inside.nearest), 0)
+            rows[i, :PATH_SIZE] = paths
         words = block.text.lower().split()
         hashed = np.bincount(
             np.fromiter((crc32(w.encode()) for w in words), np.int64, len(words)) % WORD_SIZE,
@@ -197,9 +254,9 @@ def features(blocks: list[Block]) -> np.ndarray:
             np.log1p(len(words)) / 6,
             min(block.linked / size, 1),
             block.text[-1] in ".!?:",
-            bool(block.path) and block.path[-1][0] in HEADINGS,
-            i / len(blocks),
-            len(block.path) / 10,
+            block.inside is not None and block.inside.words[0] in HEADINGS,
+            (first + i) / total,
+            (block.inside.depth if block.inside else 0) / 10,
             1,
         )
     return rows
@@ -226,14 +283,17 @@ class Labeller:
             "q": np.zeros(1, np.float32),
         }
 
-    def _direction(self, x: np.ndarray, mask: np.ndarray, d: str):
-        """States of one direction over time-first padded input, with what learning needs."""
+    def _direction(self, x: np.ndarray, mask: np.ndarray, d: str, start=None, trace: list | None = None):
+        """States of one direction over time-first padded input, and the last two of them.
+
+        It goes on from `start`, what it returned for the stretch before. What learning
+        needs is added to `trace`.
+        """
         n, wh = self.hidden, self.weights["h" + d]
         gates_x = x @ self.weights["x" + d] + self.weights["c" + d]
-        h = c = np.zeros((x.shape[1], n), np.float32)
+        h, c = start or (np.zeros((x.shape[1], n), np.float32),) * 2
         states = np.zeros((*x.shape[:2], n), np.float32)
         steps = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
-        trace = []
         for t in steps:
             z = gates_x[t] + h @ wh
             s = 1 / (1 + np.exp(-z[:, : 3 * n]))
@@ -242,19 +302,20 @@ class Labeller:
             m = mask[t][:, None]
             new_c = f * c + i * g
             tanh_c = np.tanh(new_c)
-            trace.append((t, h, c, i, f, o, g, tanh_c, m))
+            if trace is not None:
+                trace.append((t, h, c, i, f, o, g, tanh_c, m))
             c = m * new_c + (1 - m) * c
             h = m * (o * tanh_c) + (1 - m) * h
             states[t] = h
-        return states, trace
+        return states, (h, c)
 
     def forward(self, x: np.ndarray, mask: np.ndarray):
         """Probabilities (time, page) of main text."""
         w = self.weights
-        (forth, trace_f), (back, trace_b) = (self._direction(x, mask, d) for d in "fb")
-        both = np.concatenate([forth, back], axis=2)
+        traces: dict[str, list] = {"f": [], "b": []}
+        both = np.concatenate([self._direction(x, mask, d, trace=traces[d])[0] for d in "fb"], axis=2)
         z = (both @ w["o"] + x @ w["p"] + w["q"])[:, :, 0]
-        return 1 / (1 + np.exp(-z)), both, {"f": trace_f, "b": trace_b}
+        return 1 / (1 + np.exp(-z)), both, traces
 
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
         """Gradient of the mean weighted cross-entropy; padded blocks have weight 0."""
@@ -310,8 +371,12 @@ class Labeller:
                     scale = np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7
                     self.weights[k] -= rate / (1 + epoch) * first[k] / (1 - 0.9**step) / scale
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """For each page, whether each block is main text."""
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """For each page, whether each block is main text.
+
+        Pages of similar length go together. Vectors are made for CELLS blocks at a time
+        and a block leaves one number behind, so memory does not grow with vectors or states.
+        """
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
         at = 0
@@ -321,13 +386,33 @@ class Labeller:
             while stop < len(order) and (stop + 1 - at) * len(pages[order[stop]]) <= CELLS:
                 stop += 1
             group = order[at:stop]
-            x, mask, _ = _padded([(pages[i],) for i in group])
-            p = self.forward(x, mask)[0]
-            for column, i in enumerate(group):
-                out[i] = p[: len(pages[i]), column] > 0.5
+            for i, logits in zip(group, self._logits([pages[i] for i in group])):
+                out[i] = logits > 0
             at = stop
         return out
 
+    def _logits(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        w, n, longest = self.weights, self.hidden, max(map(len, pages))
+        step = max(CELLS // len(pages), 1)
+        stretches = range(0, longest, step)
+        logits = np.zeros((longest, len(pages)), np.float32)
+
+        def vectors(t: int) -> tuple[np.ndarray, np.ndarray]:
+            parts = [(features(p[t : t + step], t, len(p)),) for p in pages]
+            return _padded(parts)[:2]
+
+        # A group of one stretch, the usual case, has its vectors made once.
+        once = vectors(0) if len(stretches) == 1 else None
+        for k, d in enumerate("fb"):
+            last = None
+            for t in stretches if d == "f" else reversed(stretches):
+                x, mask = once or vectors(t)
+                states, last = self._direction(x, mask, d, last)
+                logits[t : t + len(x)] += (states @ w["o"][k * n : (k + 1) * n])[:, :, 0]
+                if d == "f":
+                    logits[t : t + len(x)] += (x @ w["p"] + w["q"])[:, :, 0]
+        return [logits[: len(p), column] for column, p in enumerate(pages)]
+
 
 def _padded(pages: list[tuple]):
     longest = max(len(p[0]) for p in pages)
@@ -464,7 +549,7 @@ def fit(pages: DataFrame, html_column: str = "html", sample_pages: int = SAMPLE_
 def main_texts(htmls: list[str | None], labeller: Labeller) -> list[str]:
     """Main text of each page: its main blocks in page order, joined by line feeds."""
     parsed = [blocks_of(h) for h in htmls]
-    labels = labeller.label([features(b) for b in parsed])
+    labels = labeller.label(parsed)
     return [
         "\n".join([b.text for b, keep in zip(blocks, keeps) if keep])
         for blocks, keeps in zip(parsed, labels)

@@ -1,4 +1,6 @@
 import re
+import time
+import tracemalloc
 from html import unescape
 
 import numpy as np
@@ -80,13 +82,57 @@ def labeller(spark):
 
 def test_padding_and_order_do_not_matter(labeller):
     rng = np.random.default_rng(4)
-    pages = [hb.features(hb.blocks_of(hb.compose(rng, ["Some main text."], ["rest"])[0])) for _ in range(30)]
-    pages.append(np.zeros((0, hb.FEATURES), np.float32))
+    pages = [hb.blocks_of(hb.compose(rng, ["Some main text."], ["rest"])[0]) for _ in range(30)]
+    pages.append([])
     together = labeller.label(pages)
     for page, labels in zip(pages, together):
         assert (labeller.label([page])[0] == labels).all()
 
 
+def test_labels_do_not_depend_on_the_stretches(labeller, monkeypatch):
+    rng = np.random.default_rng(6)
+    pages = [hb.blocks_of(hb.compose(rng, ["Some main text."] * 9, ["rest"])[0]) for _ in range(12)]
+    whole = [labeller._logits([page])[0] for page in pages]
+    for cells in (1, 7, 40):
+        monkeypatch.setattr(hb, "CELLS", cells)
+        for page, logits in zip(pages, whole):
+            assert np.allclose(labeller._logits([page])[0], logits, atol=1e-4)
+
+
+def plain_path(block):
+    """The hashed path of a block, from all elements around it."""
+    row = np.zeros(hb.PATH_SIZE, np.float32)
+    for depth, element in enumerate(reversed(block.path)):
+        for word in element:
+            place = hb.crc32(word.encode()) % hb.PATH_SIZE
+            row[place] = max(row[place], 1 / (1 + 0.2 * depth))
+    return row
+
+
+def test_paths_of_nested_elements():
+    rng = np.random.default_rng(2)
+    tags = ["<div>", "</div>", "<p class='a b'>", "</p>", "<b>", "</b>", "<li id=x>", "</li>", "<ul>", "</ul>", "<td>", "<h2>", "t "]
+    for _ in range(300):
+        blocks = hb.blocks_of("".join(rng.choice(tags, 50)))
+        for block, row in zip(blocks, hb.features(blocks) if blocks else ()):
+            assert np.array_equal(row[: hb.PATH_SIZE], plain_path(block))
+
+
+@pytest.mark.parametrize("page", ["<div>a" * 60_000, "<div>" * 50_000 + "</b>x</i>" * 60_000, "<p>ab cd</p>" * 60_000,
+                                  "<b>" * 60_000 + "<p>x" + "</b>" * 60_000])
+def test_deep_and_long_pages_take_time_and_memory_in_proportion(page):
+    tracemalloc.start()
+    start = time.process_time()
+    try:
+        blocks = hb.blocks_of(page)
+        hb.Labeller().label([blocks])
+        assert tracemalloc.get_traced_memory()[1] < 300 << 20
+        # A quadratic walk would take many minutes.
+        assert time.process_time() - start < 200
+    finally:
+        tracemalloc.stop()
+
+
 def test_held_out_accuracy_on_other_layouts(labeller):
     rng = np.random.default_rng(99)
     main = ["A sentence of the article that goes on for a while, with several words. " * k for k in range(1, 9)]
@@ -94,7 +140,7 @@ def test_held_out_accuracy_on_other_layouts(labeller):
     right = n = 0
     for _ in range(300):
         html, labels = hb.compose(rng, main, rest)
-        found = labeller.label([hb.features(hb.blocks_of(html))])[0]
+        found = labeller.label([hb.blocks_of(html)])[0]
         right += (found == np.array(labels)).sum()
         n += len(labels)
     assert right / n > 0.98
