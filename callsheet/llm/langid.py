@@ -24,9 +24,12 @@ MAX_BUCKETS = 1 << 15
 #: Bytes of the log-probability matrix. With many languages it has fewer buckets.
 MATRIX_BYTES = 32 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numbers other than decimal digits.
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
 #: Characters whose n-grams are held at a time.
 _STEP = 1 << 18
+#: Log-probabilities that are held at a time.
+_CELLS = 1 << 22
 
 
 class Model:
@@ -41,44 +44,82 @@ class Model:
         return len(self.log_prob)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The likeliest language of each text and its posterior probability."""
-        languages, scores = [], []
-        for text in texts:
-            if not self.languages or text is None or not _LETTER.search(text):
-                languages.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            buckets, counts = ngram_counts(text, self.buckets, self.orders)
-            log = self.log_prior + counts @ self.log_prob[buckets]
-            best = int(np.argmax(log))
-            languages.append(self.languages[best])
-            scores.append(float(1 / np.exp(log - log[best]).sum()))
+        """The likeliest language of each text and its posterior probability.
+
+        The n-grams of many texts are one sparse matrix: a row of bucket numbers per text,
+        multiplied with the log-probabilities a stretch at a time.
+        """
+        known = [k for k, t in enumerate(texts) if self.languages and t is not None and has_letter(t)]
+        log = np.tile(self.log_prior, (len(known), 1))
+        step = max(_CELLS // (max(len(self.languages), 1) * len(self.orders)), 1)
+        for found, owners in ngrams([texts[k] for k in known], self.buckets, self.orders, min(step, _STEP)):
+            starts = np.flatnonzero(np.diff(owners, prepend=-1))
+            log[owners[starts]] += np.add.reduceat(self.log_prob[found], starts, axis=0)
+        languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        for k, row in zip(known, log):
+            best = int(np.argmax(row))
+            languages[k] = self.languages[best]
+            scores[k] = float(1 / np.exp(row - row[best]).sum())
         return languages, scores
 
 
-def ngram_counts(text: str, buckets: int, orders=ORDERS) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets that the text's n-grams fall into, with counts, over the whole text.
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter; digits of any kind, as in `²`, are none."""
+    return any(found[0].isalpha() for found in _WORD_CHARACTER.finditer(text))
+
+
+def ngrams(
+    texts: list[str], buckets: int, orders=ORDERS, step: int | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hash buckets of all n-grams with the numbers of their texts, rising, in parts.
 
-    Texts are lower-cased and framed by blanks. Long texts are read in overlapping
-    steps, so the memory in use does not grow with them.
+    Texts are lower-cased and framed by blanks. A part has the n-grams of one order that
+    start in `step` successive characters of the texts, of which a long one is read in
+    overlapping pieces, so the memory in use does not grow with the texts.
     """
+    step, longest = step or _STEP, max(orders)
+    pieces: list[tuple[int, str, int]] = []  # text, characters, how many n-grams may start
+    held = 0
+    for owner, text in enumerate(texts):
+        framed = f" {text.lower()} "
+        for at in range(0, len(framed), step):
+            piece = framed[at : at + step + longest - 1]
+            pieces.append((owner, piece, min(step, len(piece))))
+            held += len(piece)
+            if held >= step:
+                yield from _hashed(pieces, buckets, orders)
+                pieces, held = [], 0
+    if pieces:
+        yield from _hashed(pieces, buckets, orders)
+
+
+def _hashed(pieces: list[tuple[int, str, int]], buckets: int, orders) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    sizes = np.array([len(piece) for _, piece, _ in pieces])
+    ends = np.cumsum(sizes)
+    codes = np.frombuffer("".join(p for _, p, _ in pieces).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    owners = np.repeat([owner for owner, _, _ in pieces], sizes)
+    # The characters from each place to the end of its piece, and whether n-grams start there.
+    left = np.repeat(ends, sizes) - np.arange(len(codes))
+    starts = left > np.repeat(sizes - [n for _, _, n in pieces], sizes)
+    hashed = np.zeros(len(codes), np.uint64)
+    for n in range(1, max(orders) + 1):
+        # Built on the n-grams that are one character shorter.
+        size = len(codes) - n + 1
+        if size <= 0:
+            break
+        hashed = (hashed[:size] * np.uint64(0x100000001B3)) ^ codes[n - 1 :]
+        if n in orders:
+            within = starts[:size] & (left[:size] >= n)
+            if within.any():
+                mixed = (hashed[within] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+                yield (mixed >> np.uint64(40)).astype(np.int64) % buckets, owners[:size][within]
+
+
+def ngram_counts(text: str, buckets: int, orders=ORDERS) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets that the text's n-grams fall into, with counts, over the whole text."""
     total = np.zeros(buckets, np.int64)
-    framed = f" {text.lower()} "
-    longest = max(orders)
-    for at in range(0, len(framed), _STEP):
-        codes = np.frombuffer(
-            framed[at : at + _STEP + longest - 1].encode("utf-32-le", "surrogatepass"), "<u4"
-        ).astype(np.uint64)
-        hashed = np.zeros(len(codes), np.uint64)
-        for n in range(1, longest + 1):
-            # The n-grams that start in this step, built on those one character shorter.
-            size = len(codes) - n + 1
-            if size <= 0:
-                break
-            hashed = (hashed[:size] * np.uint64(0x100000001B3)) ^ codes[n - 1 :]
-            if n in orders:
-                mixed = (hashed[:_STEP] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-                total += np.bincount((mixed >> np.uint64(40)).astype(np.int64) % buckets, minlength=buckets)
+    for found, _ in ngrams([text], buckets, orders):
+        total += np.bincount(found, minlength=buckets)
     found = np.flatnonzero(total)
     return found, total[found].astype(np.float64)
 
@@ -97,8 +138,10 @@ def fit(
 ) -> Model:
     """Counts n-grams of all rows that have a text with a letter and a language.
 
-    The number of buckets is a power of two, at most `max_buckets`, such that the
-    matrix keeps within MATRIX_BYTES. Without any row the model knows no language.
+    The matrix keeps within MATRIX_BYTES, 32 MB: up to 128 languages have `max_buckets`
+    buckets, and twice as many languages have half of them, so that n-grams share a
+    bucket more often; more than 16,384 languages are an error. Without any row the model
+    knows no language.
     """
     rows = with_small_batches(docs).select(
         F.col(language_column).cast("string").alias("language"),
@@ -115,14 +158,17 @@ def fit(
         totals: dict[str, np.ndarray] = {}
         documents: dict[str, int] = {}
         for batch in batches:
-            for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not _LETTER.search(text):
-                    continue
-                found, counts = ngram_counts(text, buckets, orders)
+            named = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            kept = [(language, text) for language, text in named if has_letter(text)]
+            for language, _ in kept:
                 if language not in totals:
-                    totals[language], documents[language] = np.zeros(buckets), 0
-                totals[language][found] += counts
+                    totals[language], documents[language] = np.zeros(buckets, np.int64), 0
                 documents[language] += 1
+            order = sorted(kept)  # texts of a language side by side
+            for found, owners in ngrams([text for _, text in order], buckets, orders):
+                cuts = np.flatnonzero(np.diff(owners, prepend=-1))
+                for k, part in zip(owners[cuts], np.split(found, cuts[1:])):
+                    np.add.at(totals[order[k][0]], part, 1)
         for language, total in totals.items():
             found = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict(

@@ -70,6 +70,41 @@ def test_model_against_counts_by_hand(table):
     assert np.allclose(np.exp(model.log_prob), (counts + 0.5) / (counts + 0.5).sum(axis=0))
 
 
+def test_predictions_and_scores_against_brute_force(table, monkeypatch):
+    rng = np.random.default_rng(3)
+    model = langid.fit(table(*TRAIN, (7, "le chat et le chien", "fr")))
+    letters = list("the der le chat ñ²½Ⅷ①٣ 12 漢_-\U0001d11e\n")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(200)] + ["the cat " * 300, "", None, "²½Ⅷ①", "٣ 4_"]
+
+    def plain(text):
+        if text is None or not any(c.isalpha() for c in text):
+            return langid.UNKNOWN, 0.0
+        log = model.log_prior.copy()
+        framed = f" {text.lower()} "
+        for n in (1, 2, 3):
+            for at in range(len(framed) - n + 1):
+                h = 0
+                for c in framed[at : at + n]:
+                    h = (h * 0x100000001B3 & (2**64 - 1)) ^ ord(c)
+                log += model.log_prob[((h + n) * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> 40 & (model.buckets - 1)]
+        p = np.exp(log - log.max())
+        return model.languages[int(np.argmax(log))], float((p / p.sum()).max())
+
+    want = [plain(t) for t in texts]
+    assert {lang for lang, _ in want} >= {"und", "en", "de", "fr"}
+    for step, cells in ((langid._STEP, langid._CELLS), (5, langid._CELLS), (64, 40)):
+        monkeypatch.setattr(langid, "_STEP", step)
+        monkeypatch.setattr(langid, "_CELLS", cells)
+        languages, scores = model.predict(texts)
+        assert languages == [lang for lang, _ in want]
+        assert np.allclose(scores, [score for _, score in want], atol=1e-9)
+
+
+def test_numbers_are_no_letters():
+    assert [langid.has_letter(t) for t in ("²", "½ Ⅷ ①", "٣", "a²", "1_", "漢", "ª", "")] == [
+        False, False, False, True, False, True, True, False]
+
+
 def test_predictions_for_nulls_empty_and_long_texts_and_equal_rows(table):
     model = langid.fit(table(*TRAIN))
     df = table((1, None, None), (2, "", "en"), (3, "12 ! 漢", "a"), (3, "12 ! _", "a"), (4, "the mat", None), (4, "the mat", None),
