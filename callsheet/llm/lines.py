@@ -25,6 +25,9 @@ from callsheet.llm.common import stored, with_small_batches
 
 #: What counts as white space at the ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
+#: Rows that a task keeps of a line, and texts that it knows again.
+_HELD = 10_000
+_SEEN = 100_000
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
 
@@ -88,7 +91,8 @@ def keep_bitmaps(
     late = (
         streamed.where("kind = 'wait'")
         .select("id", "text_hash", "n_lines", "positions", "line_hash")
-        # At most two runs a partition touch its edges, so `whole` is small by that bound.
+        # At most two runs a partition touch its edges and few wait with _HELD rows each, so
+        # `whole` is small.
         .join(F.broadcast(whole), "line_hash")
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
         .select("id", "text_hash", "n_lines", "positions")
@@ -162,9 +166,17 @@ def _occurrences(min_chars: int):
     """One row per document and distinct long line: hash and packed positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
             ids, index, lines_of, positions, hashes = batch.column(0), [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            if len(seen) > _SEEN:
+                seen.clear()
+            keys = zip(ids.to_pylist(), batch.column(2).to_pylist())
+            for i, (key, text) in enumerate(zip(keys, batch.column(1).to_pylist())):
+                # Equal rows give equal lines; most copies go before the shuffle.
+                if key in seen:
+                    continue
+                seen.add(key)
                 lines, found = text.split("\n"), {}
                 for at, line in enumerate(lines):
                     if len(line) >= min_chars and len(key := line.strip(BLANK)) >= min_chars:
@@ -191,12 +203,18 @@ def _occurrences(min_chars: int):
 
 
 def _stream(min_documents: int):
-    """Streams runs of equal hashes; keeps no more than a few rows and the batch."""
+    """Streams runs of equal hashes; keeps at most _HELD rows, the output and the batch.
+
+    A run that has rows of the largest id and of too few others so far keeps the others'.
+    If they become too many, as when rows without an id share a line, it waits for its sum
+    like a run at the edge of the partition. Equal rows follow each other and count once.
+    """
     names = "kind id text_hash n_lines positions line_hash n_ids first_id".split()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = out = None
-        current, first_run, count, first_id, last_id = None, True, 0, None, None
+        current, last, count, first_id, last_id = None, None, 0, None, None
+        waiting = True  # the first run's first rows may stand in the partition before
         held: list[tuple] = []  # rows of the current run while it has too few ids
 
         def emit(kind, rows):
@@ -223,23 +241,26 @@ def _stream(min_documents: int):
                 ]
                 out = []
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                key = row[4]
+                if row == last:
+                    continue
+                key, last = row[4], row
                 if key != current:
-                    if current is not None and first_run:
-                        # Its first rows may stand in the partition before.
-                        emit("wait", held)
+                    if waiting and current is not None:
                         part()
-                        first_run = False
+                    waiting = waiting and current is None
                     current, count, first_id, held = key, 0, row[0], []
                 if not count or row[0] != last_id:
                     count, last_id = count + 1, row[0]
-                if first_run:
+                if waiting:
                     emit("wait", [row])
-                else:
+                elif row[0] != first_id:
                     held.append(row)
                     if count >= min_documents:
-                        emit("drop", [r for r in held if r[0] != first_id])
+                        emit("drop", held)
                         held = []
+                    elif len(held) > _HELD:
+                        emit("wait", held)
+                        held, waiting = [], True
                 if len(out) >= 20_000:
                     yield flush()
         if current is None:

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from callsheet.llm import lines
 from callsheet.llm.lines import apply_bitmaps, keep_bitmaps, kept_lines, line_key
 
 
@@ -61,6 +62,22 @@ def test_nulls_empty_texts_equal_rows_and_shared_ids(docs):
     check(docs, rows)
 
 
+def test_many_equal_rows_of_one_id_and_of_none(docs):
+    rows = [(7, f"{HOT}\nsome other line of text, a long one")] * 30_000 + [(None, HOT)] * 30_000
+    rows += [(8, HOT), (9, f"{HOT}\nx"), (None, None), (None, None)]
+    check(docs, rows, parts=8)
+
+
+@pytest.mark.parametrize("held", [3, 10_000])
+def test_many_texts_without_an_id_share_a_line(docs, monkeypatch, held):
+    monkeypatch.setattr(lines, "_HELD", held)
+    several = "another line that the documents share"
+    rows = [(None, f"{HOT}\nwords {n}") for n in range(400)] + [(5, f"a\n{HOT}"), (5, f"b\n{HOT}")]
+    rows += [(None, f"{several}\n{n}") for n in range(40)] + [(n, f"{several}\n{n}") for n in (1, 2)]
+    # One line in two ids only, which stays, and one in three.
+    check(docs, rows, parts=8)
+
+
 def test_two_ids_are_too_few(docs):
     check(docs, [(1, HOT), (1, HOT + "\na"), (2, HOT), (2, HOT)])
 
