@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -303,25 +304,32 @@ def hits(
     if len(passes) == 1:
         return passes[0].select("row", "found.*")
     keyed = [p.select("row", "id", F.xxhash64("text").alias("hash"), "found") for p in passes]
-    other = keyed[1].drop("row")
-    for part in keyed[2:]:
-        other = other.unionByName(part.drop("row"))
+    # Rows that a later block hits, equal ones once; each id and text has one per block.
+    later = [
+        p.where(F.size("found.spans") > 0).select("id", "hash", F.lit(k).alias("block"), "found")
+        for k, p in enumerate(keyed[1:])
+    ]
     merged = (
-        other.groupBy("id", "hash")
+        reduce(DataFrame.unionByName, later)
+        .dropDuplicates(["id", "hash", "block"])
+        .groupBy("id", "hash")
         .agg(
             F.collect_list("found.spans").alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("found.items")))).alias("items"),
         )
         .select(F.col("id").alias("m_id"), F.col("hash").alias("m_hash"), "spans", "items")
     )
+    also = F.col("items").isNotNull()
     return keyed[0].join(
-        merged, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash"))
+        merged, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash")), "left"
     ).select(
         "row",
         "found.n_words",
-        _merge(F.array_append("spans", F.col("found.spans"))).alias("spans"),
-        F.array_sort(F.array_union("items", "found.items")).alias("items"),
-    )
+        F.when(also, _merge(F.when(also, F.array_append("spans", F.col("found.spans")))))
+        .otherwise(F.col("found.spans")).alias("spans"),
+        F.when(also, F.array_sort(F.array_union("items", "found.items")))
+        .otherwise(F.col("found.items")).alias("items"),
+    )
 
 
 def n_hit(spans: Column) -> Column:
@@ -420,6 +428,8 @@ def _merge(lists: Column) -> Column:
         return pd.Series(
             [
                 [x for s in _union([p for part in parts for p in zip(part[::2], part[1::2])]) for x in s]
+                if parts is not None
+                else []
                 for parts in each
             ]
         )

@@ -76,6 +76,20 @@ def test_hits(spark, docs, block):
     assert got == want
 
 
+def test_many_equal_rows_and_rows_without_an_id_meet_several_blocks(spark, docs):
+    items, _, table = data(spark)
+    blocks = list(dec.automata(table, block_words=30))
+    text = f"x {items[0][1]} y {items[4][1]}"
+    rows = [(7, text)] * 3000 + [(None, None)] * 3000 + [(None, text)] * 500 + [(None, "nothing of it")]
+    found = dec.hits(docs(*rows, parts=8), blocks).select(
+        "row.doc_id", "n_words", dec.n_hit(F.col("spans")).alias("n"), "items")
+    got = Counter((r["doc_id"], r["n_words"], r["n"], tuple(r["items"])) for r in found.collect())
+    n, hit, names = brute(text, items, 10)
+    assert len(blocks) > 3 and len(names) > 1
+    assert got == {(7, n, len(hit), tuple(names)): 3000, (None, n, len(hit), tuple(names)): 500,
+                   (None, 0, 0, ()): 3000, (None, 3, 0, ()): 1}
+
+
 def test_the_driver_holds_names_of_files_only(spark, docs):
     rows = [(n, " ".join(f"w{n}x{k}" for k in range(200 + 700 * (n % 3)))) for n in range(60)]
     table = spark.createDataFrame(rows, "item_id long, text string").repartition(4)
