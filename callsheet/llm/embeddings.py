@@ -9,7 +9,8 @@ double precision.
 A pair may meet in several buckets. It counts in the first table in which it meets,
 which both sides can tell from the buckets that every vector carries, so links are
 counted without writing pairs: a task returns, per vector, the links it has counted,
-and links enough to keep what it found connected. Large buckets are cut into chunks of
+and links enough to keep what it found connected. Equal vectors are folded into one with a
+count before they are hashed, so a group of copies costs as much as one of them. Large buckets are cut into chunks of
 residents and chunks of visitors, each pair of chunks a cell that may be a task of its
 own; nothing is capped.
 """
@@ -107,6 +108,7 @@ def near_duplicates(
     rows with a null id are rows each and link with each other; null ids count for
     nothing in `component_id`.
     """
+    id_type = vectors.schema[id_column].dataType.simpleString()
     single = vectors.schema[vector_column].dataType.simpleString() == "array<float>"
     precision = "float" if single else "double"
     numbers = np.float32 if single else np.float64
@@ -117,10 +119,20 @@ def near_duplicates(
             F.col(vector_column).cast(f"array<{precision}>").alias("vector"),
         )
     )
+    usable = rows.mapInArrow(
+        _usable(numbers), f"row long, id {id_type}, dimension int, vector binary"
+    ).withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")})
+    # Equal vectors are one with a count: a group of copies is hashed and verified once.
+    same = ["dimension", "h1", "h2"]
+    classes = stored(
+        usable.groupBy(*same, "vector").agg(
+            F.min("row").alias("row"), F.count("*").alias("members"), F.min("id").alias("smallest")
+        )
+    )
     hashed = stored(
-        rows.select("row", "vector").mapInArrow(
+        classes.select("row", "members", "dimension", "vector").mapInArrow(
             _hash(numbers, tables, probes),
-            "row long, dimension int, vector binary, buckets binary, tables array<int>,"
+            "row long, members long, dimension int, vector binary, buckets binary, tables array<int>,"
             " keys array<long>, probe array<int>",
         )
     )
@@ -163,24 +175,33 @@ def near_duplicates(
     ).select("row", *key, "at.chunk", "at.side", "at.resident")
     cell = [*key, "chunk", "side"]
     ready = (
-        spread.join(hashed.select("row", "vector", "buckets"), "row")
+        spread.join(hashed.select("row", "members", "vector", "buckets"), "row")
         .repartition(*cell)
         .sortWithinPartitions(*cell, F.col("resident").desc(), "row")
-        .select("row", *cell, "resident", "vector", "buckets")
+        .select("row", *cell, "resident", "members", "vector", "buckets")
     )
     found = stored(
         ready.mapInArrow(_verify(numbers, threshold, tables, probes), "a long, b long, n long")
     )
-    counts = found.where("b IS NULL").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n_links"))
+    counts = found.where("b IS NULL").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("others"))
     joined = components(found.where("b IS NOT NULL")).withColumnRenamed("node", "row")
-    linked = joined.join(rows.select("row", "id"), "row")
-    # Stored, so that the join can split a component with very many members.
-    lowest = stored(linked.groupBy("root").agg(F.min("id").alias("component_id")))
-    named = linked.join(lowest, "root").select("row", "component_id")
+    linked = joined.join(classes.select("row", "smallest"), "row")
+    # Stored, so that the joins can split a component or a class with very many members.
+    lowest = stored(linked.groupBy("root").agg(F.min("smallest").alias("lowest")))
+    named = linked.join(lowest, "root").select("row", "lowest")
+    described = stored(
+        classes.join(counts, "row", "left")
+        .join(named, "row", "left")
+        .select(
+            *same,
+            (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"),
+            F.coalesce("lowest", "smallest").alias("component_id"),
+        )
+    )
+    member_of = usable.select("row", *same).join(described, same).select("row", "n_links", "component_id")
     return (
         rows.select("row", "id")
-        .join(counts, "row", "left")
-        .join(named, "row", "left")
+        .join(member_of, "row", "left")
         .select(
             "id",
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -190,37 +211,52 @@ def near_duplicates(
     )
 
 
-def _hash(numbers: type, tables: int, probes: int):
-    names = ["row", "dimension", "vector", "buckets", "tables", "keys", "probe"]
-    which = np.repeat(np.arange(tables, dtype=np.int32), probes)
-    probe = np.tile(np.arange(probes, dtype=np.int32), tables)
+def _usable(numbers: type):
+    """The vectors that may link, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotations: dict[int, Rotations] = {}
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            usable: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-            for i, vector in enumerate(batch.column(1).to_pylist()):
+            places, sizes, parts = [], [], []
+            for i, vector in enumerate(batch.column(2).to_pylist()):
                 if not vector or None in vector:
                     continue
                 row = np.array(vector, numbers)
                 if np.isfinite(row).all() and row.any():
-                    places, some = usable.setdefault(len(row), ([], []))
                     places.append(i)
-                    some.append(row)
-            for dimension, (places, some) in usable.items():
+                    sizes.append(len(row))
+                    # Adding zero turns a negative zero into zero.
+                    parts.append((row + 0).tobytes())
+            take = pa.array(places, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take),
+                 pa.array(sizes, pa.int32()), pa.array(parts, pa.binary())],
+                ["row", "id", "dimension", "vector"],
+            )
+
+    return run
+
+
+def _hash(numbers: type, tables: int, probes: int):
+    names = ["row", "members", "dimension", "vector", "buckets", "tables", "keys", "probe"]
+    which = np.repeat(np.arange(tables, dtype=np.int32), probes)
+    probe = np.tile(np.arange(probes, dtype=np.int32), tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rotations: dict[int, Rotations] = {}
+        for batch in batches:
+            vectors, sizes = batch.column(3), batch.column(2).to_numpy()
+            for dimension in np.unique(sizes).tolist():
                 if dimension not in rotations:
                     rotations[dimension] = Rotations(dimension, tables)
-                for at in range(0, len(some), 1024):
-                    block = np.stack(some[at : at + 1024])
-                    buckets = rotations[dimension].buckets(unit_rows(block), probes)
-                    n = len(block)
-                    flat = buckets.reshape(n, -1)
+                places = np.flatnonzero(sizes == dimension)
+                for at in range(0, len(places), 1024):
+                    take = pa.array(places[at : at + 1024])
+                    n = len(take)
+                    block = np.frombuffer(b"".join(vectors.take(take).to_pylist()), numbers).reshape(n, -1)
+                    flat = rotations[dimension].buckets(unit_rows(block), probes).reshape(n, -1)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(ids[places[at : at + 1024]]),
-                            pa.array(np.full(n, dimension, np.int32)),
-                            pa.array([v.tobytes() for v in block], pa.binary()),
+                            *(column.take(take) for column in batch.columns),
                             pa.array([b.tobytes() for b in flat], pa.binary()),
                             pa.array([which] * n, pa.list_(pa.int32())),
                             pa.array(list(flat), pa.list_(pa.int64())),
@@ -244,9 +280,10 @@ def _verify(numbers: type, threshold: float, tables: int, probes: int):
 
         def of(rows: list[tuple]):
             ids = np.array([r[0] for r in rows], np.int64)
+            members = np.array([r[4] for r in rows], np.int64)
             vectors = np.frombuffer(b"".join(r[1] for r in rows), numbers).reshape(len(rows), -1)
             buckets = np.frombuffer(b"".join(r[2] for r in rows), np.int64)
-            return ids, unit_rows(vectors), buckets.reshape(len(rows), tables, probes)
+            return ids, unit_rows(vectors), buckets.reshape(len(rows), tables, probes), members
 
         def meet(table: int, left, right, same: bool):
             """Links between two blocks, those that meet in an earlier table apart."""
@@ -269,7 +306,10 @@ def _verify(numbers: type, threshold: float, tables: int, probes: int):
                 mutual = (yours[:, :1] != mine[:, :1])[:, 0] & (mine == yours[:, :1]).any(axis=1)
                 first &= ~(mutual & (yours[:, 0] < mine[:, 0]))
             a, b = left[0][at], right[0][to]
-            rows, n = np.unique(np.concatenate([a[first], b[first]]), return_counts=True)
+            rows, place = np.unique(np.concatenate([a[first], b[first]]), return_inverse=True)
+            n = np.zeros(len(rows), np.int64)
+            # Each gets as many links as the other's class has members.
+            np.add.at(n, place, np.concatenate([right[3][to][first], left[3][at][first]]))
             return rows, n, _forest(a, b)
 
         def out(met):
@@ -311,12 +351,12 @@ def _verify(numbers: type, threshold: float, tables: int, probes: int):
             return [b for b in map(out, made) if b is not None]
 
         for batch in batches:
-            row, *where, resident, vector, buckets = (c.to_pylist() for c in batch.columns)
-            for here, r, u, b, res in zip(zip(*where), row, vector, buckets, resident):
+            row, *where, resident, members, vector, buckets = (c.to_pylist() for c in batch.columns)
+            for here, r, u, b, res, m in zip(zip(*where), row, vector, buckets, resident, members):
                 if here != cell:
                     yield from flush()
                     cell, residents = here, None
-                held.append((r, u, b, res))
+                held.append((r, u, b, res, m))
                 if len(held) >= 1024:
                     yield from flush()
         yield from flush()

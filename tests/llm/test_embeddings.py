@@ -63,6 +63,39 @@ def test_groups(spark, chunk, kind):
     assert run(spark, rows, kind, chunk=chunk) == Counter(want)
 
 
+def test_many_equal_vectors_are_one_with_a_count(spark):
+    rng = np.random.default_rng(5)
+    base, other = (rng.standard_normal(64) for _ in range(2))
+    near = base + 0.01 * rng.standard_normal(64)
+    rows = [(n, base.tolist()) for n in range(100, 15_100)] + [(n, near.tolist()) for n in range(4_000)[-3:]]
+    rows += [(None, base.tolist()), (7, other.tolist()), (8, (-base).tolist()), (9, [0.0] * 64)]
+    got = run(spark, rows)
+    linked = 15_004
+    assert got == Counter({
+        **{(n, linked - 1, 100, n == 100): 1 for n in range(100, 15_100) if n not in (3997, 3998, 3999)},
+        **{(n, linked - 1, 100, False): 2 for n in (3997, 3998, 3999)},
+        (None, linked - 1, 100, False): 1, (7, 0, 7, True): 1, (8, 0, 8, True): 1, (9, 0, 9, True): 1})
+
+
+def test_classes_of_different_sizes_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    vectors = [v for v in groups(rng, 8, 6, 0.05) for _ in range(int(rng.integers(1, 9)))]
+    vectors += [[-0.0, 1.0], [0.0, 1.0], [0.0, 2.0], None, None, [0.0, 0.0]]
+    rng.shuffle(vectors := [v for v in vectors])
+    ids = rng.permutation(len(vectors)).tolist()
+    rows = [(None if n % 17 == 3 else n, v) for n, v in zip(ids, vectors)]
+    for chunk in (embeddings.CHUNK, 2):
+        assert run(spark, rows, chunk=chunk) == Counter(brute(rows))
+
+
+@pytest.mark.parametrize("dimension", [384, 1024])
+def test_recall_at_other_dimensions(spark, dimension):
+    rng = np.random.default_rng(dimension)
+    rows = list(enumerate(groups(rng, 60, 4, 0.2, dimension)))
+    want, found = brute(rows), run(spark, rows)
+    assert sum(f[1] * n for f, n in found.items()) >= 0.9 * sum(w[1] for w in want) > 300
+
+
 def test_recall_near_the_threshold(spark):
     rng = np.random.default_rng(2)
     rows = list(enumerate(groups(rng, 150, 4, 0.2)))  # cosines from about 0.94 to 0.98
