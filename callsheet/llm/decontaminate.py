@@ -212,6 +212,7 @@ def automata(
     """
     spark = items.sparkSession
     folder = new_folder(spark, "benchmark")
+    _open(folder)  # fails before the job if no task could
     # A block takes the parts that start within a stretch of `block_words` less one part.
     most = max(block_words // 8, window)
     stretch = max(block_words - most, 1)

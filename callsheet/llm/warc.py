@@ -95,6 +95,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
     Returns `archive` (its path) and `records`. A task that runs again writes files of
     other names; only the files that are returned count.
     """
+    _open(folder)  # fails before the job if no task could
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(folder)
@@ -330,9 +331,28 @@ def _lines(stream) -> Iterator[bytes]:
         yield rest
 
 
+#: Schemes of Spark's paths that the file systems here know by another name.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs"}
+
+
+def folder_uri(folder: str) -> str:
+    """The folder's URI as `pyarrow.fs` takes it; unknown schemes are an error.
+
+    Known are local paths, `file`, `hdfs`, `viewfs`, `s3` (also as `s3a`), `gs` and `abfs`.
+    """
+    uri = re.sub(r"^file:/+", "file:///", folder)
+    scheme, colon, rest = uri.partition("://")
+    if not colon:
+        return uri
+    scheme = _SCHEMES.get(scheme, scheme)
+    if scheme not in ("file", "hdfs", "viewfs", "s3", "gs", "abfs"):
+        raise ValueError(f"cannot keep files in {folder}: set spark.checkpoint.dir to a folder of HDFS or an object store")
+    return f"{scheme}://{rest}"
+
+
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
     """The file system and path of a folder, by its URI; the folder is made if need be."""
-    uri = re.sub(r"^file:/+", "file:///", folder)
+    uri = folder_uri(folder)
     if uri.startswith("/"):
         system, path = fs.LocalFileSystem(), uri
     else:

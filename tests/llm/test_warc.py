@@ -99,3 +99,17 @@ def test_a_payload_that_differs_from_its_digest_is_an_error():
     row = {"id": 1, "url": "u", "html": "text", "digest": "0" * 40, "record_type": "response", "refers_to": None}
     with pytest.raises(ValueError, match="has digest"):
         warc.parse_record(warc.record_bytes(row, "2024-01-01T00:00:00Z"))
+
+
+@pytest.mark.parametrize("folder, want", [
+    ("/data/x", "/data/x"), ("file:/data/x", "file:///data/x"), ("file:///data/x", "file:///data/x"),
+    ("s3a://bucket/x", "s3://bucket/x"), ("s3n://bucket/x", "s3://bucket/x"), ("gs://bucket/x", "gs://bucket/x"),
+    ("abfss://c@a.dfs.core.windows.net/x", "abfs://c@a.dfs.core.windows.net/x"), ("hdfs://host/x", "hdfs://host/x"),
+])
+def test_spark_paths_have_names_that_the_file_systems_know(folder, want):
+    assert warc.folder_uri(folder) == want
+
+
+def test_a_store_without_a_file_system_fails_before_the_job(spark):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        warc.write_archives(spark.range(1), "dbfs://x/y")
