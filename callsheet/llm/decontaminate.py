@@ -3,21 +3,22 @@
 One automaton holds the normalised words of all test items. Tasks stream the words of
 a document through it and track the longest suffix that occurs in some item: where
 that is at least a window long, the window's words are hit. Items shorter than a
-window count as a window of their own. Items go to blocks of a bounded number of words,
-which tasks write to files in the shared folder and from which each task builds the
-automaton; a benchmark beyond one block is met block by block.
+window count as a window of their own. Items go to blocks of a bounded number of words.
+One task builds the automaton of a block and writes its arrays to the shared folder,
+where all tasks find it; the documents are read once, whatever the number of blocks.
 """
 
 from __future__ import annotations
 
 import uuid
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,12 @@ from callsheet.llm.common import new_folder, shipped, stored, with_small_batches
 from callsheet.llm.warc import _open
 
 WINDOW = 10
-#: Words of the items in one automaton; it takes some 600 bytes a word.
-BLOCK_WORDS = 200_000
+#: Words of the items in one automaton; its arrays take some 60 bytes a word, its building 400.
+BLOCK_WORDS = 1_000_000
+#: Bytes of automata that a task holds at a time, but for one that is larger.
+HELD_BYTES = 256 << 20
+#: Bytes of texts that meet one automaton after the other, if not all can be held.
+TEXT_BYTES = 32 << 20
 #: For `remove_spans`: a document with a larger share of hit words goes.
 MAX_COVERAGE = 0.5
 
@@ -58,142 +63,305 @@ class Block:
                 yield name, words.split()
 
 
-class Automaton:
-    """Suffix automaton of several word sequences, with the items of each window.
+class _Building:
+    """A suffix automaton that grows word by word, words being numbers.
 
-    It is built when it is first used and travels as its items, or as the names of their
-    files: the driver holds and sends names only.
+    Nearly all states have one way on, which two arrays hold; `more` has the others.
     """
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.source, self.window = items, window
-        self.next: list[dict[bytes, int]] | None = None
+    def __init__(self):
+        self.word, self.to = array("i", [-1]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
 
-    def __reduce__(self):
-        return type(self), (self.source, self.window)
+    def step(self, state: int, word: int) -> int:
+        """The state after a word, -1 if there is none."""
+        if self.word[state] == word:
+            return self.to[state]
+        more = self.more.get(state)
+        return -1 if more is None else more.get(word, -1)
 
-    def _build(self) -> None:
-        items, window = list(self.source), self.window
-        self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length = array("i", [-1]), array("i", [0])
-        whole = []
-        for name, words in items:
-            last = 0
-            for word in words:
-                last = self._extend(last, word)
-            if 0 < len(words) < window:
-                whole.append((name, words))
-        ends: dict[tuple[int, int], set[str]] = {}
-        for name, words in whole:
-            state = 0
-            for word in words:
-                state = self.next[state][word]
-            ends.setdefault((state, len(words)), set()).add(name)
-        # State to the short items that end in it, by length.
-        self.shorts: dict[int, list[tuple[int, set[str]]]] = {}
-        for (state, size), names in ends.items():
-            self.shorts.setdefault(state, []).append((size, names))
-        self._ancestors()
-        # State of a window to the items that hold it.
-        self.items: dict[int, set[str]] = {}
-        for name, words in items:
-            for state, length in self.walk(words):
-                if length >= window:
-                    self.items.setdefault(self.window_state[state], set()).add(name)
-
-    def _extend(self, last: int, word: bytes) -> int:
-        following, link, length = self.next, self.link, self.length
-        if word in following[last]:
+    def _put(self, state: int, word: int, to: int) -> None:
+        if self.word[state] in (-1, word):
+            self.word[state], self.to[state] = word, to
+        else:
+            self.more.setdefault(state, {})[word] = to
+
+    def _new(self, length: int, link: int) -> int:
+        self.word.append(-1)
+        self.to.append(-1)
+        self.length.append(length)
+        self.link.append(link)
+        return len(self.link) - 1
+
+    def extend(self, last: int, word: int) -> int:
+        length, link = self.length, self.link
+        q = self.step(last, word)
+        if q >= 0:
             # Another item has been here: only a state of its own may be missing.
-            q = following[last][word]
             return q if length[q] == length[last] + 1 else self._split(last, word, q)
-        new = len(following)
-        following.append({})
-        length.append(length[last] + 1)
-        link.append(0)
+        new = self._new(length[last] + 1, 0)
         p = last
-        while p != -1 and word not in following[p]:
-            following[p][word] = new
+        while p != -1 and (q := self.step(p, word)) < 0:
+            self._put(p, word, new)
             p = link[p]
         if p != -1:
-            q = following[p][word]
             link[new] = q if length[q] == length[p] + 1 else self._split(p, word, q)
         return new
 
-    def _split(self, p: int, word: bytes, q: int) -> int:
-        following, link, length = self.next, self.link, self.length
-        clone = len(following)
-        following.append(dict(following[q]))
-        length.append(length[p] + 1)
-        link.append(link[q])
-        link[q] = clone
-        while p != -1 and following[p].get(word) == q:
-            following[p][word] = clone
-            p = link[p]
+    def _split(self, p: int, word: int, q: int) -> int:
+        clone = self._new(self.length[p] + 1, self.link[q])
+        self.word[clone], self.to[clone] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[clone] = dict(self.more[q])
+        self.link[q] = clone
+        while p != -1 and self.step(p, word) == q:
+            self._put(p, word, clone)
+            p = self.link[p]
         return clone
 
-    def _ancestors(self) -> None:
-        """For each state the one of its suffix of window length, and the next short item up."""
-        order = np.argsort(np.frombuffer(self.length, np.int32), kind="stable").tolist()
-        self.window_state, self.short_up = array("i", [-1]) * len(order), array("i", [-1]) * len(order)
-        for state in order:
-            up = self.link[state]
-            if self.length[state] >= self.window:
-                within = up < 0 or self.length[up] < self.window
-                self.window_state[state] = state if within else self.window_state[up]
-            if state in self.shorts:
-                self.short_up[state] = state
-            elif up >= 0:
-                self.short_up[state] = self.short_up[up]
+    def transitions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each state's transitions start, their words in order, their targets."""
+        word = np.frombuffer(self.word, np.int32)
+        states = [np.flatnonzero(word >= 0).astype(np.int32)]
+        words, to = [word[states[0]]], [np.frombuffer(self.to, np.int32)[states[0]]]
+        owners, also, targets = array("i"), array("i"), array("i")
+        for state, more in self.more.items():
+            owners.extend([state] * len(more))
+            also.extend(more.keys())
+            targets.extend(more.values())
+        for lists, numbers in ((states, owners), (words, also), (to, targets)):
+            lists.append(np.array(numbers, np.int32))
+        state, word = np.concatenate(states), np.concatenate(words)
+        order = np.lexsort((word, state))
+        starts = np.zeros(len(self.link) + 1, np.int32)
+        np.cumsum(np.bincount(state, minlength=len(self.link)), out=starts[1:])
+        return starts, word[order], np.concatenate(to)[order]
+
+
+def _grouped(keys: Iterable[int], *values: Iterable[int]) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, where their values start, the values (distinct rows)."""
+    rows = np.array([keys, *values], np.int32).reshape(1 + len(values), -1).T
+    rows = np.unique(rows, axis=0) if len(rows) else rows
+    distinct, at = np.unique(rows[:, 0], return_index=True)
+    return distinct, np.append(at, len(rows)).astype(np.int32), *rows[:, 1:].T.copy()
+
+
+def arrays_of(items: Iterable[tuple[str, list[bytes]]], window: int) -> dict[str, np.ndarray | pa.Array]:
+    """The automaton of the items (name, words) as flat arrays, see `Automaton`."""
+    vocabulary: dict[bytes, int] = {}
+    names: dict[str, int] = {}
+    sequences: list[tuple[int, array]] = []
+    for name, words in items:
+        numbers = array("i", [vocabulary.setdefault(w, len(vocabulary)) for w in words])
+        sequences.append((names.setdefault(name, len(names)), numbers))
+    made = _Building()
+    for _, words in sequences:
+        last = 0
+        for word in words:
+            last = made.extend(last, word)
+    short: tuple[list[int], list[int], list[int]] = ([], [], [])  # states, lengths, names
+    for name, words in sequences:
+        if 0 < len(words) < window:
+            state = 0
+            for word in words:
+                state = made.step(state, word)
+            for values, value in zip(short, (state, len(words), name)):
+                values.append(value)
+    short_state, short_starts, short_size, short_name = _grouped(*short)
+    group_of = {state: k for k, state in enumerate(short_state.tolist())}
+    # For each state the one of its suffix of window length, and the next short item up.
+    link, length = made.link, made.length
+    above = np.full(len(link), -1, np.int32)
+    short_at = np.full(len(link), -1, np.int32)
+    short_up = np.full(len(short_state), -1, np.int32)
+    above_, short_at_ = memoryview(above), memoryview(short_at)
+    for state in np.argsort(np.frombuffer(length, np.int32), kind="stable").tolist():
+        up = link[state]
+        if length[state] >= window:
+            above_[state] = state if up < 0 or length[up] < window else above_[up]
+        if up >= 0:
+            short_at_[state] = short_at_[up]
+        if state in group_of:
+            short_up[group_of[state]] = short_at_[state]
+            short_at_[state] = group_of[state]
+    pairs: tuple[array, array] = (array("i"), array("i"))  # states of windows, names
+    for name, words in sequences:
+        state = 0
+        for at, word in enumerate(words, 1):
+            state = made.step(state, word)
+            if at >= window:
+                pairs[0].append(above_[state])
+                pairs[1].append(name)
+    held, item_starts, item_name = _grouped(*pairs)
+    window_at = np.where(above >= 0, np.searchsorted(held, above), -1).astype(np.int32)
+    starts, word, to = made.transitions()
+    return {
+        "starts": starts, "word": word, "to": to,
+        "link": np.array(link, np.int32), "length": np.array(length, np.int32),
+        "window_at": window_at, "item_starts": item_starts, "item_name": item_name,
+        "short_at": short_at, "short_up": short_up, "short_starts": short_starts,
+        "short_size": short_size, "short_name": short_name,
+        "words": pa.array(list(vocabulary), pa.binary()), "names": pa.array(list(names), pa.string()),
+    }
+
+
+def _write_arrays(arrays: dict[str, np.ndarray | pa.Array], folder: str) -> str:
+    """Writes the arrays, each as a table of its own; the name of the file."""
+    system, root = _open(folder)
+    file = f"{uuid.uuid4().hex}.automaton"
+    with system.open_output_stream(f"{root}/{file}", compression=None) as out:
+        for name, values in arrays.items():
+            batch = pa.RecordBatch.from_arrays([pa.array(values)], [name])
+            with pa.ipc.new_stream(out, batch.schema) as stream:
+                stream.write_batch(batch)
+    return file
+
+
+def _read_arrays(folder: str, file: str) -> dict[str, np.ndarray | pa.Array]:
+    """The arrays of a file; from a local folder they are mapped into memory."""
+    system, root = _open(folder)
+    local = isinstance(system, fs.LocalFileSystem)
+    with pa.memory_map(f"{root}/{file}") if local else system.open_input_file(f"{root}/{file}") as source:
+        arrays = {}
+        while source.tell() < source.size():
+            batch = pa.ipc.open_stream(source).read_next_batch()
+            # The reader stops before the end mark, 8 bytes.
+            source.seek(source.tell() + 8)
+            values = batch.column(0)
+            arrays[batch.schema.names[0]] = values.to_numpy() if pa.types.is_int32(values.type) else values
+        return arrays
+
+
+class Automaton:
+    """Suffix automaton of several word sequences, with the items of each window.
+
+    States are numbers, 0 the empty sequence; words are numbers too, so that a state's
+    transitions are a stretch of `word` in order, with their targets in `to`. The arrays
+    are read from `file`, or made from the items, when they are first used: it travels
+    as a name or as its items.
+    """
+
+    def __init__(
+        self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW, file: str | None = None
+    ):
+        self.source, self.window, self.file = items, window, file
+        self.size = 0  # bytes in memory
+        self.number: dict[bytes, int] | None = None
+
+    def __reduce__(self):
+        return type(self), (self.source, self.window, self.file)
+
+    def load(self) -> None:
+        if self.number is not None:
+            return
+        arrays = (
+            arrays_of(self.source, self.window)
+            if self.file is None
+            else _read_arrays(self.source.folder, self.file)
+        )
+        words = arrays.pop("words")
+        self.names = arrays.pop("names")
+        # Views give plain numbers, several times faster than elements of arrays.
+        self.view = {name: memoryview(values) for name, values in arrays.items()}
+        self.size = sum(v.nbytes for v in arrays.values()) + 120 * len(words) + self.names.nbytes
+        self.number = {w: n for n, w in enumerate(words.to_pylist())}
+
+    def drop(self) -> None:
+        """Frees the arrays until the next use."""
+        self.number = self.names = self.view = None
+        self.size = 0
 
     def walk(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
         """After each word: the state and the length of the longest suffix that occurs."""
-        if self.next is None:
-            self._build()
-        following, link, lengths = self.next, self.link, self.length
+        self.load()
+        starts, follows, to, link, lengths = (
+            self.view[name] for name in ("starts", "word", "to", "link", "length")
+        )
         state = length = 0
-        for word in words:
-            to = following[state].get(word)
-            if to is None:
-                while state and to is None:
-                    state = link[state]
-                    to = following[state].get(word)
-                if to is None:
-                    state = length = 0
-                    yield 0, 0
-                    continue
+        for word in map(self.number.get, words):
+            if word is None:
+                state = length = 0
+                yield 0, 0
+                continue
+            while state:
+                at, end = starts[state], starts[state + 1]
+                if end - at > 1:
+                    at = bisect_left(follows, word, at, end)
+                if at < end and follows[at] == word:
+                    break
+                state = link[state]
                 length = lengths[state]
-            state, length = to, length + 1
+            else:
+                at = word  # every word leads on from state 0, in order
+            state, length = to[at], length + 1
             yield state, length
 
     def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Hit spans of words (start, end), disjoint and in order, and the items found."""
-        if self.next is None:
-            self._build()
-        window, short_up, has_short = self.window, self.short_up, bool(self.shorts)
+        self.load()
+        window, view = self.window, self.view
+        window_at, short_at, short_up = view["window_at"], view["short_at"], view["short_up"]
+        short_starts, short_size, short_name = view["short_starts"], view["short_size"], view["short_name"]
+        has_short = len(short_up) > 0
         spans: list[tuple[int, int]] = []
-        states, names = set(), set()
+        windows: set[int] = set()
+        names: set[int] = set()
         for at, (state, length) in enumerate(self.walk(words), 1):
             start = at
             if length >= window:
-                states.add(self.window_state[state])
+                windows.add(window_at[state])
                 start = at - window
             if has_short and length:
-                up = short_up[state]
-                while up > 0:
-                    for size, found in self.shorts[up]:
-                        if size <= length:
-                            names |= found
-                            start = min(start, at - size)
-                    up = self.link[up]
-                    up = short_up[up] if up > 0 else -1
+                up = short_at[state]
+                while up >= 0:
+                    for k in range(short_starts[up], short_starts[up + 1]):
+                        if short_size[k] <= length:
+                            names.add(short_name[k])
+                            start = min(start, at - short_size[k])
+                    up = short_up[up]
             if start < at:
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
                 spans.append((start, at))
-        for state in states:
-            names |= self.items[state]
-        return spans, names
+        item_starts, item_name = view["item_starts"], view["item_name"]
+        for k in windows:
+            names.update(item_name[item_starts[k] : item_starts[k + 1]])
+        return spans, {self.names[n].as_py() for n in names}
+
+
+class Blocks:
+    """The automata of all blocks; a task holds as many of them as HELD_BYTES allow."""
+
+    def __init__(self, blocks: Iterable[Automaton]):
+        self.blocks = list(blocks) or [Automaton([])]
+
+    def match(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+        """For each text the number of its words, its hit spans and the items found in any block."""
+        found: list[tuple[int, list[tuple[int, int]], set[str]]] = [(0, [], set())] * len(texts)
+        for automaton in self.blocks:
+            for k, text in enumerate(texts):
+                words = words_of(text)
+                here, items = automaton.match(words)
+                _, spans, names = found[k]
+                found[k] = (len(words), _union(spans + here) if spans else here, names | items)
+            # The first ones stay, so that those that fit are read once.
+            if sum(a.size for a in self.blocks) > HELD_BYTES and len(self.blocks) > 1:
+                automaton.drop()
+        return found
+
+    def stretches(self, batches: Iterable[pd.Series]) -> Iterator[list[list[str | None]]]:
+        """The batches, several together where they meet automata that are read anew."""
+        together: list[list[str | None]] = []
+        size = 0
+        for batch in batches:
+            together.append(batch.tolist())
+            size += sum(len(text) for text in together[-1] if text)
+            if all(a.size for a in self.blocks) or len(self.blocks) < 2 or size > TEXT_BYTES:
+                yield together
+                together, size = [], 0
+        if together:
+            yield together
 
 
 def automata(
@@ -207,8 +375,9 @@ def automata(
 
     Items go to blocks by running word counts, worked out by Spark; an item of more
     words than an eighth of a block is cut into parts that overlap by a window less one
-    word. Null texts have no words, a null id stands for the empty string. Tasks write
-    the words to files in the shared folder; the driver gets the names of the files.
+    word. Null texts have no words, a null id stands for the empty string. A task writes
+    a block's words and its automaton to files in the shared folder; the driver gets
+    their names.
     """
     spark = items.sparkSession
     folder = new_folder(spark, "benchmark")
@@ -237,21 +406,15 @@ def automata(
                 ["part", "name", "words", "start", "size"],
             )
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def build(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
+        # A task that runs again writes files of other names.
         system, root = _open(folder)
-        for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            numbers, files = np.unique(blocks).tolist(), []
-            for number in numbers:
-                # A task that runs again writes files of other names.
-                files.append(f"{uuid.uuid4().hex}.arrow")
-                rows = batch.filter(pa.array(blocks == number))
-                with system.open_output_stream(f"{root}/{files[-1]}", compression=None) as out:
-                    with pa.ipc.new_stream(out, rows.schema) as stream:
-                        stream.write_batch(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers, pa.int64()), pa.array(files, pa.string())], ["block", "file"]
-            )
+        file = f"{uuid.uuid4().hex}.arrow"
+        with system.open_output_stream(f"{root}/{file}", compression=None) as out:
+            with pa.ipc.new_stream(out, rows.schema) as stream:
+                stream.write_table(rows)
+        built = _write_arrays(arrays_of(Block(folder, [file]), window), folder)
+        return pa.table({"block": [key[0].as_py()], "file": [file], "built": [built]})
 
     parts = stored(
         with_small_batches(items)
@@ -267,11 +430,9 @@ def automata(
     ahead = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
     block = F.floor((F.col("ahead") + F.col("start")) / F.lit(stretch)).cast("long")
     numbered = parts.join(F.broadcast(ahead), "part").select(block.alias("block"), "name", "words")
-    files: dict[int, list[str]] = {}
-    for row in numbered.mapInArrow(write, "block long, file string").collect():
-        files.setdefault(row["block"], []).append(row["file"])
-    for number in sorted(files):
-        yield Automaton(Block(folder, files[number]), window)
+    files = numbered.groupBy("block").applyInArrow(build, "block long, file string, built string").collect()
+    for row in sorted(files, key=lambda row: row["block"]):
+        yield Automaton(Block(folder, [row["file"]]), window, row["built"])
 
 
 def hits(
@@ -284,53 +445,12 @@ def hits(
 
     `spans` lists start, end, start, end ... of the disjoint runs of hit words; `items`
     the ids, sorted as strings, of the items with a window in the document. A null text
-    has no words. With one block of items nothing is shuffled; with several, each is a
-    pass of its own over the documents and their findings meet by id and text hash.
+    has no words. The documents are read once and nothing is shuffled, whatever the
+    number of blocks.
     """
     docs = with_small_batches(docs)
-    text = F.col(text_column).cast("string")
-    passes = [
-        docs.select(
-            F.struct("*").alias("row"), F.col(id_column).alias("id"), text.alias("text"),
-            _find(docs, automaton)(text).alias("found"),
-        )
-        for automaton in blocks
-    ]
-    if not passes:
-        passes = [
-            docs.select(
-                F.struct("*").alias("row"), _find(docs, Automaton([]))(text).alias("found")
-            )
-        ]
-    if len(passes) == 1:
-        return passes[0].select("row", "found.*")
-    keyed = [p.select("row", "id", F.xxhash64("text").alias("hash"), "found") for p in passes]
-    # Rows that a later block hits, equal ones once; each id and text has one per block.
-    later = [
-        p.where(F.size("found.spans") > 0).select("id", "hash", F.lit(k).alias("block"), "found")
-        for k, p in enumerate(keyed[1:])
-    ]
-    merged = (
-        reduce(DataFrame.unionByName, later)
-        .dropDuplicates(["id", "hash", "block"])
-        .groupBy("id", "hash")
-        .agg(
-            F.collect_list("found.spans").alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("found.items")))).alias("items"),
-        )
-        .select(F.col("id").alias("m_id"), F.col("hash").alias("m_hash"), "spans", "items")
-    )
-    also = F.col("items").isNotNull()
-    return keyed[0].join(
-        merged, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash")), "left"
-    ).select(
-        "row",
-        "found.n_words",
-        F.when(also, _merge(F.when(also, F.array_append("spans", F.col("found.spans")))))
-        .otherwise(F.col("found.spans")).alias("spans"),
-        F.when(also, F.array_sort(F.array_union("items", "found.items")))
-        .otherwise(F.col("found.items")).alias("items"),
-    )
+    found = _find(docs, list(blocks))(F.col(text_column).cast("string"))
+    return docs.select(F.struct("*").alias("row"), found.alias("found")).select("row", "found.*")
 
 
 def n_hit(spans: Column) -> Column:
@@ -358,18 +478,16 @@ def remove_spans(
     """
     found = hits(docs, blocks, id_column, text_column)
     share = n_hit(F.col("spans")) / F.greatest("n_words", F.lit(1))
-    # One automaton is in memory at a time: with several blocks none is kept.
-    shared = [shipped(docs.sparkSession, a, keep=len(blocks) == 1) for a in blocks]
+    shared = shipped(docs.sparkSession, Blocks(blocks))  # names of files
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        texts, again = texts.tolist(), any(texts)
-        while again:
-            before = list(texts)
-            for get in shared:
-                automaton = get()
-                texts = [t and without_spans(t, automaton) for t in texts]
-            again = len(shared) > 1 and texts != before
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        texts = [t if t is None else cut_spans(t, s) for t, s in zip(texts.tolist(), spans.tolist())]
+        # What a cut has brought together is looked at again.
+        active = [k for k, t in enumerate(texts) if t]
+        while active:
+            found = shared().match([texts[k] for k in active])
+            active = [k for k, (_, spans, _) in zip(active, found) if spans and _replace(texts, k, spans)]
         return pd.Series(texts, dtype=object)
 
     cut = cut.asNondeterministic()  # called once, although its result is filtered
@@ -377,67 +495,61 @@ def remove_spans(
     hit = F.size("spans") > 0
     return (
         found.where(share <= max_coverage)
-        .select("row", "n_words", hit.alias("hit"), cut(F.when(hit, text)).alias("cut"))
+        .select("row", "n_words", hit.alias("hit"), cut(F.when(hit, text), F.when(hit, F.col("spans"))).alias("cut"))
         .withColumn("clean_text", F.when(F.col("hit"), F.col("cut")).otherwise(text))
         .where(~F.col("hit") | F.col("clean_text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
         .select("row", "clean_text")
     )
 
 
+def _replace(texts: list[str], k: int, spans: list[tuple[int, int]]) -> str:
+    texts[k] = cut_spans(texts[k], [x for span in spans for x in span])
+    return texts[k]
+
+
+def cut_spans(text: str, spans: Iterable[int]) -> str:
+    """The text without the words of the spans: start, end, start, end ..., in order."""
+    raw = text.encode()
+    flat = raw.translate(_TABLE)
+    starts, ends, at = [], [], 0
+    for word in flat.split():
+        at = flat.index(word, at)
+        starts.append(at)
+        at += len(word)
+        ends.append(at)
+    keep, at = bytearray(), 0
+    bounds = iter(spans)
+    for first, last in zip(bounds, bounds):
+        keep += raw[at : starts[first]]
+        at = ends[last - 1]
+    return (keep + raw[at:]).decode()
+
+
 def without_spans(text: str, automaton: Automaton) -> str:
     """The text without its hit words, until no window is left."""
-    raw = text.encode()
-    while True:
-        flat = raw.translate(_TABLE)
-        words = flat.split()
-        spans = automaton.match(words)[0]
-        if not spans:
-            return raw.decode()
-        ends, at, starts = [], 0, []
-        for word in words:
-            at = flat.index(word, at)
-            starts.append(at)
-            at += len(word)
-            ends.append(at)
-        keep = bytearray()
-        at = 0
-        for first, last in spans:
-            keep += raw[at : starts[first]]
-            at = ends[last - 1]
-        raw = bytes(keep + raw[at:])
+    while spans := automaton.match(words_of(text))[0]:
+        text = cut_spans(text, [x for span in spans for x in span])
+    return text
 
 
-def _find(docs: DataFrame, automaton: Automaton):
-    shared = shipped(docs.sparkSession, automaton)  # names of files
+def _find(docs: DataFrame, blocks: list[Automaton]):
+    shared = shipped(docs.sparkSession, Blocks(blocks))  # names of files
 
     @F.pandas_udf("n_words long, spans array<int>, items array<string>")
-    def find(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            words = words_of(text)
-            spans, names = shared().match(words)
-            rows.append((len(words), [x for s in spans for x in s], sorted(names)))
-        return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for together in shared().stretches(batches):
+            found = iter(shared().match([text for texts in together for text in texts]))
+            for texts in together:
+                rows = [next(found) for _ in texts]
+                yield pd.DataFrame(
+                    [(n, [x for s in spans for x in s], sorted(names)) for n, spans, names in rows],
+                    columns=["n_words", "spans", "items"],
+                )
 
     # So that Spark does not copy the call into a filter on its result.
     return find.asNondeterministic()
 
 
-def _merge(lists: Column) -> Column:
-    @F.pandas_udf("array<int>")
-    def merge(each: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                [x for s in _union([p for part in parts for p in zip(part[::2], part[1::2])]) for x in s]
-                if parts is not None
-                else []
-                for parts in each
-            ]
-        )
-
-    return merge(lists)
-
-
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Disjoint spans in order that cover the same words."""
     merged: list[tuple[int, int]] = []

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,42 @@ def test_the_driver_holds_names_of_files_only(spark, docs):
     assert {(r["doc_id"], r["n"], *r["items"]) for r in found.collect()} == {(n, len(t.split()), str(n)) for n, t in rows[:3]}
 
 
+def test_documents_are_read_once_whatever_the_number_of_blocks(spark, docs, tmp_path):
+    items, rows, table = data(spark)
+    docs(*rows).write.parquet(str(tmp_path / "docs"))
+    blocks = list(dec.automata(table, block_words=30))
+    assert len(blocks) > 3 and all(a.file for a in blocks)
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    for df in (dec.hits(read, blocks), dec.remove_spans(read, blocks)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("held", [0, 4000, 1 << 30])
+def test_blocks_beyond_the_bytes_held_are_read_again(spark, monkeypatch, held):
+    items, rows, table = data(spark)
+    monkeypatch.setattr(dec, "HELD_BYTES", held)
+    built = dec.Blocks(pickle.loads(pickle.dumps(list(dec.automata(table, block_words=30)))))
+    texts = [text for _, text in rows]
+    for _ in range(2):
+        for (n, spans, names), text in zip(built.match(texts), texts):
+            own = brute(text, items, 10)
+            assert (n, {i for a, b in spans for i in range(a, b)}, sorted(names)) == own
+        loaded = [a.size for a in built.blocks]
+        assert sum(loaded) <= held and all(loaded) == (held == 1 << 30) and any(loaded) == (held > 0)
+    batches = [pd.Series(texts[k : k + 5]) for k in range(0, len(texts), 5)]
+    together = list(built.stretches(batches))
+    assert [b for s in together for b in s] == [b.tolist() for b in batches]
+    assert len(together) == (len(batches) if held == 1 << 30 else 1)
+
+
+def test_arrays_take_few_bytes_a_word():
+    rng = random.Random(3)
+    items = [(str(k), [b"w%d" % int(rng.paretovariate(0.6)) for _ in range(100)]) for k in range(500)]
+    arrays = dec.arrays_of(items, 10)
+    assert sum(v.nbytes for v in arrays.values()) < 90 * 50_000
+
+
 def test_items_longer_than_a_block_are_cut_with_overlap(spark):
     item = " ".join(f"w{n}" for n in range(100))
     blocks = list(dec.automata(spark.createDataFrame([(1, item)], "item_id long, text string"), block_words=20))
