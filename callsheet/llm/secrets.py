@@ -43,17 +43,43 @@ DUMMY = r"(?i)example|sample|dummy|changeme|placeholder|test|xxxx|your|1234567"
 MIXED = ("[0-9]", "[a-z]", "[A-Z]")
 
 
-def candidates(text: Column, kind: str, pattern: str) -> Column:
-    """The leftmost disjoint matches and the lengths of the pieces before, between and after."""
+def candidates(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
+    """The leftmost disjoint matches and the lengths of the pieces before, between and after.
+
+    A match is its `size`, the `value_hash` (NULL if the value is shorter than `least`)
+    and `plausible`, whether the value looks live: no text of it goes any further.
+    """
+    matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    values = F.transform(
+        matches,
+        lambda m: F.struct(
+            F.length(m).alias("size"), F.regexp_extract(m, f"^(?:{pattern})$", group).alias("value")
+        ),
+    )
+    found = F.transform(
+        values,
+        lambda v: F.struct(
+            v["size"].alias("size"),
+            F.when(F.length(v["value"]) >= least, F.sha2(v["value"], 256)).alias("value_hash"),
+            looks_live(v["value"], kind).alias("plausible"),
+        ),
+    )
     return F.when(
         text.rlike(HINTS[kind]),
         F.struct(
-            F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("found"),
-            F.transform(F.split(text, pattern, -1), F.length).alias("gaps"),
+            found.alias("found"), F.transform(F.split(text, pattern, -1), F.length).alias("gaps")
         ),
     )
 
 
+def looks_live(value: Column, kind: str) -> Column:
+    """Whether a value is no dummy and varied; one of the broader kind also has to be mixed."""
+    test = ~value.rlike(DUMMY) & (F.size(F.array_distinct(F.split(value, ""))) >= LEAST_DISTINCT)
+    for pattern in MIXED if kind not in BASE else ():
+        test = test & value.rlike(pattern)
+    return test
+
+
 def scan(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -89,33 +115,25 @@ def scan(
         "id",
         "repository",
         "owner",
-        *[candidates(F.col("text"), *kind[:2]).alias(kind[0]) for kind in KINDS],
+        *[candidates(F.col("text"), *kind).alias(kind[0]) for kind in KINDS],
     )
     rows = stored(rows)
     with_any = rows.where(" OR ".join(f"{kind[0]} IS NOT NULL" for kind in KINDS))
     spans = None
-    for order, (kind, pattern, group, least) in enumerate(KINDS):
+    for order, (kind, *_) in enumerate(KINDS):
         part = _places(with_any.where(F.col(kind).isNotNull()), kind)
         part = part.select(
             "row", "repository", "owner", F.lit(order).alias("order"), F.lit(kind).alias("kind"),
-            "start", "end", F.regexp_extract("match", f"^(?:{pattern})$", group).alias("value"),
-        ).where(F.length("value") >= least)
+            "start", "end", "match.value_hash", "match.plausible",
+        ).where(F.col("value_hash").isNotNull())
         spans = part if spans is None else spans.unionByName(part)
-    spans = stored(spans.withColumn("value_hash", F.sha2("value", 256)))
-    mixed = F.lit(True)
-    for pattern in MIXED:
-        mixed = mixed & F.col("value").rlike(pattern)
-    looks_live = (
-        ~F.col("value").rlike(DUMMY)
-        & (F.size(F.array_distinct(F.split("value", ""))) >= LEAST_DISTINCT)
-        & ((F.col("kind") != "random") | mixed)
-    )
+    spans = stored(spans)
     judged = (
         # Stored, so that the join can split a value that very many rows hold.
         spans.join(stored(ownership(spans)), "value_hash")
         .withColumn(
             "live",
-            looks_live
+            F.col("plausible")
             & (F.col("owners") <= max_owners)
             & (F.col("repositories") <= max_repositories),
         )
@@ -173,8 +191,8 @@ def _places(rows: DataFrame, kind: str) -> DataFrame:
         "row", "repository", "owner", "match", F.get("gaps", F.col("place")).alias("gap"), "place"
     ).select(
         "row", "repository", "owner", "match",
-        F.sum(F.col("gap") + F.length("match")).over(upto).alias("end"),
-    ).withColumn("start", F.col("end") - F.length("match"))
+        F.sum(F.col("gap") + F.col("match.size")).over(upto).alias("end"),
+    ).withColumn("start", F.col("end") - F.col("match.size"))
 
 
 def joined(findings: Column) -> Column:
