@@ -219,28 +219,34 @@ def one_of_each(
     """
     text_hash = F.xxhash64(F.col(text_column).cast("string"))
     prints = stored(fingerprints(docs, id_column, text_column, words_each, text_hash))
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
-    kept = (
-        prints.groupBy("fingerprint")
+    # Copies are counted on narrow rows, so that only rows that have some meet as texts.
+    copies = prints.groupBy("fingerprint", "id", "text_hash").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "n"))
+    kept = stored(
+        copies.groupBy("fingerprint")
         .agg(first.alias("first"))
         .join(_classes(prints, max_bits).select("fingerprint", "root"), "fingerprint")
         .groupBy("root")
         .agg(F.min("first").alias("first"))
-        .select(F.col("first.id").alias("k_id"), F.col("first.text_hash").alias("k_hash"))
+        .select(
+            F.col("first.id").alias("k_id"), F.col("first.text_hash").alias("k_hash"), F.col("first.n").alias("n")
+        )
     )
     rows = docs.select(
         F.struct("*").alias("row"), F.col(id_column).alias("r_id"), text_hash.alias("r_hash")
     )
-    # Kept ids and hashes are narrow: hashing them spares a sort of whole texts.
-    return (
-        rows.join(
-            kept.hint("shuffle_hash"),
+
+    def those(ids: DataFrame) -> DataFrame:
+        # Kept ids and hashes are narrow: hashing them spares a sort of whole texts.
+        return rows.join(
+            ids.hint("shuffle_hash"),
             F.col("r_id").eqNullSafe(F.col("k_id")) & (F.col("r_hash") == F.col("k_hash")),
             "left_semi",
         )
-        .dropDuplicates(["r_id", "r_hash"])
-        .select("row.*")
-    )
+
+    single = those(kept.where(F.col("n") == 1))
+    several = those(kept.where(F.col("n") > 1)).dropDuplicates(["r_id", "r_hash"])
+    return single.unionByName(several).select("row.*")
 
 
 def _classes(prints: DataFrame, max_bits: int) -> DataFrame:

@@ -99,6 +99,15 @@ def test_one_of_each_group_stays(docs):
         (-1, "lonel"), (3, "one t"), (4, "anoth"), (6, "w w w"), (8, "")]
 
 
+def test_only_rows_with_copies_are_sorted_as_texts(docs):
+    lonely = [(n, f"words of document {n} and nothing else {n * 7919}") for n in range(50)]
+    kept = simhash.one_of_each(docs(*lonely, *[(100, "equal rows of one text " * 9)] * 2000, *[(None, None)] * 500))
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and {100, None} <= set(ids)
+    before, _, after = kept._jdf.queryExecution().optimizedPlan().toString().partition("Aggregate")
+    assert "Aggregate" not in before and "(n#" in after and "> 1" in after and "Aggregate" not in after
+
+
 def test_empty_table(docs):
     assert simhash.near_duplicates(docs(*ROWS).limit(0)).collect() == []
     assert simhash.one_of_each(docs(*ROWS).limit(0)).collect() == []
