@@ -65,6 +65,13 @@ def test_stages_in_a_row(spark, tmp_path):
         (r["id"], *[r[f] for f in fields]) for r in packed)
 
 
+def test_one_copy_of_the_corpus_is_left(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "new_folder", lambda spark, name: f"{tmp_path}/{name}")
+    out = corpus_pipeline.run(spark, SMALL)
+    assert [f.name for f in (tmp_path / "pipeline").iterdir()] == [str(len(corpus_pipeline.STAGES) - 2)]
+    assert out.count() > 0
+
+
 def test_language_stage_rejects_what_has_no_language(spark, docs):
     train = [(n, random.Random(n).choice(["the cat sat", "on the mat"])) for n in range(20)]
     df = docs(*train, (100, None), (101, "12 + 3"), (102, ""))
