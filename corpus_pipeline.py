@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsheet.llm import decontaminate, langid, lines, packing, simhash
-from callsheet.llm.common import new_folder
+from callsheet.llm.common import new_folder, remove_folder
 from callsheet.llm.queries import TOKENIZER
 
 #: Least posterior probability of a document's language.
@@ -83,10 +83,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole `documents` table, each written and read again."""
+    """All stages over the whole `documents` table, each written and read again.
+
+    What a stage wrote is removed once the next one has been written in full, so that one
+    copy of the corpus is on the shared disk at the end, the one that the result is read from.
+    """
     folder = new_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
