@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from callsheet.schemas import conform
 
@@ -122,8 +123,15 @@ class DomainTables(dict):
         return self[name]
 
     def _copies(self, last: str) -> DataFrame:
-        """Rows 0 to ``last`` for every customer."""
-        return self._star("customer").selectExpr("c_custkey AS k", f"explode(sequence(0, {last})) AS n")
+        """Rows 0 to ``last`` for every customer.
+
+        The keys of very many customers fit a file that one task reads, the rows made of
+        them do not. So the keys are dealt out first, to a fixed number of tasks, as
+        adaptive execution would merge partitions as small as these.
+        """
+        tasks = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = self._star("customer").select("c_custkey").repartition(tasks, F.xxhash64("c_custkey"))
+        return dealt.selectExpr("c_custkey AS k", f"explode(sequence(0, {last})) AS n")
 
     def _owned(self) -> DataFrame:
         """Line items with the customer of their order."""

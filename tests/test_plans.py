@@ -5,6 +5,7 @@ from dataclasses import replace
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from callsheet.plans import catalogue as cat
 from callsheet.plans.campaigns import campaign_list, weekly_lists
@@ -52,6 +53,13 @@ def test_saved_tables_read_back(spark, tables):
         assert derived[name].exceptAll(tables[name]).isEmpty()
 
 
+@pytest.mark.parametrize("name", ["fones_tb", "rec_comp_tb"])
+def test_rows_made_of_one_small_file_are_made_by_many_tasks(spark, name):
+    made = DomainTables(spark, SMALL)[name].groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) > 4
+    assert max(r["count"] for r in made) < sum(r["count"] for r in made) / 2
+
+
 @pytest.mark.parametrize("campaign", [*cat.WEEK, *cat.CORE], ids=lambda c: c.id)
 def test_campaign_plans(tables, campaign):
     text = plan(campaign_list(tables, campaign, PARAMS))
