@@ -23,6 +23,10 @@ def number_rows(
     rows of the buckets before are added, so no task needs all rows of a key. ``buckets``
     are values that never go against ``order``, with whether they descend; nulls come
     first, or last if they descend. There must be few buckets in a key.
+
+    All keys together may have nearly as many buckets as rows, and Spark's estimate of
+    them, which rests on the size of the files, can be far too small. So the join sorts
+    both sides and broadcasts neither.
     """
     parts = [f"_bucket{i}" for i in range(len(buckets))]
     rows = df.select("*", *[value.alias(p) for p, (value, _) in zip(parts, buckets)])
@@ -40,6 +44,6 @@ def number_rows(
     )
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*key, *parts)])
     numbered = rows.withColumn("_in_bucket", F.row_number().over(in_bucket))
-    return numbered.join(before, same).select(
+    return numbered.join(before.hint("merge"), same).select(
         *df.columns, (F.col("_in_bucket") + F.col("_before")).cast("int").alias(name)
     )

@@ -163,6 +163,18 @@ def test_full_rankings_split_hot_keys(spark):
     assert any("_bucket2" in k for k in keys)
 
 
+def test_full_rankings_broadcast_no_counts(spark):
+    # The estimate of rows made by an explode is that of the few keys they are made of.
+    keys = spark.range(0, 40000, 1, 1).selectExpr("id AS cod_cad", "explode(sequence(0, 4)) AS n")
+    phones = keys.selectExpr("cod_cad", "'11' AS dddfone", "string(n) AS telefone", "n AS status",
+                             "concat('11', n) AS telefone_completo")
+    for ranked in (rank_phones(phones), rank_agreements(
+            phones.selectExpr("cod_cad AS cod_aco", "517 AS cod_cli", "telefone AS nmcont",
+                              "DATE '2025-01-01' AS data_cad"), dt.date(2024, 1, 1))):
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_agreements_are_ranked_across_buckets(make):
     rows = [{"cod_aco": n * 30000, "cod_cli": 517, "nmcont": "A", "data_cad": dt.date(2025, 1, 1)} for n in range(20)]
     rows.append({"cod_aco": 5, "cod_cli": 517, "nmcont": None, "data_cad": dt.date(2025, 1, 1)})
