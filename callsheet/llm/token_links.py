@@ -12,7 +12,6 @@ it linked.
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,9 @@ BROADCAST_PAIRS = 1_000_000
 _CHUNK = 8192
 #: Tokens of A whose ends are compared at a time.
 _BLOCK = 1 << 16
+#: One-to-one tokens that are walked one by one before their stretch is probed; a power of
+#: two. Most stretches are short, and a step is cheaper than a probe.
+_STEPS = 8
 
 
 def group_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,53 +40,57 @@ def group_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Takes the two arrays of ends, which rise and have the same last end, in blocks that
     end in a common end.
     """
-    of_a, of_b, i, j = array("q"), array("q"), 0, 0
+    of_a, of_b, i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0, 0
     while i < len(a):
         to, width = min(i + _BLOCK, len(a)) - 1, 64
         while not len(common := _common(a[to : to + width], b)):
             width *= 2
         i_end, j_end = to + int(common[0]) + 1, int(np.searchsorted(b, a[to + common[0]])) + 1
-        _skip_runs(a[i:i_end].tolist(), b[j:j_end].tolist(), i, j, of_a, of_b)
+        ends = _skip_runs(a[i:i_end].tolist(), b[j:j_end].tolist())
+        for found, numbers, before in zip((of_a, of_b), ends, (i, j)):
+            found.append(np.array(numbers, np.int64) + before)
         i, j = i_end, j_end
-    return np.array(of_a, np.int64), np.array(of_b, np.int64)
+    return np.concatenate(of_a), np.concatenate(of_b)
 
 
 def _common(ends: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.flatnonzero(b[np.minimum(np.searchsorted(b, ends), len(b) - 1)] == ends)
 
 
-def _skip_runs(a: list[int], b: list[int], i0: int, j0: int, of_a: array, of_b: array) -> None:
-    """Adds the group ends of a block whose tokens are numbered from i0 and j0."""
-    n, m, i, j = len(a), len(b), 0, 0
+def _skip_runs(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """The group ends of a block."""
+    of_a, of_b = [], []
+    add_a, add_b = of_a.append, of_b.append
+    n, m, i, j, run = len(a), len(b), 0, 0, 0
     while i < n:
         x, y = a[i], b[j]
+        i, j = i + 1, j + 1
         if x != y:
             # An irregular group: up to the next common end, which sets the new shift.
             while x != y:
                 if x < y:
-                    i += 1
                     x = a[i]
+                    i += 1
                 else:
-                    j += 1
                     y = b[j]
-            i, j = i + 1, j + 1
-            of_a.append(i0 + i)
-            of_b.append(j0 + j)
-            continue
-        i, j = i + 1, j + 1
-        of_a.append(i0 + i)
-        of_b.append(j0 + j)
-        if i == n or a[i] != b[j]:
+                    j += 1
+            run = 0
+        else:
+            run += 1
+        add_a(i)
+        add_b(j)
+        if run < _STEPS:
             continue
-        # A one-to-one stretch: probes of doubling width, then of halving width to its end.
-        start_i, start_j, width = i, j, 1
+        # A long one-to-one stretch: probes of doubling width, then of halving width to its end.
+        start_i, start_j, width, run = i, j, _STEPS, 0
         while i + width <= n and j + width <= m and a[i : i + width] == b[j : j + width]:
             i, j, width = i + width, j + width, 2 * width
         while width := width // 2:
             if i + width <= n and a[i : i + width] == b[j : j + width]:
                 i, j = i + width, j + width
-        of_a.extend(range(i0 + start_i + 1, i0 + i + 1))
-        of_b.extend(range(j0 + start_j + 1, j0 + j + 1))
+        of_a.extend(range(start_i + 1, i + 1))
+        of_b.extend(range(start_j + 1, j + 1))
+    return of_a, of_b
 
 
 class GroupText:

@@ -162,3 +162,22 @@ def test_query_over_the_whole_table(spark, plain):
     for doc, w in want.items():
         assert tuple(found[doc][c] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")) == w[1:6]
         assert found[doc]["n_best"] <= w[4] and found[doc]["count_sum"] >= w[7]
+
+
+def test_short_stretches_are_walked_and_long_ones_probed():
+    class Ends(list):
+        slices = 0
+
+        def __getitem__(self, at):
+            Ends.slices += isinstance(at, slice)
+            return super().__getitem__(at)
+
+    # Stretches of five common ends, each followed by one that only A has.
+    short = [6 * n + k for n in range(200) for k in range(6)]
+    a, b = Ends(short + [1200]), Ends([x for x in short if x % 6 != 5] + [1200])
+    of_a, of_b = token_links._skip_runs(a, b)
+    assert Ends.slices == 0
+    assert [a[i - 1] for i in of_a] == [b[j - 1] for j in of_b] == list(b)
+    of_a, of_b = token_links._skip_runs(Ends(range(5000)), Ends(range(5000)))
+    assert 0 < Ends.slices < 60
+    assert of_a == of_b == list(range(1, 5001))
