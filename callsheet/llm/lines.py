@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -143,19 +142,16 @@ def with_kept_lines(
         bitmaps.select("id", "text_hash", "n_dropped", "keep").hint("shuffle_hash"),
         F.col("l_id").eqNullSafe(F.col("id")) & (F.col("l_hash") == F.col("text_hash")),
         "left",
-    ).select(
-        "row",
-        F.coalesce(F.col("row")[text_column].cast("string"), F.lit("")).alias("text"),
-        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
-        "keep",
-    )
+    ).select("row", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "keep")
+    # Read from the row each time: a column of its own would send every text twice past Python.
+    text = F.coalesce(F.col("row")[text_column].cast("string"), F.lit(""))
     affected = F.col("keep").isNotNull()
     # Only texts that lose a line go through Python.
-    kept = _kept()(F.when(affected, F.col("text")), F.col("keep"))
+    kept = _kept()(F.when(affected, text), F.col("keep"))
     return joined.select(
         "row",
-        F.when(affected, kept).otherwise(F.col("text")).alias("kept_text"),
-        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+        F.when(affected, kept).otherwise(text).alias("kept_text"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
         .cast("long")
         .alias("n_lines"),
         "n_dropped",
@@ -299,8 +295,10 @@ def kept_lines(text: str, keep: bytes | None) -> str:
 
 
 def _kept():
-    @F.pandas_udf("string")
-    def kept(texts: pd.Series, keeps: pd.Series) -> pd.Series:
-        return pd.Series([kept_lines(t, k) if k is not None else None for t, k in zip(texts, keeps)])
+    # Arrow arrays, so that no worker needs pandas for it, which takes some 45 MB in each.
+    @F.arrow_udf("string")
+    def kept(texts: pa.Array, keeps: pa.Array) -> pa.Array:
+        pairs = zip(texts.to_pylist(), keeps.to_pylist())
+        return pa.array([kept_lines(t, k) if k is not None else None for t, k in pairs], pa.string())
 
     return kept

@@ -101,3 +101,12 @@ def test_bitmaps_have_a_bit_for_each_line(docs):
     assert {(r["id"], r["n_lines"], r["n_dropped"]) for r in rows} == {(1, 3, 1), (2, 1, 1)}
     assert {kept_lines(f"a\n{HOT}\nb", r["keep"]) for r in rows if r["id"] == 1} == {"a\nb"}
     assert np.unpackbits(np.frombuffer(__import__("zlib").decompress(rows[0]["keep"]), np.uint8)).sum() <= 2
+
+
+def test_texts_pass_python_once(spark):
+    docs = spark.createDataFrame([(n, "a line that is long enough\nb" + str(n)) for n in range(5)], "doc_id long, text string")
+    kept = lines.with_kept_lines(docs, lines.keep_bitmaps(docs))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    (evaluated,) = [x for x in plan.splitlines() if "ArrowEvalPython" in x]
+    assert "row#" in evaluated and "text#" not in evaluated.replace("kept_text#", "")
+    assert sorted(r["kept_text"] for r in kept.collect())[0] == "a line that is long enough\nb4"
