@@ -145,7 +145,10 @@ class DomainTables(dict):
                 return star("customer").selectExpr(*ACCOUNTS)
             case "fones_tb":
                 numbered = self._copies("11").selectExpr("k", "n % 10 AS n", "n div 10 AS c")
-                return numbered.selectExpr(*PHONES)
+                # Spark works the columns out again at every use in a filter, unless a generator
+                # has made them. The method of such a filter is too long for the JVM to compile.
+                named = ", ".join(f"'{name}', {value}" for value, name in (e.rsplit(" AS ", 1) for e in PHONES))
+                return numbered.selectExpr(f"inline(array(named_struct({named})))")
             case "hist_tb":
                 return star("events").selectExpr(*EVENTS)
             case "stcob_tb":

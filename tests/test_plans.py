@@ -60,6 +60,19 @@ def test_rows_made_of_one_small_file_are_made_by_many_tasks(spark, name):
     assert max(r["count"] for r in made) < sum(r["count"] for r in made) / 2
 
 
+@pytest.mark.parametrize("name", ["phones_loose", "phones_strict", "phones_core", "phones_topk", "list_with_agreement",
+                                  "campaign_quebras", "campaign_cpc", "campaign_cpc_core", "weekly_lists_windows"])
+def test_methods_made_for_phones_are_short_enough_for_the_jvm_to_compile(spark, name):
+    made = queries()[name](spark, SMALL)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan has no code before it runs
+    try:
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        sizes = re.findall(r"maxMethodCodeSize:(\d+)", made._jdf.queryExecution().explainString(mode))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(map(int, sizes)) < 8000
+
+
 @pytest.mark.parametrize("campaign", [*cat.WEEK, *cat.CORE], ids=lambda c: c.id)
 def test_campaign_plans(tables, campaign):
     text = plan(campaign_list(tables, campaign, PARAMS))
