@@ -43,6 +43,9 @@ def clean_phones_by_rule(
     phones: DataFrame, rules: Sequence[str], pattern: str = REPEATED_DIGIT
 ) -> DataFrame:
     """Distinct phones per account that pass any of ``rules``, with a flag column per rule."""
+    if len(set(rules)) == 1:
+        # All phones that are left pass it; no need to test them again.
+        return clean_phones(phones, rules[0], pattern).withColumn(rules[0], F.lit(True))
     tests = {rule: phone_rule(rule, pattern) for rule in rules}
     # Copies of a phone may differ in their note; one good copy is enough.
     flags = [F.coalesce(F.max(test), F.lit(False)).alias(rule) for rule, test in tests.items()]

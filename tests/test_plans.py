@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from callsheet.operators.phones import clean_phones_by_rule
 from callsheet.plans import catalogue as cat
 from callsheet.plans.campaigns import campaign_list, weekly_lists
 from callsheet.schemas import SCHEMAS
@@ -73,6 +74,13 @@ def test_methods_made_for_phones_are_short_enough_for_the_jvm_to_compile(spark,
     assert sizes and max(map(int, sizes)) < 8000
 
 
+def test_the_one_rule_of_a_list_is_tested_once(tables):
+    one = clean_phones_by_rule(tables["fones_tb"], ["strict"])
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1
+    both = clean_phones_by_rule(tables["fones_tb"], ["loose", "strict"]).where("strict").select(*one.columns)
+    assert sorted(map(str, one.collect())) == sorted(map(str, both.collect())) and not one.isEmpty()
+
+
 @pytest.mark.parametrize("campaign", [*cat.WEEK, *cat.CORE], ids=lambda c: c.id)
 def test_campaign_plans(tables, campaign):
     text = plan(campaign_list(tables, campaign, PARAMS))
