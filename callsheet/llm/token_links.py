@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ _CHUNK = 8192
 _BLOCK = 1 << 16
 #: One-to-one tokens that are walked one by one before their stretch is probed; a power of
 #: two. Most stretches are short, and a step is cheaper than a probe.
-_STEPS = 8
+_STEPS = 32
 
 
 def group_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,9 +47,9 @@ def group_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while not len(common := _common(a[to : to + width], b)):
             width *= 2
         i_end, j_end = to + int(common[0]) + 1, int(np.searchsorted(b, a[to + common[0]])) + 1
-        ends = _skip_runs(a[i:i_end].tolist(), b[j:j_end].tolist())
+        ends = _numbers(*_runs(a[i:i_end].tolist(), b[j:j_end].tolist()))
         for found, numbers, before in zip((of_a, of_b), ends, (i, j)):
-            found.append(np.array(numbers, np.int64) + before)
+            found.append(numbers + before)
         i, j = i_end, j_end
     return np.concatenate(of_a), np.concatenate(of_b)
 
@@ -57,40 +58,61 @@ def _common(ends: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.flatnonzero(b[np.minimum(np.searchsorted(b, ends), len(b) - 1)] == ends)
 
 
-def _skip_runs(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """The group ends of a block."""
-    of_a, of_b = [], []
-    add_a, add_b = of_a.append, of_b.append
-    n, m, i, j, run = len(a), len(b), 0, 0, 0
-    while i < n:
-        x, y = a[i], b[j]
-        i, j = i + 1, j + 1
-        if x != y:
-            # An irregular group: up to the next common end, which sets the new shift.
-            while x != y:
-                if x < y:
-                    x = a[i]
-                    i += 1
-                else:
-                    y = b[j]
-                    j += 1
-            run = 0
-        else:
-            run += 1
-        add_a(i)
-        add_b(j)
-        if run < _STEPS:
-            continue
+def _runs(a: list[int], b: list[int]) -> tuple[int, list[int], list[int], list[int]]:
+    """The number of groups of a block, and where the index shift changes.
+
+    For each irregular group its number, and the tokens of either side, less one a group,
+    up to its end. So a one-to-one token costs a comparison and no entry.
+    """
+    at, of_a, of_b = [], [], []
+    add, add_a, add_b = at.append, of_a.append, of_b.append
+    rest_a, rest_b = iter(a), iter(b)
+    next_a, next_b = rest_a.__next__, rest_b.__next__
+    n, m, group, more_a, more_b, probed = len(a), len(b), 0, 0, 0, _STEPS - 1
+    while group + more_a < n:
+        for group, (x, y) in enumerate(zip(rest_a, rest_b), group):
+            if x != y:
+                # An irregular group: up to the next common end, which sets the new shift.
+                while x != y:
+                    if x < y:
+                        x = next_a()
+                        more_a += 1
+                    else:
+                        y = next_b()
+                        more_b += 1
+                add(group)
+                add_a(more_a)
+                add_b(more_b)
+                probed = group + _STEPS
+            elif group == probed:
+                break
+        group += 1
+        if group <= probed:
+            break
         # A long one-to-one stretch: probes of doubling width, then of halving width to its end.
-        start_i, start_j, width, run = i, j, _STEPS, 0
+        i, j, width, start = group + more_a, group + more_b, _STEPS, group
         while i + width <= n and j + width <= m and a[i : i + width] == b[j : j + width]:
             i, j, width = i + width, j + width, 2 * width
         while width := width // 2:
             if i + width <= n and a[i : i + width] == b[j : j + width]:
                 i, j = i + width, j + width
-        of_a.extend(range(start_i + 1, i + 1))
-        of_b.extend(range(start_j + 1, j + 1))
-    return of_a, of_b
+        group = i - more_a
+        for rest in (rest_a, rest_b):
+            next(islice(rest, group - start, group - start), None)
+        probed = group + _STEPS
+    return n - more_a, at, of_a, of_b
+
+
+def _numbers(groups: int, at: list[int], of_a: list[int], of_b: list[int]) -> list[np.ndarray]:
+    """For each group the number of tokens of either side up to its end, from :func:`_runs`."""
+    stretches = np.diff(np.array([0, *at, groups], np.int64))
+    each = np.arange(1, groups + 1)
+    return [each + np.repeat(np.array([0, *more], np.int64), stretches) for more in (of_a, of_b)]
+
+
+def _skip_runs(a: list[int], b: list[int]) -> list[list[int]]:
+    """The group ends of a block, as lists."""
+    return [numbers.tolist() for numbers in _numbers(*_runs(a, b))]
 
 
 class GroupText:
@@ -98,18 +120,19 @@ class GroupText:
 
     def __init__(self, size_a: int, size_b: int):
         signs = ((size_a, ",|"), (size_b, ",;"))
-        self.a, self.b = (
-            np.array([f"{k}{sign}" for sign in two for k in range(size)], object) for size, two in signs
-        )
+        texts = [[f"{k}{sign}" for sign in two for k in range(size)] for size, two in signs]
+        # Texts of one width, filled up with zero bytes that are left out at the end.
+        width = max(8, *(len(text[-1]) for text in texts))
+        self.a, self.b = (np.array(text, f"S{width}") for text in texts)
         self.size_a, self.size_b = size_a, size_b
 
-    def parts(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> Iterator[str]:
+    def parts(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> Iterator[bytes]:
         """The text in parts of a bounded number of groups, each with a `;` at its end."""
         for at in range(0, len(of_a), _CHUNK):
             ends_a, ends_b = of_a[at : at + _CHUNK], of_b[at : at + _CHUNK]
             i, j = (of_a[at - 1], of_b[at - 1]) if at else (0, 0)
             sizes_a, sizes_b = np.diff(ends_a, prepend=i), np.diff(ends_b, prepend=j)
-            out = np.empty(ends_a[-1] - i + ends_b[-1] - j, object)
+            out = np.empty(ends_a[-1] - i + ends_b[-1] - j, self.a.dtype)
             # A token stands behind all tokens before it, of both sides.
             place_a = np.arange(ends_a[-1] - i) + np.repeat(ends_b - sizes_b - j, sizes_a)
             place_b = np.arange(ends_b[-1] - j) + np.repeat(ends_a - i, sizes_b)
@@ -117,7 +140,7 @@ class GroupText:
             last_a[ends_a - i - 1] = last_b[ends_b - j - 1] = True
             out[place_a] = self.a[a[i : ends_a[-1]] + last_a * self.size_a]
             out[place_b] = self.b[b[j : ends_b[-1]] + last_b * self.size_b]
-            yield "".join(out.tolist())
+            yield out.tobytes().translate(None, b"\0")
 
 
 def link_places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,10 +206,10 @@ class Pair:
             return None
         a = self.encode_a(" " + text).astype(np.int64)
         b = np.array(self.model.encode(text, num_threads=1), np.int64)
-        want = (" " + text).encode()
+        want = pa.py_buffer((" " + text).encode())
         for table, ids in ((self.bytes_a, a), (self.bytes_b, b)):
             spelt = table.take(pa.array(ids)).buffers()[2]
-            if spelt is None or spelt.to_pybytes()[: len(want) + 1] != want:
+            if spelt is None or not spelt.equals(want):
                 return None
         return a, b
 
@@ -231,13 +254,13 @@ def align(
             at_a, at_b = link_places(ends_a, ends_b)
             pairs, times = np.unique(a[at_a] * size_b + b[at_b], return_counts=True)
             of_a, of_b = group_ends(ends_a, ends_b)
-            digest, kept, sign = hashlib.sha256(), [], ""
+            digest, kept, sign = hashlib.sha256(), [], b""
             for part in written.parts(a, b, of_a, of_b):
-                digest.update((sign + part[:-1]).encode())
+                digest.update(sign + part[:-1])
                 kept += [sign + part[:-1]] * with_groups
-                sign = ";"
+                sign = b";"
             found = (len(a), len(b), len(of_a), len(at_a), digest.hexdigest(), pairs, times)
-            return found + ("".join(kept),) * with_groups
+            return found + (b"".join(kept).decode(),) * with_groups
 
         kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.string()]
         for batch in batches:

@@ -181,3 +181,43 @@ def test_short_stretches_are_walked_and_long_ones_probed():
     of_a, of_b = token_links._skip_runs(Ends(range(5000)), Ends(range(5000)))
     assert 0 < Ends.slices < 60
     assert of_a == of_b == list(range(1, 5001))
+
+
+def test_one_to_one_tokens_are_compared_and_no_more():
+    class Ends(list):
+        slices = 0
+
+        def __getitem__(self, at):
+            Ends.slices += isinstance(at, slice)
+            return super().__getitem__(at)
+
+    # Stretches of 20 common ends: neither probes nor an entry for each of their tokens.
+    ends = [21 * n + k for n in range(100) for k in range(21)]
+    a, b = Ends([*ends, 2100]), Ends([x for x in ends if x % 21 != 20] + [2100])
+    groups, at, of_a, of_b = token_links._runs(a, b)
+    assert (groups, len(at), of_a[-1], of_b[-1], Ends.slices) == (2001, 100, 100, 0, 0)
+
+
+def test_stretches_of_any_length_beside_irregular_groups():
+    rng = random.Random(7)
+    for _ in range(1500):
+        a, b, at = [], [], 0
+        for _ in range(rng.randrange(1, 8)):
+            for _ in range(rng.choice([0, 1, 30, 31, 32, 33, 63, 64, 65, rng.randrange(400)])):
+                at += rng.randrange(1, 4)
+                a.append(at), b.append(at)
+            for side in (a, b):
+                side += [at + x for x in range(1, 6) if rng.random() < 0.3]
+            at += 6
+        a.append(at), b.append(at)
+        of_a, of_b = group_ends(np.array(a), np.array(b))
+        assert [a[i - 1] for i in of_a] == [b[j - 1] for j in of_b] == sorted(set(a) & set(b))
+
+
+def test_groups_as_text_in_parts():
+    rng = np.random.default_rng(3)
+    written, n = token_links.GroupText(500, 300), 20_000
+    a, b = rng.integers(0, 500, 2 * n), rng.integers(0, 300, 3 * n)
+    of_a, of_b = 2 * np.arange(1, n + 1), 3 * np.arange(1, n + 1)
+    want = "".join(f"{','.join(map(str, x))}|{','.join(map(str, y))};" for x, y in zip(a.reshape(-1, 2), b.reshape(-1, 3)))
+    assert b"".join(written.parts(a, b, of_a, of_b)).decode() == want
