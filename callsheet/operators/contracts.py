@@ -102,9 +102,18 @@ def collateral(goods: DataFrame) -> DataFrame:
             "AnoFabModelo"
         ),
     ]
-    by_contract = goods.groupBy(*CONTRACT).agg(
-        F.min(F.struct(*shown)).alias("good"),
-        F.count_distinct("chassi").alias("QtdGarantiasUnicas"),
+    # A generator makes the good before the rows are sorted. As an expression it would be made
+    # by the aggregation, which runs no compiled loop over texts.
+    good = F.inline(F.array(F.struct(F.struct(*shown).alias("good"))))
+    # Texts are aggregated over sorted rows. With hashes in front of the keys most comparisons
+    # end at the sort's prefix, and rows by contract and chassis stand by contract, too.
+    of_contract = F.shiftleft(F.xxhash64(*CONTRACT), 32)
+    of_chassis = F.shiftrightunsigned(F.xxhash64(*CONTRACT, "chassi"), 32)
+    place = of_contract.bitwiseOR(of_chassis).alias("place")
+    made = goods.select(*CONTRACT, "chassi", good)
+    by_chassis = made.groupBy(place, *CONTRACT, "chassi").agg(F.min("good").alias("good"))
+    by_contract = by_chassis.groupBy(F.shiftright("place", 32).alias("place"), *CONTRACT).agg(
+        F.min("good").alias("good"), F.count("chassi").alias("QtdGarantiasUnicas")
     )
     return by_contract.select(
         *CONTRACT,

@@ -124,6 +124,38 @@ def test_collateral_shows_the_lowest_plate(make):
         ("A", "A", None, "1999/2000", 2), ("B", None, "only - one", None, 0)]
 
 
+def test_collateral_of_copies_null_keys_and_hot_contracts(make):
+    rows = [
+        {"nmcont": [None, "A", "B"][n % 3], "cod_cli": [517, 518, None][n % 7 % 3], "chassi": [None, "1", "2", "3"][n % 4],
+         "placa": [None, "P2", "P1"][n % 5 % 3], "marca": "m", "modelo": [None, "x", "y"][n % 11 % 3], "cor": str(n % 13),
+         "anofab": 1990 + n % 3, "anomodelo": 2000}
+        for n in range(600)
+    ]
+    rows += rows[:50]
+
+    def shown(r):
+        model = r["modelo"] and f"{r['marca']} - {r['modelo']}"
+        return r["placa"], model, r["cor"], f"{r['anofab']}/{r['anomodelo']}"
+
+    contracts, order = {}, lambda g: [(x is not None, x or "") for x in g]
+    for r in rows:
+        contracts.setdefault((r["nmcont"], r["cod_cli"]), []).append(r)
+    want = Counter()
+    for key, held in contracts.items():
+        first = min((shown(r) for r in held), key=lambda g: (g[0] is None, order(g)))
+        want[(*key, first[1], first[0], *first[2:], len({r["chassi"] for r in held} - {None}))] += 1
+    found = ctr.collateral(make("bens_tb", *rows)).select(
+        "nmcont", "cod_cli", "MarcaModelo", "placa", "cor", "AnoFabModelo", "QtdGarantiasUnicas")
+    assert Counter(map(tuple, found.collect())) == want
+
+
+def test_goods_are_made_before_their_sort_and_sorted_by_a_hash(make):
+    plan = ctr.collateral(make("bens_tb", {"nmcont": "A", "cod_cli": 517}))._jdf.queryExecution().executedPlan().toString()
+    aggregations = [line for line in plan.splitlines() if "SortAggregate" in line]
+    assert aggregations and all("SortAggregate(key=[place" in line or "SortAggregate(key=[_group" in line for line in aggregations)
+    assert "Generate inline" in plan and "concat" not in "".join(aggregations)
+
+
 CODES = [{"st": "c", "bsc": "CPC"}, {"st": "s", "bsc": "sistema"}, {"st": "n", "bsc": None}]
 
 
